@@ -1 +1,453 @@
 """Models, ensembles and validation."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from tabforge.catalog.registry import query
+from tabforge.operators import stats
+from tabforge.operators.order import kfold, stratified_kfold
+from tabforge.plans import answers, boosting, encode, ensemble, impute, linear, models, outlier
+from tabforge.plans import scale
+from tabforge.sources.tables import load
+
+# --- scores of fixed rules -------------------------------------------------------------
+
+_HASH = "('0x' || substr(md5('{seed}:' || {key}::VARCHAR), 1, 8))::BIGINT"
+_RULES_SQL = f"""rules AS (
+  SELECT doc_id, quality, {_HASH.format(seed=1, key='doc_id')} % 5 AS fold,
+         CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS by_length,
+         CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS by_lang
+  FROM documents JOIN labels USING (doc_id))"""
+
+
+def _rules(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    joined = docs.join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return kfold(joined, "doc_id", 5, 1).select(
+        "doc_id", "quality", "fold",
+        (F.col("n_chars") > 1000).cast("int").alias("by_length"),
+        (F.col("lang") == "en").cast("int").alias("by_lang"),
+    )
+
+
+@query(
+    "accuracy_by_fold",
+    f"""WITH {_RULES_SQL} SELECT fold::INT AS fold,
+          round(avg((by_length = quality)::INT), 6) AS by_length,
+          round(avg((by_lang = quality)::INT), 6) AS by_lang FROM rules GROUP BY 1""",
+)
+def accuracy_by_fold(spark, sf_dir):
+    rules = _rules(spark, sf_dir)
+    return rules.groupBy("fold").agg(
+        *[F.round(stats.accuracy(rule, "quality"), 6).alias(rule)
+          for rule in ("by_length", "by_lang")]
+    )
+
+
+@query(
+    "cv_summary",
+    f"""WITH {_RULES_SQL}, scores AS (
+      SELECT 'by_length' AS model, fold, avg((by_length = quality)::INT) AS score
+      FROM rules GROUP BY fold
+      UNION ALL SELECT 'by_lang', fold, avg((by_lang = quality)::INT) FROM rules GROUP BY fold)
+    SELECT model, round(avg(score) * 100, 2) AS mean_pct FROM scores GROUP BY model""",
+)
+def cv_summary(spark, sf_dir):
+    rules = _rules(spark, sf_dir)
+    per_fold = rules.groupBy("fold").agg(
+        *[stats.accuracy(rule, "quality").alias(rule) for rule in ("by_length", "by_lang")]
+    )
+    return stats.cv_summary(per_fold.unpivot("fold", ["by_length", "by_lang"], "model", "score"))
+
+
+@query(
+    "rmse_log",
+    f"""WITH p AS (
+      SELECT {_HASH.format(seed=3, key='p_partkey')} % 5 AS fold, ln(1 + p_retailprice) AS y,
+             ln(1 + 900 + p_size) AS guess FROM part)
+    SELECT fold::INT AS fold, round(sqrt(avg((guess - y) * (guess - y))), 6) AS rmse
+    FROM p GROUP BY 1""",
+)
+def rmse_log(spark, sf_dir):
+    parts = kfold(load(spark, sf_dir, "part"), "p_partkey", 5, 3).select(
+        "fold", F.log1p("p_retailprice").alias("label"),
+        F.log1p(F.col("p_size") + 900).alias("prediction"),
+    )
+    return parts.groupBy("fold").agg(F.round(stats.rmse(), 6).alias("rmse"))
+
+
+_SCORERS_SQL = """scorers AS (
+  SELECT doc_id, 1 / (1 + exp(-(n_chars - 1000) / 500.0)) AS a,
+         CASE lang WHEN 'en' THEN 0.9 WHEN 'fr' THEN 0.5 ELSE 0.2 END AS b,
+         (doc_id % 100) / 100.0 AS c FROM documents)"""
+
+
+def _scorers(spark, sf_dir):
+    by_lang = F.when(F.col("lang") == "en", 0.9).when(F.col("lang") == "fr", 0.5).otherwise(0.2)
+    ones = {
+        "a": 1 / (1 + F.exp(-(F.col("n_chars") - 1000) / 500.0)),
+        "b": by_lang,
+        "c": (F.col("doc_id") % 100) / 100.0,
+    }
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", *[F.array(1 - p, p).alias(name) for name, p in ones.items()]
+    )
+
+
+@query(
+    "soft_vote",
+    f"""WITH {_SCORERS_SQL}, mixed AS (
+      SELECT doc_id, (a + b + c) / 3 AS equal, (3 * a + b + 2 * c) / 6 AS weighted FROM scorers)
+    SELECT doc_id, round(equal, 6) AS equal, round(weighted, 6) AS weighted,
+           (round(weighted, 12) > 0.5)::INT::DOUBLE AS prediction FROM mixed""",
+)
+def soft_vote(spark, sf_dir):
+    scores = [F.col(c) for c in "abc"]
+    mixed = _scorers(spark, sf_dir).select(
+        "doc_id", ensemble.soft_vote(scores).alias("equal"),
+        ensemble.soft_vote(scores, [3, 1, 2]).alias("weighted"),
+    )
+    rounded = F.transform("weighted", lambda p: F.round(p, 12))  # a tie stays a tie
+    return mixed.select(
+        "doc_id", F.round(F.col("equal")[1], 6).alias("equal"),
+        F.round(F.col("weighted")[1], 6).alias("weighted"),
+        ensemble.top_class(rounded).alias("prediction"),
+    )
+
+
+@query(
+    "pseudo_label_select",
+    f"""WITH {_SCORERS_SQL}
+    SELECT doc_id, (a > 0.5)::INT::DOUBLE AS prediction FROM scorers
+    WHERE greatest(a, 1 - a) > 0.95""",
+)
+def pseudo_label_select(spark, sf_dir):
+    scored = _scorers(spark, sf_dir).select(
+        "doc_id", array_to_vector("a").alias("probability"),
+        ensemble.top_class(F.col("a")).alias("prediction"),
+    )
+    return ensemble.confident_rows(scored).select("doc_id", "prediction")
+
+
+@query(
+    "bagging_sample",
+    f"""WITH u AS (SELECT o_orderkey, {_HASH.format(seed=55, key='o_orderkey')} / 4294967296.0
+                     AS chance FROM orders)
+    SELECT o_orderkey, (SELECT count(*) FROM (
+        SELECT unnest([{", ".join(
+            "exp(-0.75) * (" + " + ".join(
+                f"0.75::DOUBLE ** {i} / {f}" for i, f in enumerate((1, 1, 2, 6, 24, 120, 720)[:n])
+            ) + ")" for n in range(1, 8))}]) AS reached) WHERE chance >= reached) AS copies
+    FROM u""",
+)
+def bagging_sample(spark, sf_dir):
+    """How often each order is drawn for the first bag."""
+    copies = ensemble.poisson_copies(F.col("o_orderkey"), 0.75, 55)
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", copies.cast("bigint").alias("copies")
+    )
+
+
+# --- linear models with a closed form ---------------------------------------------------
+
+
+def _lines(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 1000).alias("label")
+    )
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+
+
+_MOMENTS_SQL = """m AS (
+  SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy
+  FROM (SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y FROM lineitem))"""
+
+
+@query(
+    "penalised_lines",
+    f"""WITH {_MOMENTS_SQL}, slopes AS (
+      SELECT 'ridge' AS model, sxy / (sxx + 1000.0) AS slope, * FROM m
+      UNION ALL SELECT 'lasso', sign(sxy) * greatest(abs(sxy) / n - 0.5, 0) / (sxx / n), * FROM m
+      UNION ALL SELECT 'elastic', sign(sxy) * greatest(abs(sxy) / n - 0.5 * 0.9, 0)
+                                  / (sxx / n + 0.5 * 0.1), * FROM m)
+    SELECT model, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept FROM slopes""",
+)
+def penalised_lines(spark, sf_dir):
+    """Ridge, lasso and elastic net on one feature."""
+    rows = _lines(spark, sf_dir)
+    fits = {
+        "ridge": linear.Ridge(alpha=1000.0),
+        "lasso": linear.Lasso(alpha=0.5),
+        "elastic": linear.ElasticNet(alpha=0.5, ratio=0.9),
+    }
+    with ensemble.cached(rows) as cached_rows:
+        fitted = ensemble.fit_all(fits, cached_rows)
+    found = [(name, float(m.coefficients[0]), float(m.intercept)) for name, m in fitted.items()]
+    out = spark.createDataFrame(found, "model string, slope double, intercept double")
+    return out.select("model", F.round("slope", 6).alias("slope"),
+                      F.round("intercept", 6).alias("intercept"))
+
+
+_ALPHAS = [0.1, 10.0, 1000.0]
+
+
+@query(
+    "ridge_leave_one_out",
+    f"""WITH {_MOMENTS_SQL}, tried AS (SELECT unnest([0.1, 10.0, 1000.0])::DOUBLE AS alpha),
+    fits AS (SELECT *, sxy / (sxx + alpha) AS slope FROM m, tried)
+    SELECT alpha, round(avg(power((y - my - slope * (x - mx))
+             / (1 - 1.0 / n - (x - mx) * (x - mx) / (sxx + alpha)), 2)), 4) AS loo_error,
+           round(any_value(slope), 6) AS slope
+    FROM fits, (SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y FROM lineitem)
+    GROUP BY alpha ORDER BY loo_error, alpha LIMIT 1""",
+)
+def ridge_leave_one_out(spark, sf_dir):
+    model = linear.RidgeLoo(cols=["x"], alphas=_ALPHAS).fit(_lines(spark, sf_dir))
+    chosen = model.get("alpha")
+    error = model.get("errors")[_ALPHAS.index(chosen)]
+    out = spark.createDataFrame(
+        [(chosen, error, model.get("weights")[0])], "alpha double, loo_error double, slope double"
+    )
+    return out.select("alpha", F.round("loo_error", 4).alias("loo_error"),
+                      F.round("slope", 6).alias("slope"))
+
+
+# --- learned models ---------------------------------------------------------------------
+
+_DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_capitals", "word_length"]
+
+
+def document_rows(spark, sf_dir, how="inner"):
+    """Text measures of the documents, with the quality label where there is one."""
+    body = F.col("text")
+    words = F.size(F.split(body, r"\s+"))
+    docs = load(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
+        words.cast("double").alias("n_words"),
+        F.regexp_count(body, F.lit("\n")).cast("double").alias("n_lines"),
+        F.regexp_count(body, F.lit("[0-9]")).cast("double").alias("n_digits"),
+        F.regexp_count(body, F.lit("[A-Z]")).cast("double").alias("n_capitals"),
+        (F.length(body) / words).alias("word_length"),
+    )
+    labels = load(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").cast("double").alias("label")
+    )
+    return docs.join(labels, "doc_id", how)
+
+
+def _document_prep():
+    return Pipeline(
+        stages=[
+            scale.Winsorizer(cols=_DOC_FEATURES),
+            scale.IqrScaler(cols=_DOC_FEATURES),
+            encode.OrdinalCodes(cols=["lang"]),
+            VectorAssembler(inputCols=[*_DOC_FEATURES, "lang_code"], outputCol="features"),
+        ]
+    )
+
+
+def _document_features(spark, sf_dir, how="inner"):
+    rows = document_rows(spark, sf_dir, how)
+    return _document_prep().fit(rows).transform(rows)
+
+
+def part_rows(spark, sf_dir):
+    """One row per part: its measures, and the mean price of its order lines as label."""
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.avg("l_extendedprice").alias("label"), F.avg("l_quantity").alias("quantity"),
+        F.count("*").cast("double").alias("n_lines"), F.avg("l_discount").alias("discount"),
+    )
+    part = load(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("size"),
+        F.col("p_retailprice").alias("price"), "p_type",
+    )
+    return part.join(lines, "p_partkey")
+
+
+_PART_FEATURES = ["size", "price", "quantity", "n_lines", "discount"]
+
+
+def _part_prep():
+    return Pipeline(
+        stages=[
+            impute.MedianImputer(cols=_PART_FEATURES),
+            scale.IqrScaler(cols=_PART_FEATURES),
+            encode.one_hot(["p_type"]),
+            VectorAssembler(inputCols=[*_PART_FEATURES, "p_type_hot"], outputCol="features"),
+        ]
+    )
+
+
+def _log_parts(spark, sf_dir):
+    return part_rows(spark, sf_dir).withColumn("label", F.log1p("label"))
+
+
+@query("features_then_model")
+def features_then_model(spark, sf_dir):
+    """Preparation and a forest in one chain, labels written as booleans."""
+    rows = document_rows(spark, sf_dir)
+    chain = Pipeline(stages=[_document_prep(), models.forest_classifier(trees=20, depth=6)])
+    return ensemble.predict(chain.fit(rows), rows, "doc_id", "is_good", "boolean")
+
+
+@query("clean_then_fit")
+def clean_then_fit(spark, sf_dir):
+    """A forest trained without the two percent of documents that look strangest."""
+    rows = document_rows(spark, sf_dir)
+    cleaned = outlier.CleanThenFit(
+        pre=_document_prep(),
+        detector=outlier.IsolationForest(cols=_DOC_FEATURES, id_col="doc_id", trees=50),
+        est=Pipeline(stages=[_document_prep(), models.forest_classifier(trees=20, depth=6)]),
+    )
+    return ensemble.predict(cleaned.fit(rows), rows, "doc_id", "is_good", "int")
+
+
+def _document_bases():
+    return {
+        "forest": models.forest_classifier(trees=20, depth=6),
+        "extra": models.extra_trees(trees=20, depth=6),
+        "bayes": models.gaussian_nb(),
+    }
+
+
+@query("soft_vote_fit")
+def soft_vote_fit(spark, sf_dir):
+    rows = _document_features(spark, sf_dir)
+    model = ensemble.SoftVote(_document_bases(), [3.0, 1.0, 2.0]).fit(rows)
+    return ensemble.predict(model, rows, "doc_id", "quality", "int")
+
+
+@query("bagging")
+def bagging(spark, sf_dir):
+    rows = _document_features(spark, sf_dir)
+    bag = ensemble.Bagging(models.tree_classifier(depth=5), n=5, fraction=0.75, key="doc_id")
+    return ensemble.predict(bag.fit(rows), rows, "doc_id", "quality", "int")
+
+
+@query("stack_classifier")
+def stack_classifier(spark, sf_dir):
+    rows = document_rows(spark, sf_dir)
+    bases = {
+        "forest": models.forest_classifier(trees=10, depth=5),
+        "fourier": models.rff_classifier(dims=64),
+        "ada": boosting.AdaBoost(rounds=3),
+    }
+    stack = ensemble.StackClassifier(bases, key="doc_id", folds=3, prepare=_document_prep())
+    return ensemble.predict(stack.fit(rows), rows, "doc_id", "quality", "int")
+
+
+@query("stack_regressor")
+def stack_regressor(spark, sf_dir):
+    rows = _log_parts(spark, sf_dir)
+    bases = {
+        "boost": models.hist_boost_regressor(rounds=5, depth=4, bins=64),
+        "lasso": linear.Lasso(),
+        "ridge": linear.Ridge(),
+        "elastic": linear.ElasticNet(),
+    }
+    stack = ensemble.StackRegressor(bases, key="p_partkey", folds=3, prepare=_part_prep())
+    scored = stack.fit(rows).transform(rows)
+    return scored.select("p_partkey", F.expm1("prediction").alias("price"))
+
+
+@query("bake_off")
+def bake_off(spark, sf_dir):
+    rows = stratified_kfold(_document_features(spark, sf_dir), "doc_id", "label", 3, 5)
+    ests = {
+        "knn": models.KnnClassifier(k=13, id_col="doc_id"),
+        "tree": models.tree_classifier(depth=5),
+        "extra_tree": models.extra_tree(depth=5),
+        "forest": models.forest_classifier(trees=10, depth=5),
+        "bayes": models.gaussian_nb(),
+        "logistic": linear.Logistic(),
+    }
+    return ensemble.bake_off(ests, rows, stats.accuracy, 3)
+
+
+@query("pseudo_label_fit")
+def pseudo_label_fit(spark, sf_dir):
+    rows = _document_features(spark, sf_dir, "left")
+    est = ensemble.PseudoLabel(models.forest_classifier(trees=20, depth=6), 0.8, 20)
+    return ensemble.predict(est.fit(rows), rows, "doc_id", "quality", "int")
+
+
+@query("boosted_classifier")
+def boosted_classifier(spark, sf_dir):
+    rows = _document_features(spark, sf_dir)
+    model = models.boost_classifier(rounds=5, step=0.1, depth=3, subsample=0.8).fit(rows)
+    return ensemble.predict(model, rows, "doc_id", "quality", "int")
+
+
+@query("ada_boost")
+def ada_boost(spark, sf_dir):
+    rows = _document_features(spark, sf_dir)
+    scored = boosting.AdaBoost(rounds=5).fit(rows).transform(rows)
+    good = vector_to_array("probability")[1]
+    return scored.select("doc_id", F.round(good, 6).alias("p_good"), "prediction")
+
+
+@query("huber_boost")
+def huber_boost(spark, sf_dir):
+    rows = _log_parts(spark, sf_dir)
+    rows = _part_prep().fit(rows).transform(rows)
+    model = boosting.HuberBoost(rounds=5, step=0.3).fit(rows)
+    return ensemble.predict(model, rows, "p_partkey", "log_price", "double")
+
+
+@query("boost_presets")
+def boost_presets(spark, sf_dir):
+    """The three boosting presets and the forest on the log price, side by side."""
+    rows = _log_parts(spark, sf_dir)
+    indexed = StringIndexer(
+        inputCol="p_type", outputCol="p_type_number", stringOrderType="alphabetAsc"
+    ).fit(rows).transform(rows)
+    ready = _part_prep().fit(indexed).transform(indexed)
+    bases = {
+        "sampled": models.boost_preset("sampled", rounds=5),
+        "leafwise": models.boost_preset("leafwise", rounds=5),
+        "target_encoded": models.boost_preset("target_encoded", rounds=5, cols=["p_type_number"]),
+        "forest": models.forest_regressor(trees=10, depth=6),
+    }
+    with ensemble.cached(ready) as cached_rows:
+        fitted = ensemble.fit_all(bases, cached_rows)
+    scored = ensemble.add_scores(fitted, ready, classify=False)
+    return scored.select("p_partkey", *[f"score_{name}" for name in bases])
+
+
+@query("kernel_models")
+def kernel_models(spark, sf_dir):
+    """Polynomial kernel ridge, Fourier regression and the cross-validated lasso."""
+    rows = _log_parts(spark, sf_dir)
+    ready = _part_prep().fit(rows).transform(rows)
+    width = len(ready.select("features").first()[0])
+    bases = {
+        "poly": linear.poly_ridge(width),
+        "fourier": models.rff_regressor(gamma=0.05, dims=64),
+        "lasso_cv": linear.lasso_cv([0.0005, 0.005, 0.05], folds=3),
+    }
+    with ensemble.cached(ready) as cached_rows:
+        fitted = ensemble.fit_all(bases, cached_rows)
+    scored = ensemble.add_scores(fitted, ready, classify=False)
+    return scored.select("p_partkey", *[f"score_{name}" for name in bases])
+
+
+@query("log_target")
+def log_target(spark, sf_dir):
+    rows = part_rows(spark, sf_dir)
+    ready = _part_prep().fit(rows).transform(rows)
+    model = ensemble.LogTarget(linear.Ridge()).fit(ready)
+    return ensemble.predict(model, ready, "p_partkey", "price", "double")
+
+
+@query(
+    "answer_problems",
+    "SELECT item_id, least(99999, length(text)) AS answer FROM benchmark",
+)
+def answer_problems(spark, sf_dir):
+    """A user's function answers each text; here the answer is the text's length."""
+    problems = load(spark, sf_dir, "benchmark")
+    return answers.answer_problems(problems, len, id_col="item_id", text="text")

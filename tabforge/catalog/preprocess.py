@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from tabforge.catalog.blocks import users
 from tabforge.catalog.registry import query
 from tabforge.catalog.statistics import GAPPED_SQL, gapped_lineitem
 from tabforge.operators.columns import gap
-from tabforge.plans import encode, impute, scale
+from tabforge.operators.order import kfold
+from tabforge.plans import encode, impute, manifold, models, outlier, scale
+from tabforge.plans.blocks import ClusterMatrix
 from tabforge.sources.tables import load
 
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -173,3 +176,178 @@ def winsorize_p99(spark, sf_dir):
     )
     out = scale.Winsorizer(cols=["value"]).fit(events).transform(events)
     return out.select("event_id", *_round(["value"]))
+
+
+_TOP = 999
+_SHARES = ", ".join(f"{i / _TOP!r}::DOUBLE" for i in range(_TOP + 1))
+
+
+def _ratio_sql(pair, x: str) -> str:
+    def polynomial(coefficients):
+        text = repr(coefficients[-1])
+        for c in reversed(coefficients[:-1]):
+            text = f"({text}::DOUBLE * {x} + {c!r}::DOUBLE)"
+        return text
+
+    return f"({polynomial(pair[0])} / {polynomial(pair[1])})"
+
+
+_PROBIT_SQL = f"""CASE WHEN abs(p - 0.5) <= 0.425
+  THEN (p - 0.5) * {_ratio_sql(scale.AS241_CENTRE, "(0.180625 - (p - 0.5) * (p - 0.5))")}
+  WHEN t <= 5 THEN sign(p - 0.5) * {_ratio_sql(scale.AS241_MIDDLE, "(t - 1.6)")}
+  ELSE sign(p - 0.5) * {_ratio_sql(scale.AS241_TAIL, "(t - 5)")} END"""
+
+
+@query(
+    "quantile_normal",
+    f"""WITH qs AS (SELECT unnest(q) AS ref, unnest(range(0, {_TOP + 1})) AS place
+                    FROM (SELECT quantile_cont(value, [{_SHARES}]) AS q FROM events)),
+    refs AS (SELECT ref, min(place) AS first, max(place) AS last FROM qs GROUP BY ref),
+    ends AS (SELECT min(ref) AS low, max(ref) AS high FROM refs),
+    located AS (
+      SELECT event_id, e.value, a.ref AS lo, a.first AS lo_first, a.last AS lo_last,
+             b.ref AS hi, b.first AS hi_first
+      FROM events e ASOF LEFT JOIN refs a ON e.value >= a.ref
+      ASOF LEFT JOIN refs b ON e.value <= b.ref),
+    shares AS (
+      SELECT event_id, CASE WHEN value <= low THEN 0 WHEN value >= high THEN 1
+        WHEN value = lo THEN (lo_first + lo_last) / 2.0 / {_TOP}
+        ELSE (lo_last + (hi_first - lo_last) * (value - lo) / (hi - lo)) / {_TOP} END AS share
+      FROM located, ends),
+    inside AS (SELECT event_id, greatest(1e-7, least(1 - 1e-7, share))::DOUBLE AS p FROM shares),
+    tails AS (SELECT *, sqrt(-ln(least(p, 1 - p))) AS t FROM inside)
+    SELECT event_id, round({_PROBIT_SQL}, 5) AS value FROM tails""",
+)
+def quantile_normal(spark, sf_dir):
+    events = load(spark, sf_dir, "events").select("event_id", "value")
+    out = scale.QuantileNormal(cols=["value"]).fit(events).transform(events)
+    return out.select("event_id", *_round(["value"], 5))
+
+
+_GAPPED_PARTS_SQL = """g AS (
+  SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size END::DOUBLE AS size,
+         CASE WHEN p_partkey % 15 = 5 OR p_partkey % 15 = 1 THEN NULL ELSE p_retailprice END
+           AS price, length(p_name)::DOUBLE AS name_length FROM part)"""
+
+
+def _nearest_sql(target: str, other: str) -> str:
+    return f"""{target}_fill AS (
+      SELECT id, avg(found) AS fill FROM (
+        SELECT r.id, d.{target} AS found, row_number() OVER (PARTITION BY r.id ORDER BY
+          (coalesce((r.{other} - d.{other}) * (r.{other} - d.{other}), 0)
+           + (r.name_length - d.name_length) * (r.name_length - d.name_length))
+          * CASE WHEN r.{other} IS NULL OR d.{other} IS NULL THEN 3.0 ELSE 1.5 END, d.id) AS place
+        FROM g r JOIN g d ON r.{target} IS NULL AND d.{target} IS NOT NULL)
+      WHERE place <= 5 GROUP BY id)"""
+
+
+@query(
+    "knn_impute",
+    f"""WITH {_GAPPED_PARTS_SQL}, {_nearest_sql("size", "price")}, {_nearest_sql("price", "size")}
+    SELECT g.id, round(coalesce(g.size, s.fill), 6) AS size,
+           round(coalesce(g.price, p.fill), 6) AS price, g.name_length
+    FROM g LEFT JOIN size_fill s ON g.id = s.id LEFT JOIN price_fill p ON g.id = p.id""",
+)
+def knn_impute(spark, sf_dir):
+    key = F.col("p_partkey")
+    parts = load(spark, sf_dir, "part").select(
+        key.alias("id"),
+        gap(key % 10 == 0, F.col("p_size").cast("double")).alias("size"),
+        gap((key % 15 == 5) | (key % 15 == 1), F.col("p_retailprice")).alias("price"),
+        F.length("p_name").cast("double").alias("name_length"),
+    )
+    stage = impute.KnnImputer(cols=["size", "price", "name_length"], id_col="id", k=5)
+    out = stage.fit(parts).transform(parts)
+    return out.select("id", "name_length", *_round(["size", "price"]))
+
+
+_FOLD0 = "('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 5"
+
+
+@query(
+    "knn_classify",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, {_FOLD0} AS fold
+                   FROM embeddings),
+    near AS (
+      SELECT r.vec_id, d.label, row_number() OVER (PARTITION BY r.vec_id
+        ORDER BY list_distance(r.v, d.v), d.vec_id) AS place
+      FROM e r JOIN e d ON r.fold = 0 AND d.fold <> 0),
+    votes AS (SELECT vec_id, label, count(*) AS n FROM near WHERE place <= 10 GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS place
+               FROM votes)
+    SELECT vec_id, label::DOUBLE AS prediction, round(n / 10, 6) AS share
+    FROM ranked WHERE place = 1""",
+)
+def knn_classify(spark, sf_dir):
+    """Label of each held-out vector by its ten nearest among the others."""
+    rows = _embedding_rows(spark, sf_dir)
+    rows = kfold(rows, "vec_id", 5, 42)
+    knn = models.KnnClassifier(k=10, id_col="vec_id", classes=10)
+    out = knn.fit(rows.where("fold <> 0")).transform(rows.where("fold = 0"))
+    share = F.array_max(vector_to_array("probability"))
+    return out.select("vec_id", "prediction", F.round(share, 6).alias("share"))
+
+
+def _embedding_rows(spark, sf_dir):
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    return load(spark, sf_dir, "embeddings").select(
+        "vec_id", vector.alias("features"), F.col("label").cast("double").alias("label")
+    )
+
+
+_MATRIX = ["m_click", "m_error", "m_purchase", "m_view", "m_total", "m_age"]
+
+
+def event_matrix(spark, sf_dir):
+    rows = users(spark, sf_dir)
+    stage = ClusterMatrix(
+        spend_cols=["click", "error", "purchase", "view"], flag_col="asleep", age_col="age"
+    )
+    return stage.fit(rows).transform(rows).select("user_id", *_MATRIX)
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(spark, sf_dir):
+    """Rows per cluster of users."""
+    rows = event_matrix(spark, sf_dir)
+    model = manifold.ClusterId(cols=_MATRIX, k=8, restarts=3).fit(rows)
+    return model.transform(rows).groupBy("cluster_id").agg(F.count("*").alias("n_rows"))
+
+
+@query(
+    "pca_plane",
+    """WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x,
+                         l_extendedprice / 1000 AS y FROM lineitem),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my,
+            0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) AS turn FROM g),
+    axes AS (SELECT mx, my, cos(turn) AS c, sin(turn) AS s FROM m),
+    signed AS (SELECT mx, my, c * k AS c, s * k AS s FROM (
+      SELECT *, sign(CASE WHEN abs(c) >= abs(s) THEN c ELSE s END) AS k FROM axes))
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           round((x - mx) * c + (y - my) * s, 5) AS pca_1,
+           round(((x - mx) * -s + (y - my) * c)
+                 * sign(CASE WHEN abs(s) >= abs(c) THEN -s ELSE c END), 5) AS pca_2
+    FROM g, signed""",
+)
+def pca_plane(spark, sf_dir):
+    """Both components of two columns, which have a closed form."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        *_KEYS, F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
+    )
+    out = manifold.PcaFeatures(cols=["x", "y"], k=2).fit(rows).transform(rows)
+    return out.select(*_KEYS, *_round(["pca_1", "pca_2"], 5))
+
+
+@query("pca_components")
+def pca_components(spark, sf_dir):
+    rows = event_matrix(spark, sf_dir)
+    out = manifold.PcaFeatures(cols=_MATRIX, k=3).fit(rows).transform(rows)
+    return out.select("user_id", *_round(["pca_1", "pca_2", "pca_3"]))
+
+
+@query("isolation_forest")
+def isolation_forest(spark, sf_dir):
+    rows = event_matrix(spark, sf_dir)
+    detector = outlier.IsolationForest(cols=_MATRIX, id_col="user_id")
+    out = detector.fit(rows).transform(rows)
+    return out.select("user_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_outlier")

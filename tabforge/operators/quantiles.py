@@ -103,9 +103,8 @@ def _by_ranges(df, cols, probs, keys):
         .select("*", F.posexplode("_probs").alias("_i", "_prob"))
         .withColumn("_weight", place - F.floor(place))
         .withColumn("_rank", F.explode(F.array(F.floor(place), F.ceil(place))))
-        .withColumn("_upper", F.col("_rank") > place)
         .where("_rank >= _start AND _rank < _start + _rows")
-        .select(*cell, "_start", "_i", "_rank", "_weight", "_upper")
+        .select(*cell, "_start", "_i", "_rank", "_weight")
         .distinct()
     )
     upto = Window.partitionBy(*cell).orderBy("_value")
@@ -115,13 +114,13 @@ def _by_ranges(df, cols, probs, keys):
         .agg(F.count("*").alias("_times"))
         .withColumn("_end", F.sum("_times").over(upto))
     )
-    share = F.when(F.col("_upper"), F.col("_weight")).otherwise(1 - F.col("_weight"))
     at_rank = F.col("_rank") - F.col("_start")
+    lower, upper = F.min("_value"), F.max("_value")
     found = (
         wanted.join(counted, cell)
         .where((at_rank < F.col("_end")) & (at_rank >= F.col("_end") - F.col("_times")))
-        .groupBy(*series, "_i")
-        .agg(F.sum(F.col("_value") * share).alias("_quantile"))
+        .groupBy(*series, "_i", "_weight")
+        .agg((lower + (upper - lower) * F.col("_weight")).alias("_quantile"))
     )
     in_order = [
         F.transform(
