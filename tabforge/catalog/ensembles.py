@@ -12,6 +12,7 @@ from tabforge.operators import stats
 from tabforge.operators.order import kfold, stratified_kfold
 from tabforge.plans import answers, boosting, encode, ensemble, impute, linear, models, outlier
 from tabforge.plans import scale
+from tabforge.session import settle
 from tabforge.sources.tables import load
 
 # --- scores of fixed rules -------------------------------------------------------------
@@ -195,24 +196,37 @@ def penalised_lines(spark, sf_dir):
 _ALPHAS = [0.1, 10.0, 1000.0]
 
 
+_PART_LINE_SQL = """line AS (
+  SELECT p_partkey / 1000.0::DOUBLE AS x, p_retailprice / 100 + p_size / 50.0::DOUBLE AS y
+  FROM part)"""
+
+
 @query(
     "ridge_leave_one_out",
-    f"""WITH {_MOMENTS_SQL}, tried AS (SELECT unnest([0.1, 10.0, 1000.0])::DOUBLE AS alpha),
-    fits AS (SELECT *, sxy / (sxx + alpha) AS slope FROM m, tried)
-    SELECT alpha, round(avg(power((y - my - slope * (x - mx))
-             / (1 - 1.0 / n - (x - mx) * (x - mx) / (sxx + alpha)), 2)), 4) AS loo_error,
-           round(any_value(slope), 6) AS slope
-    FROM fits, (SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y FROM lineitem)
-    GROUP BY alpha ORDER BY loo_error, alpha LIMIT 1""",
+    f"""WITH {_PART_LINE_SQL}, m AS (
+      SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx,
+             regr_sxy(y, x) AS sxy FROM line),
+    tried AS (SELECT unnest([0.1, 10.0, 1000.0])::DOUBLE AS alpha),
+    fits AS (SELECT *, sxy / (sxx + alpha) AS slope FROM m, tried),
+    errors AS (
+      SELECT alpha, any_value(slope) AS slope, avg(power((y - my - slope * (x - mx))
+               / (1 - 1.0 / n - (x - mx) * (x - mx) / (sxx + alpha)), 2)) AS loo_error
+      FROM fits, line GROUP BY alpha)
+    SELECT alpha, round(loo_error, 8) AS loo_error, round(slope, 6) AS slope
+    FROM errors ORDER BY errors.loo_error, alpha LIMIT 1""",
 )
 def ridge_leave_one_out(spark, sf_dir):
-    model = linear.RidgeLoo(cols=["x"], alphas=_ALPHAS).fit(_lines(spark, sf_dir))
+    rows = load(spark, sf_dir, "part").select(
+        (F.col("p_partkey") / 1000.0).alias("x"),
+        (F.col("p_retailprice") / 100 + F.col("p_size") / 50.0).alias("label"),
+    )
+    model = linear.RidgeLoo(cols=["x"], alphas=_ALPHAS).fit(rows)
     chosen = model.get("alpha")
     error = model.get("errors")[_ALPHAS.index(chosen)]
     out = spark.createDataFrame(
         [(chosen, error, model.get("weights")[0])], "alpha double, loo_error double, slope double"
     )
-    return out.select("alpha", F.round("loo_error", 4).alias("loo_error"),
+    return out.select("alpha", F.round("loo_error", 8).alias("loo_error"),
                       F.round("slope", 6).alias("slope"))
 
 
@@ -222,7 +236,10 @@ _DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_capitals", "wor
 
 
 def document_rows(spark, sf_dir, how="inner"):
-    """Text measures of the documents, with the quality label where there is one."""
+    """Text measures of the documents, with the quality label where there is one.
+
+    Training reads them many times, the texts are scanned once.
+    """
     body = F.col("text")
     words = F.size(F.split(body, r"\s+"))
     docs = load(spark, sf_dir, "documents").select(
@@ -236,7 +253,7 @@ def document_rows(spark, sf_dir, how="inner"):
     labels = load(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("double").alias("label")
     )
-    return docs.join(labels, "doc_id", how)
+    return settle(docs.join(labels, "doc_id", how))
 
 
 def _document_prep():
@@ -265,7 +282,7 @@ def part_rows(spark, sf_dir):
         "p_partkey", F.col("p_size").cast("double").alias("size"),
         F.col("p_retailprice").alias("price"), "p_type",
     )
-    return part.join(lines, "p_partkey")
+    return settle(part.join(lines, "p_partkey"))
 
 
 _PART_FEATURES = ["size", "price", "quantity", "n_lines", "discount"]

@@ -71,8 +71,8 @@ def _rounded(df, cols, digits=6):
     "describe_numeric",
     f"WITH {GAPPED_SQL} "
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 9) AS mean,
-        round(stddev_samp({c}), 9) AS std, min({c}) AS min,
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 7) AS mean,
+        round(stddev_samp({c}), 7) AS std, min({c}) AS min,
         round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
         round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM gapped"""
         for c in _DESCRIBED
@@ -80,7 +80,7 @@ def _rounded(df, cols, digits=6):
 )
 def describe_numeric(spark, sf_dir):
     found = stats.describe(gapped_lineitem(spark, sf_dir), _DESCRIBED)
-    return _rounded(_rounded(found, ["mean", "std"], 9), ["q25", "q50", "q75"])
+    return _rounded(_rounded(found, ["mean", "std"], 7), ["q25", "q50", "q75"])
 
 
 @query(

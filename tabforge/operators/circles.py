@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.session import settle
+
+TILE_ROWS = 1_000
+CELL = ["grid", "cx", "cy"]
+DEALT = [*CELL, "a_tile", "b_tile"]
+
 
 def intersection_points(dx: Column, dy: Column, r1: Column, r2: Column) -> Column:
     """0, 1 (touching) or 2 common points, decided on squared distances."""
@@ -18,6 +24,29 @@ def intersection_points(dx: Column, dy: Column, r1: Column, r2: Column) -> Colum
     )
 
 
+def _deal(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut each cell into tiles of both sides, so that a crowded cell is many small joins.
+
+    The rows are few next to the pairs they make, so they are spread over all
+    shuffle partitions instead of being merged by their size.
+    """
+    count = F.ceil(F.count("*") / TILE_ROWS)
+    tiles = a.groupBy(*CELL).agg(count.alias("a_tiles")).join(
+        b.groupBy(*CELL).agg(count.alias("b_tiles")), CELL
+    )
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        return (
+            side.join(tiles, CELL)
+            .withColumn(f"{own}_tile", F.pmod(F.xxhash64("x", "y", "r"), f"{own}_tiles"))
+            .withColumn(f"{other}_tile", F.explode(F.expr(f"sequence(0L, {other}_tiles - 1)")))
+            .repartition(parts, *DEALT)
+        )
+
+    return dealt(a, "a", "b"), dealt(b, "b", "a")
+
+
 def circle_intersections(circles: DataFrame) -> DataFrame:
     """Per circle (id, x, y, r): how many others it touches and how many it crosses.
 
@@ -28,7 +57,7 @@ def circle_intersections(circles: DataFrame) -> DataFrame:
     cell of the boxes' common lower corner, hence once. One giant circle
     therefore never widens the cells of the small ones.
     """
-    distinct = (
+    distinct = settle(
         circles.where("r > 0")
         .groupBy("x", "y", "r")
         .agg(F.count("*").alias("copies"))
@@ -51,9 +80,9 @@ def circle_intersections(circles: DataFrame) -> DataFrame:
         )
 
     coarser = F.filter(F.array(*[F.lit(g) for g in sorted(grades)]), lambda g: g >= F.col("grade"))
-    a = listed(F.col("grade")).alias("a")
-    b = listed(F.explode(coarser)).alias("b")
-    on_grid = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("grid", "cx", "cy")]
+    larger, others = _deal(listed(F.col("grade")), listed(F.explode(coarser)))
+    a, b = larger.alias("a"), others.alias("b")
+    on_grid = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in DEALT]
     dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
     low_x = F.greatest(F.col("a.x") - F.col("a.r"), F.col("b.x") - F.col("b.r"))
     low_y = F.greatest(F.col("a.y") - F.col("a.r"), F.col("b.y") - F.col("b.r"))
@@ -79,7 +108,7 @@ def circle_intersections(circles: DataFrame) -> DataFrame:
     counts = (
         pairs.select(points.alias("points"), sides.alias("sides"))
         .where("points > 0")
-        .select("points", F.inline("sides"))
+        .select("points", F.inline_outer("sides"))  # never empty; plain inline would test that
         .groupBy("x", "y", "r")
         .agg(
             F.sum(F.when(F.col("points") == 1, F.col("n")).otherwise(0)).alias("n_touch"),

@@ -95,7 +95,10 @@ def cross_val(
     est: Estimator, df: DataFrame, metric: Callable[[], Column], folds: int, fold_col: str = "fold"
 ) -> DataFrame:
     """(fold, score): one fit per fold, one aggregation for all scores."""
-    df = settle(df)  # read twice per fold
+    return _score_folds(est, settle(df), metric, folds, fold_col)
+
+
+def _score_folds(est, df, metric, folds, fold_col="fold") -> DataFrame:
     parts = []
     for fold in range(folds):
         with cached(df.where(F.col(fold_col) != fold)) as train:
@@ -111,7 +114,7 @@ def bake_off(
     """(model, fold, score) of several learners on the same folds."""
     df = settle(df)
     tables = [
-        cross_val(est, df, metric, folds).select(F.lit(name).alias("model"), "fold", "score")
+        _score_folds(est, df, metric, folds).select(F.lit(name).alias("model"), "fold", "score")
         for name, est in ests.items()
     ]
     return reduce(DataFrame.unionByName, tables)
