@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabforge.operators.order import hash32
 from tabforge.operators.quantiles import fitted_quantiles
 from tabforge.plans.base import Configured, setting
+from tabforge.session import settle
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -77,10 +78,14 @@ class IsolationForest(_ForestSettings, Estimator):
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
         cols, seed = self.get("cols"), self.get("seed")
         rows = df.select(F.col(self.get("id_col")).alias("row_id"), *cols)
-        pool = (
+        wanted = self.get("trees") * self.get("sample")
+        # The hash thins the rows to about twice the sample before they are ranked.
+        ceiling = 2.0**32 * min(1.0, (2 * wanted + 1000) / max(1, rows.count()))
+        pool = settle(
             rows.withColumn("_hash", hash32(F.col("row_id"), seed))
+            .where(F.col("_hash") <= ceiling)
             .orderBy("_hash", "row_id")
-            .limit(self.get("trees") * self.get("sample"))
+            .limit(wanted)
             .drop("_hash")
         )
         numbers = F.sequence(F.lit(0), F.lit(self.get("trees") - 1))
@@ -97,7 +102,7 @@ class IsolationForest(_ForestSettings, Estimator):
             group.sort_values("node").drop(columns=["tree", "node"]).to_dict("list")
             for _, group in grown.groupby("tree")
         ]
-        size = min(self.get("sample"), int(samples.where("tree = 0").count()))
+        size = min(self.get("sample"), pool.count())
         model = IsolationForestModel(cols=cols, forest=forest, sample=size)
         scored = df.select(model.score().alias("score"))
         cut = fitted_quantiles(scored, ["score"], [1 - self.get("contamination")])["score"][0]

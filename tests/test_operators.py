@@ -161,6 +161,7 @@ def test_neighbours_against_brute_force(spark, monkeypatch, tile):
     """A third of the donors are copies of one point; whole-number features make many ties."""
     monkeypatch.setattr(neighbors, "TILE_ROWS", tile)
     monkeypatch.setattr(neighbors, "CHUNK_ROWS", tile)
+    monkeypatch.setattr(neighbors, "DONORS_PER_PIVOT", tile)
     rng = np.random.default_rng(5)
     donors = [(i, "s" if i % 2 else "t",
                [7.0, 7.0, 7.0] if i % 3 == 0 else rng.integers(0, 12, 3).astype(float).tolist(),
