@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -419,14 +419,11 @@ def huber_boost(spark, sf_dir):
 def boost_presets(spark, sf_dir):
     """The three boosting presets and the forest on the log price, side by side."""
     rows = _log_parts(spark, sf_dir)
-    indexed = StringIndexer(
-        inputCol="p_type", outputCol="p_type_number", stringOrderType="alphabetAsc"
-    ).fit(rows).transform(rows)
-    ready = _part_prep().fit(indexed).transform(indexed)
+    ready = _part_prep().fit(rows).transform(rows)
     bases = {
         "sampled": models.boost_preset("sampled", rounds=5),
         "leafwise": models.boost_preset("leafwise", rounds=5),
-        "target_encoded": models.boost_preset("target_encoded", rounds=5, cols=["p_type_number"]),
+        "target_encoded": models.boost_preset("target_encoded", rounds=5),
         "forest": models.forest_regressor(trees=10, depth=6),
     }
     with ensemble.cached(ready) as cached_rows:
@@ -440,9 +437,8 @@ def kernel_models(spark, sf_dir):
     """Polynomial kernel ridge, Fourier regression and the cross-validated lasso."""
     rows = _log_parts(spark, sf_dir)
     ready = _part_prep().fit(rows).transform(rows)
-    width = len(ready.select("features").first()[0])
     bases = {
-        "poly": linear.poly_ridge(width),
+        "poly": linear.PolyRidge(),
         "fourier": models.rff_regressor(gamma=0.05, dims=64),
         "lasso_cv": linear.lasso_cv([0.0005, 0.005, 0.05], folds=3),
     }

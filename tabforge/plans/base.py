@@ -13,12 +13,21 @@ from pyspark.ml.util import (
     DefaultParamsWriter,
 )
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def setting(name: str, doc: str) -> Param:
     return Param(Params._dummy(), name, doc)
 
 
+RAW = "_raw"
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Carry the rows as they are in one struct, past stages that overwrite columns."""
+    return df.withColumn(RAW, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 class Configured(DefaultParamsReadable, DefaultParamsWritable):
     """A stage built from keyword settings; values must be JSON-serialisable."""
 

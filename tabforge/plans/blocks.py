@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 
 from tabforge.functions import numeric as num
 from tabforge.functions import text
-from tabforge.functions.mapping import QUALITY_SCALE, map_values
+from tabforge.functions.mapping import (
+    DECK_ORDER,
+    DECK_SCALE,
+    FAMILY_LARGEST,
+    FAMILY_STEP,
+    NOTEBOOK_TITLE_CODES,
+    QUALITY_SCALE,
+    RARE_DECKS,
+    SEX_CODES,
+    TITLE_CODES,
+    TITLE_GROUPS,
+    map_values,
+    replace_values,
+)
+from tabforge.operators.columns import drop_cols
 from tabforge.operators.lookup import group_size, lookup_fitted
 from tabforge.operators.quantiles import fitted_quantiles
 from tabforge.operators.stats import SKEW_THRESHOLD, grouped_max, skewed_columns, value_counts
@@ -294,3 +308,112 @@ class HouseBlock(Configured, Transformer):
                 for name, partner in partners.items()
             }
         )
+
+
+class PassengerBlock(Configured, Transformer):
+    """Title, family and deck of the first manifest, as categories and as codes."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        title = text.extract_title(F.col("Name"))
+        merged = replace_values(title, TITLE_GROUPS)
+        family = num.lin_comb([F.col("SibSp"), F.col("Parch"), F.lit(1)])
+        steps = (family - 1) * F.lit(FAMILY_STEP)
+        deck = text.deck_letter(F.col("Cabin"))
+        return df.withColumns(
+            {
+                "title": merged,
+                "title_code": map_values(merged, TITLE_CODES, 0),
+                "title_group": map_values(title, NOTEBOOK_TITLE_CODES, 0),
+                "sex_code": map_values(F.col("Sex"), SEX_CODES),
+                "family_size": family,
+                "family_scale": F.when(family <= FAMILY_LARGEST, steps).otherwise(F.lit(0.0)),
+                "is_alone": num.flag(family == 1),
+                "deck": replace_values(deck, RARE_DECKS),
+                "deck_scale": map_values(text.deck_letter(F.col("Cabin"), None), DECK_SCALE),
+            }
+        )
+
+
+class PassengerDeck(Configured, Transformer):
+    """Order of the decks as a number; an unknown deck comes last."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("deck_order", map_values(F.col("deck"), DECK_ORDER, 8))
+
+
+class MapCodes(Configured, Transformer):
+    """Code tables per column; a value outside the table becomes NULL."""
+
+    codes = setting("codes", "mapping per column")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(
+            {c: map_values(F.col(c), mapping) for c, mapping in self.get("codes").items()}
+        )
+
+
+class RightBins(Configured, Transformer):
+    """Bin numbers with right-closed edges per column; NULL stays NULL."""
+
+    edges = setting("edges", "edges per column")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(
+            {c: num.bin_right(F.col(c), edges) for c, edges in self.get("edges").items()}
+        )
+
+
+class LogColumns(Configured, Transformer):
+    """Logarithms of columns: ``log1p``, or ``log_pos`` (0 where there is no logarithm)."""
+
+    cols = setting("cols", "columns to replace by their logarithm")
+    how = setting("how", "'log1p' or 'log_pos'")
+    defaults = {"how": "log1p"}
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        log = F.log1p if self.get("how") == "log1p" else num.log_pos
+        return df.withColumns({c: log(F.col(c)) for c in self.get("cols")})
+
+
+class DropColumns(Configured, Transformer):
+    """Drop helper columns; absent ones do not matter."""
+
+    cols = setting("cols", "columns to drop")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return drop_cols(df, self.get("cols"), tolerant=True)
+
+
+class _FilledSettings(Configured):
+    prefix = setting("prefix", "put in front of the names of the copies")
+    log = setting("log", "take log1p of the copies")
+    defaults = {"prefix": "m_", "log": True}
+
+
+class FilledCopies(_FilledSettings, Estimator):
+    """Gap-free copies of columns, for clusters and components; the columns keep their gaps."""
+
+    cols = setting("cols", "numeric columns")
+
+    def _fit(self, df: DataFrame) -> "FilledCopiesModel":
+        found = fitted_quantiles(df, self.get("cols"), [0.5])
+        return FilledCopiesModel(
+            fills={c: q[0] if q else 0.0 for c, q in found.items()},
+            prefix=self.get("prefix"), log=self.get("log"),
+        )
+
+
+class FilledCopiesModel(_FilledSettings, Model):
+    fills = setting("fills", "median per column")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        filled = {
+            c: F.coalesce(F.col(c).cast("double"), F.lit(fill))
+            for c, fill in self.get("fills").items()
+        }
+        return df.withColumns(
+            {
+                f"{self.get('prefix')}{c}": F.log1p(value) if self.get("log") else value
+                for c, value in filled.items()
+            }
+        )

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.columns import augment
 from tabforge.operators.order import hash32, kfold
+from tabforge.plans.base import RAW, packed
 from tabforge.plans.linear import Logistic, RidgeLoo
 from tabforge.session import settle
 
@@ -62,9 +63,9 @@ def fit_all(bases: Mapping[str, Estimator], df: DataFrame) -> dict[str, Model]:
 
 def add_score(model: Model, df: DataFrame, out: str, classify: bool) -> DataFrame:
     """Add the class probabilities (an array) or the prediction of one model, nothing else."""
-    scored = model.transform(df)
+    scored = model.transform(packed(df))
     value = vector_to_array("probability") if classify else F.col("prediction")
-    return scored.select(*df.columns, value.alias(out))
+    return scored.select(f"{RAW}.*", value.alias(out))
 
 
 def add_scores(models: Mapping[str, Model], df: DataFrame, classify: bool) -> DataFrame:
@@ -264,12 +265,13 @@ class StackModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         names = [f"score_{name}" for name in self.models]
-        rows = df if self.ready is None else self.ready.transform(df)
+        rows = packed(df)
+        rows = rows if self.ready is None else self.ready.transform(rows)
         scored = add_scores(self.models, rows, self.classify)
         if self.classify:
             scored = scored.withColumn("_meta", _meta_vector(names))
         wanted = ["probability", "prediction"] if self.classify else ["prediction"]
-        return self.meta.transform(scored).select(*df.columns, *wanted)
+        return self.meta.transform(scored).select(f"{RAW}.*", *wanted)
 
 
 def confident_rows(scored: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -288,9 +290,9 @@ class PseudoLabel(Estimator):
         self.est, self.threshold, self.min_rows = est, threshold, min_rows
 
     def confident(self, first: Model, df: DataFrame) -> DataFrame:
-        scored = first.transform(df.where(F.col("label").isNull()).drop("label"))
-        sure = confident_rows(scored, self.threshold)
-        return sure.withColumn("label", F.col("prediction")).select(*df.columns)
+        unknown = packed(df.where(F.col("label").isNull()).drop("label"))
+        sure = confident_rows(first.transform(unknown), self.threshold)
+        return sure.select(f"{RAW}.*", F.col("prediction").alias("label")).select(*df.columns)
 
     def _fit(self, df: DataFrame) -> Model:
         df = df.withColumn("label", F.col("label").cast("double"))

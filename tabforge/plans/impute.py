@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.functions.text import parse_group
+from tabforge.operators.lookup import fill_from_group_mode, lookup_fitted
 from tabforge.operators.neighbors import knn_join
-from tabforge.operators.quantiles import fitted_quantiles
+from tabforge.operators.quantiles import fitted_quantiles, medians
 from tabforge.operators.stats import modes
 from tabforge.plans.base import Configured, TableModel, setting
+from tabforge.session import settle
 
 
 class MedianImputer(Configured, Estimator):
@@ -39,6 +42,43 @@ class FillModel(Configured, Model):
         return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in self.get("fills").items()})
 
 
+class _GroupMedianSettings(Configured):
+    keys = setting("keys", "group columns")
+    col = setting("col", "column to fill")
+    default = setting("default", "fill of a group the fit has not seen; NULL if not given")
+    defaults = {"default": None}
+
+
+class GroupMedianImputer(_GroupMedianSettings, Estimator):
+    """Fill with the fitted median of the row's group."""
+
+    def _fit(self, df: DataFrame) -> "GroupMedianModel":
+        found = medians(df, [self.get("col")], self.get("keys"))
+        return GroupMedianModel(
+            tables={"medians": found.withColumnRenamed(self.get("col"), "_typical")},
+            **{name: self.get(name) for name in ("keys", "col", "default")},
+        )
+
+
+class GroupMedianModel(_GroupMedianSettings, TableModel):
+    def _transform(self, df: DataFrame) -> DataFrame:
+        columns, col = df.columns, self.get("col")
+        out = lookup_fitted(df, self.tables["medians"], self.get("keys"))
+        typical = F.coalesce("_typical", F.lit(self.get("default")).cast("double"))
+        return out.withColumn(col, F.coalesce(F.col(col), typical)).select(*columns)
+
+
+class GroupModeFill(Configured, Transformer):
+    """Fill from the most frequent value of the travel group, within the batch."""
+
+    id_col = setting("id_col", "group_member id column")
+    col = setting("col", "column to fill")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        grouped = df.withColumn("_group", parse_group(F.col(self.get("id_col")))["group"])
+        return fill_from_group_mode(grouped, "_group", self.get("col")).drop("_group")
+
+
 class _KnnSettings(Configured):
     cols = setting("cols", "numeric columns, both distance features and columns to fill")
     id_col = setting("id_col", "row key")
@@ -73,7 +113,7 @@ class KnnImputerModel(_KnnSettings, TableModel):
         vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
         return df.withColumn("pattern", F.concat(*present)).withColumn("vec", vec)
 
-    def _spaces(self, receivers: DataFrame, donors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _spaces(self, receivers: DataFrame, donors: DataFrame) -> tuple[list, list]:
         """Which gaps of which receiver pattern can be filled from which donor pattern.
 
         There are at most 2**features patterns of each kind, whatever the row count.
@@ -94,16 +134,7 @@ class KnnImputerModel(_KnnSettings, TableModel):
                         space = f"{target}|{mine}|{mask}"
                         seek.add((mine, target, space, scale, mask))
                         give.add((theirs, target, space, mask))
-        spark = receivers.sparkSession
-        return (
-            spark.createDataFrame(
-                sorted(seek),
-                "pattern string, target string, space string, scale double, mask string",
-            ),
-            spark.createDataFrame(
-                sorted(give), "pattern string, target string, space string, mask string"
-            ),
-        )
+        return sorted(seek), sorted(give)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cols, key = self.get("cols"), self.get("id_col")
@@ -114,6 +145,18 @@ class KnnImputerModel(_KnnSettings, TableModel):
             self.tables["donors"].select(F.col(key).alias("did"), *cols)
         )
         seek, give = self._spaces(receivers, donors)
+        means = self.get("means")
+        if not seek:
+            return df.withColumns(
+                {c: F.coalesce(F.col(c).cast("double"), F.lit(means.get(c))) for c in cols}
+            )
+        spark = df.sparkSession
+        seek = spark.createDataFrame(
+            seek, "pattern string, target string, space string, scale double, mask string"
+        )
+        give = spark.createDataFrame(
+            give, "pattern string, target string, space string, mask string"
+        )
         masked = F.transform(
             "vec", lambda x, i: F.when(F.substr("mask", i + 1, F.lit(1)) == "1", x).otherwise(0.0)
         )
@@ -132,13 +175,16 @@ class KnnImputerModel(_KnnSettings, TableModel):
             ),
             self.get("k"),
         )
-        filled = found.groupBy(F.col("rid").alias(key)).agg(
-            *[F.avg(F.when(F.col("target") == c, F.col("payload"))).alias(f"_fill_{c}")
-              for c in cols]
+        filled = settle(  # stages that follow read it again and again
+            found.groupBy(F.col("rid").alias(key)).agg(
+                *[F.avg(F.when(F.col("target") == c, F.col("payload"))).alias(f"_fill_{c}")
+                  for c in cols]
+            )
+        )
+        out = df.join(filled, key, "left").withColumns(
+            {
+                c: F.coalesce(F.col(c).cast("double"), f"_fill_{c}", F.lit(means.get(c)))
+                for c in cols
+            }
         )
-        means = self.get("means")
-        out = df.join(filled, key, "left")
-        for c in cols:
-            fallback = [F.lit(means[c])] if c in means else []
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), f"_fill_{c}", *fallback))
         return out.drop(*[f"_fill_{c}" for c in cols])

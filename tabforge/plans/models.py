@@ -84,41 +84,58 @@ def gaussian_nb() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def boost_preset(name: str, rounds: int | None = None, seed: int = 42, cols=None):
-    """Stand-ins for the three boosting libraries: Spark's boosting with their settings.
-
-    ``target_encoded`` wants the names of indexed category columns and encodes
-    them by the mean target before boosting; it puts them in front of ``features``.
-    """
+def boost_preset(name: str, rounds: int | None = None, step=None, depth=None, seed: int = 42):
+    """Stand-ins for the three boosting libraries: Spark's boosting with their settings."""
     if name == "sampled":
         return GBTRegressor(
-            maxIter=rounds or 2000, stepSize=0.01, maxDepth=5, subsamplingRate=0.7,
-            featureSubsetStrategy="0.7", seed=seed, checkpointInterval=CHECKPOINT_EVERY,
+            maxIter=rounds or 2000, stepSize=step or 0.01, maxDepth=depth or 4,
+            subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed,
+            checkpointInterval=CHECKPOINT_EVERY,
         )
     if name == "leafwise":
         return GBTRegressor(
-            maxIter=rounds or 1000, stepSize=0.01, maxDepth=5, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=seed, checkpointInterval=CHECKPOINT_EVERY,
+            maxIter=rounds or 1000, stepSize=step or 0.01, maxDepth=depth or 5,
+            subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
+            checkpointInterval=CHECKPOINT_EVERY,
         )
     if name == "target_encoded":
-        encoded = [f"{c}_target" for c in cols]
-        return Pipeline(
-            stages=[
-                TargetEncoder(
-                    inputCols=list(cols), outputCols=encoded, targetType="continuous",
-                    handleInvalid="keep", smoothing=1.0,
-                ),
-                _AsNumbers(cols=encoded),
-                VectorAssembler(inputCols=[*encoded, "features"], outputCol="_boosted"),
-                GBTRegressor(
-                    featuresCol="_boosted", maxIter=rounds or 1500, stepSize=0.05, maxDepth=6,
-                    seed=seed, checkpointInterval=CHECKPOINT_EVERY,
-                ),
-            ]
+        return TargetEncodedBoost(
+            rounds=rounds or 1500, step=step or 0.05, depth=depth or 6, seed=seed
         )
     raise ValueError(f"no such preset: {name}")
 
 
+class TargetEncodedBoost(Configured, Estimator):
+    """Encode indexed categories by their mean target, then boost on them and ``features``."""
+
+    cols = setting("cols", "indexed category columns; none given: all '<name>_index' columns")
+    rounds = setting("rounds", "number of trees")
+    step = setting("step", "learning rate")
+    depth = setting("depth", "depth of each tree")
+    seed = setting("seed", "seed of the trees")
+    defaults = {"cols": None, "rounds": 1500, "step": 0.05, "depth": 6, "seed": 42}
+
+    def _fit(self, df: DataFrame):
+        cols = self.get("cols") or [c for c in df.columns if c.endswith("_index")]
+        encoded = [f"{c}_target" for c in cols]
+        encode = [
+            TargetEncoder(
+                inputCols=cols, outputCols=encoded, targetType="continuous",
+                handleInvalid="keep", smoothing=1.0,
+            ),
+            _AsNumbers(cols=encoded),
+        ]
+        boost = [
+            VectorAssembler(inputCols=[*encoded, "features"], outputCol="_boosted"),
+            GBTRegressor(
+                featuresCol="_boosted", maxIter=self.get("rounds"), stepSize=self.get("step"),
+                maxDepth=self.get("depth"), seed=self.get("seed"),
+                checkpointInterval=CHECKPOINT_EVERY,
+            ),
+        ]
+        return Pipeline(stages=[*(encode if cols else []), *boost]).fit(df)
+
+
 class _AsNumbers(Configured, Transformer):
     """Forget that target-encoded columns once were categories, which trees would split as such."""
 

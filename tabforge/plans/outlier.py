@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.order import hash32
 from tabforge.operators.quantiles import fitted_quantiles
-from tabforge.plans.base import Configured, setting
+from tabforge.plans.base import RAW, Configured, packed, setting
 from tabforge.session import settle
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -153,10 +153,10 @@ class CleanThenFit(Estimator):
         self.pre, self.detector, self.est = pre, detector, est
 
     def clean(self, df: DataFrame) -> DataFrame:
-        """The raw rows the detector keeps; it scores a superset of the raw columns."""
-        prepared = self.pre.fit(df).transform(df)
+        """The raw rows the detector keeps."""
+        prepared = self.pre.fit(df).transform(packed(df))
         scored = self.detector.fit(prepared).transform(prepared)
-        return keep_inliers(scored).select(*df.columns)
+        return keep_inliers(scored).select(f"{RAW}.*")
 
     def _fit(self, df: DataFrame) -> Model:
         return self.est.fit(self.clean(df))

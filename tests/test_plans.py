@@ -273,7 +273,7 @@ def test_poly_ridge_equals_the_kernel_solution(line, monkeypatch, widest_normal)
     x, y, df = line
     kernel = (x @ x.T / 2 + 2.5) ** 2
     expected = kernel @ np.linalg.solve(kernel + 0.6 * np.eye(len(y)), y)
-    fitted = linear.poly_ridge(2).fit(df).transform(df).orderBy("id").select("prediction")
+    fitted = linear.PolyRidge().fit(df).transform(df).orderBy("id").select("prediction")
     assert np.allclose([r[0] for r in fitted.collect()], expected, atol=1e-4)
 
 
@@ -335,7 +335,7 @@ def test_stacks(labelled, line):
     model = stack.fit(labelled)
     assert model.transform(labelled).agg(stats.accuracy()).first()[0] >= 0.9
     _, y, df = line
-    regressor = ensemble.StackRegressor({"ridge": linear.Ridge(), "poly": linear.poly_ridge(2)},
+    regressor = ensemble.StackRegressor({"ridge": linear.Ridge(), "poly": linear.PolyRidge()},
                                         key="id", folds=4)
     error = regressor.fit(df).transform(df).agg(stats.rmse()).first()[0]
     assert error < 0.5 * y.std()
