@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Transformer
 from pyspark.ml.param import Param, Params
 from pyspark.ml.util import (
     DefaultParamsReadable,
@@ -15,6 +15,8 @@ from pyspark.ml.util import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.session import settle
+
 
 def setting(name: str, doc: str) -> Param:
     return Param(Params._dummy(), name, doc)
@@ -23,6 +25,13 @@ def setting(name: str, doc: str) -> Param:
 RAW = "_raw"
 
 
+class Settled(DefaultParamsReadable, DefaultParamsWritable, Transformer):
+    """Write the rows prepared so far, for stages and learners that read them many times."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return settle(df)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """Carry the rows as they are in one struct, past stages that overwrite columns."""
     return df.withColumn(RAW, F.struct(*[F.col(f"`{c}`") for c in df.columns]))

@@ -26,7 +26,7 @@ from tabforge.operators.columns import (
 )
 from tabforge.plans import blocks, boosting, encode, ensemble, impute, linear, manifold, models
 from tabforge.plans import outlier, scale
-from tabforge.plans.base import Configured, setting
+from tabforge.plans.base import Configured, Settled, setting
 
 # Outlier rules and column choices of the published solutions.
 LIVING_AREA_BOUND = 4500
@@ -68,6 +68,7 @@ class MixedPrep(Configured, Estimator):
         scalers = {"iqr": scale.IqrScaler, "std": scale.StdScaler, "quantile": scale.QuantileNormal}
         if self.get("scaler") in scalers:
             stages.append(scalers[self.get("scaler")](cols=numeric))
+        stages.append(Settled())
         encoded = []
         if words:
             stages.append(impute.ModeImputer(cols=words))

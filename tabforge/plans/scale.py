@@ -51,10 +51,18 @@ def _ratio(pair, x: Column) -> Column:
     return above / below
 
 
-def probit(p: Column) -> Column:
-    """Inverse of the standard normal distribution function, good to 16 digits."""
+def probit_tail(p: Column) -> Column:
+    return F.sqrt(-F.ln(F.least(p, 1 - p)))
+
+
+def probit(p: Column, tail: Column | None = None) -> Column:
+    """Inverse of the standard normal distribution function, good to 16 digits.
+
+    ``tail`` may name a column that already holds ``probit_tail(p)``, which keeps
+    the expression short.
+    """
+    tail = probit_tail(p) if tail is None else tail
     centred = p - 0.5
-    tail = F.sqrt(-F.ln(F.least(p, 1 - p)))
     outer = F.when(tail <= 5, _ratio(AS241_MIDDLE, tail - 1.6)).otherwise(
         _ratio(AS241_TAIL, tail - 5)
     )
@@ -147,44 +155,60 @@ class QuantileNormal(Configured, Estimator):
 class QuantileNormalModel(Configured, Model):
     references = setting("references", "sorted reference quantiles per column")
 
-    def uniform(self, df: DataFrame, c: str, out: str) -> DataFrame:
-        """Add the rank share of a value, between 0 and 1.
+    def _share(self, c: str) -> Column:
+        """Rank share of a value, between 0 and 1, from its position ``_at_<column>``.
 
         A value equal to several references takes the middle of their ranks;
-        between two references it is interpolated. The reference below is found
-        by the Bucketizer's binary search.
+        between two references it is interpolated.
         """
         points = self.get("references")[c]
-        if not points:
-            return df.withColumn(out, F.lit(None).cast("double"))
         distinct = sorted(set(points))
         first = {p: i for i, p in reversed(list(enumerate(points)))}
         last = {p: i for i, p in enumerate(points)}
         top = len(points) - 1
-        inf = float("inf")
-        df = Bucketizer(
-            splits=[-inf, *distinct, inf], inputCol="_x", outputCol="_at", handleInvalid="keep"
-        ).transform(df.withColumn("_x", F.col(c).cast("double")))
 
         def at(values: list[float], shift: int = 0) -> Column:
-            return F.get(F.lit(values), F.col("_at").cast("int") - 1 + shift)
+            literal = F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+            return F.get(literal, F.col(f"_at_{c}").cast("int") - 1 + shift)
 
-        x, low, high = F.col("_x"), at(distinct), at(distinct, 1)
+        x, low, high = F.col(f"_x_{c}"), at(distinct), at(distinct, 1)
         from_rank, to_rank = at([last[p] for p in distinct]), at([first[p] for p in distinct], 1)
         middle = at([(first[p] + last[p]) / 2 for p in distinct])
         between = from_rank + (to_rank - from_rank) * (x - low) / (high - low)
-        return df.withColumn(
-            out,
+        return (
             F.when(x <= distinct[0], 0.0)
             .when(x >= distinct[-1], 1.0)
             .when(x == low, middle / top)
-            .when(x.isNotNull(), between / top),
-        ).drop("_x", "_at")
+            .when(x.isNotNull(), between / top)
+        )
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        for c in self.get("references"):
-            df = self.uniform(df, c, c)
-            low, high = F.lit(PROBABILITY_END), F.lit(1 - PROBABILITY_END)
-            inside = F.greatest(low, F.least(high, F.col(c)))
-            df = df.withColumn(c, F.when(F.col(c).isNotNull(), probit(inside)))
-        return df
+        """All columns go through each step together, so that the plan stays short.
+
+        The reference below a value is found by the Bucketizer's binary search.
+        """
+        references = self.get("references")
+        cols = [c for c, points in references.items() if points]
+        if not cols:
+            return df
+        low, high = F.lit(PROBABILITY_END), F.lit(1 - PROBABILITY_END)
+        inf = float("inf")
+        placed = Bucketizer(
+            splitsArray=[[-inf, *sorted(set(references[c])), inf] for c in cols],
+            inputCols=[f"_x_{c}" for c in cols], outputCols=[f"_at_{c}" for c in cols],
+            handleInvalid="keep",
+        ).transform(df.withColumns({f"_x_{c}": F.col(c).cast("double") for c in cols}))
+        shares = placed.withColumns({f"_at_{c}": self._share(c) for c in cols})
+        inside = shares.withColumns(
+            {
+                f"_at_{c}": F.when(
+                    F.col(f"_at_{c}").isNotNull(),
+                    F.greatest(low, F.least(high, F.col(f"_at_{c}"))),
+                )
+                for c in cols
+            }
+        )
+        tails = inside.withColumns({f"_x_{c}": probit_tail(F.col(f"_at_{c}")) for c in cols})
+        return tails.withColumns(
+            {c: probit(F.col(f"_at_{c}"), F.col(f"_x_{c}")) for c in cols}
+        ).drop(*[f"_at_{c}" for c in cols], *[f"_x_{c}" for c in cols])

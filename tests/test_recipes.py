@@ -39,7 +39,7 @@ def manifest_a(spark):
         "label", F.col("Survived").cast("double"))
 
 
-@pytest.mark.parametrize("version", ["baseline", "voting", "stacking", "notebook"])
+@pytest.mark.parametrize("version", ["baseline", "voting", "notebook", "stacking"])
 def test_manifest_a(manifest_a, version):
     model = recipes.manifest_a(version, effort=QUICK).fit(manifest_a)
     scored = model.transform(manifest_a.drop("label", "Survived"))
