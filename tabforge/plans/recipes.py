@@ -96,7 +96,9 @@ def _count(number: int, effort: float) -> int:
 # --- first manifest ---------------------------------------------------------------------
 
 
-def manifest_a(version: str, key: str = "PassengerId", effort: float = 1.0) -> Estimator:
+def manifest_a(
+    version: str, key: str = "PassengerId", effort: float = 1.0, folds: int = 5
+) -> Estimator:
     """'baseline', 'voting', 'stacking' or 'notebook'."""
 
     def many(number: int) -> int:
@@ -138,7 +140,7 @@ def manifest_a(version: str, key: str = "PassengerId", effort: float = 1.0) -> E
             "fourier": models.rff_classifier(gamma=0.1, c=10.0),
             "knn": models.KnnClassifier(k=10, id_col=key),
             "ada": boosting.AdaBoost(rounds=many(100)),
-        }, key=key, folds=5, prepare=prepare)
+        }, key=key, folds=folds, prepare=prepare)
     if version == "notebook":
         features = ["Pclass", "sex_code", "Age", "Fare", "Embarked", "title_group", "deck_scale",
                     "family_scale"]
@@ -161,7 +163,7 @@ def manifest_a(version: str, key: str = "PassengerId", effort: float = 1.0) -> E
 # --- second manifest --------------------------------------------------------------------
 
 
-def _features_b(version: int, key: str) -> Pipeline:
+def _features_b(version: int, key: str, effort: float) -> Pipeline:
     logs = [f"log_{c}" for c in blocks.SPEND]
     categories = [*CATEGORIES_B, "deck", "side"]
     if version == 1:
@@ -195,7 +197,7 @@ def _features_b(version: int, key: str) -> Pipeline:
         if version >= 10:
             stages = [impute.FillModel(fills={c: 0.0 for c in blocks.SPEND}),
                       scale.Winsorizer(cols=blocks.SPEND), *stages]
-        stages += [blocks.ClusterMatrix(), manifold.ClusterId(cols=matrix, k=12),
+        stages += [blocks.ClusterMatrix(), manifold.ClusterId(cols=matrix, k=12, restarts=_count(10, effort)),
                    manifold.PcaFeatures(cols=matrix, k=2)]
         categories += ["cabin_region", "cluster_id"]
         numbers += ["relative_position", "family_size", "occupancy", "zero_spend", "pca_1", "pca_2"]
@@ -255,14 +257,16 @@ def _learners_b(version: int, key: str, effort: float) -> tuple[dict, list[float
     return learners | {"boost": boost}, [3.0, 1.0, 1.0]
 
 
-def manifest_b(version: int, key: str = "PassengerId", effort: float = 1.0) -> Estimator:
+def manifest_b(
+    version: int, key: str = "PassengerId", effort: float = 1.0, folds: int = 5
+) -> Estimator:
     """Versions 1 to 11. Version 8 also learns from the rows without a label."""
     if version not in range(1, 12):
         raise ValueError(f"no such version: {version}")
     learners, weights = _learners_b(version, key, effort)
-    prepare = _features_b(version, key)
+    prepare = _features_b(version, key, effort)
     if version == 11:
-        stack = ensemble.StackClassifier(learners, key=key, folds=5, prepare=prepare)
+        stack = ensemble.StackClassifier(learners, key=key, folds=folds, prepare=prepare)
         return _cleaned(prepare, stack, key)
     whole = Pipeline(stages=[prepare, ensemble.SoftVote(learners, weights)])
     if version == 8:
@@ -318,6 +322,8 @@ class HouseFeatures(Configured, Estimator):
 
     version = setting("version", "2 to 9")
     key = setting("key", "row key")
+    restarts = setting("restarts", "runs of the clustering")
+    defaults = {"restarts": 10}
 
     def _fit(self, df: DataFrame):
         version = self.get("version")
@@ -334,7 +340,9 @@ class HouseFeatures(Configured, Estimator):
         stages += [
             blocks.HouseBlock(),
             blocks.FilledCopies(cols=areas),
-            manifold.ClusterId(cols=logs, k={3: 8, 9: 12}.get(version, 10)),
+            manifold.ClusterId(
+                cols=logs, k={3: 8, 9: 12}.get(version, 10), restarts=self.get("restarts")
+            ),
             blocks.FilledCopies(cols=numeric, prefix="f_", log=False),
             manifold.PcaFeatures(cols=plain, k=5 if version == 3 else 3),
             blocks.DropColumns(cols=[*logs, *plain]),
@@ -366,7 +374,7 @@ def house_learners(names: Sequence[str], version: int, effort: float = 1.0) -> d
     return {name: every[name]() for name in names}
 
 
-def houses(version: int, key: str = "Id", effort: float = 1.0) -> Estimator:
+def houses(version: int, key: str = "Id", effort: float = 1.0, folds: int = 5) -> Estimator:
     """Versions 1 to 9 on rows already cleaned; predictions are prices."""
     if version == 1:
         return ensemble.LogTarget(Pipeline(stages=[
@@ -374,7 +382,8 @@ def houses(version: int, key: str = "Id", effort: float = 1.0) -> Estimator:
             models.forest_regressor(trees=_count(100, effort)),
         ]))
     learners = house_learners(HOUSE_LEARNERS[version], version, effort)
-    prepare = Pipeline(stages=[HouseFeatures(version=version, key=key), MixedPrep(key=key)])
+    features = HouseFeatures(version=version, key=key, restarts=_count(10, effort))
+    prepare = Pipeline(stages=[features, Settled(), MixedPrep(key=key)])
     return ensemble.LogTarget(
-        ensemble.StackRegressor(learners, key=key, folds=5, prepare=prepare)
+        ensemble.StackRegressor(learners, key=key, folds=folds, prepare=prepare)
     )

@@ -41,7 +41,7 @@ def manifest_a(spark):
 
 @pytest.mark.parametrize("version", ["baseline", "voting", "notebook", "stacking"])
 def test_manifest_a(manifest_a, version):
-    model = recipes.manifest_a(version, effort=QUICK).fit(manifest_a)
+    model = recipes.manifest_a(version, effort=QUICK, folds=2).fit(manifest_a)
     scored = model.transform(manifest_a.drop("label", "Survived"))
     assert scored.where("prediction IS NULL").count() == 0 and scored.count() == 160
     joined = scored.select("PassengerId", "prediction").join(
@@ -113,7 +113,7 @@ def test_houses(house_rows, version):
     cleaned = recipes.clean_houses(house_rows, version)
     assert cleaned.count() == (121 if version == 1 else 120)
     rows = house_rows.where("Id < 500")
-    scored = recipes.houses(version, effort=0.002).fit(
+    scored = recipes.houses(version, effort=0.002, folds=2).fit(
         recipes.clean_houses(rows, version)).transform(rows.drop("label"))
     both = scored.select("Id", "prediction").join(rows.select("Id", "label"), "Id")
     logs = both.select("Id", F.log1p("prediction").alias("prediction"),
