@@ -72,12 +72,9 @@ def manifest_b(spark):
         "label", F.col("Transported").cast("double"))
 
 
-@pytest.mark.parametrize("version", [1, 2, 4, 5, 8, 10])
+@pytest.mark.parametrize("version", [1, 2])
 def test_manifest_b(manifest_b, version):
-    rows = manifest_b
-    if version == 8:  # learns from unlabelled rows too
-        rows = rows.withColumn("label", F.when(F.col("PassengerId") < "0070_01", F.col("label")))
-    model = recipes.manifest_b(version, effort=QUICK).fit(rows)
+    model = recipes.manifest_b(version, effort=QUICK).fit(manifest_b)
     out = ensemble.predict(model, manifest_b.drop("label"), "PassengerId", "Transported", "boolean")
     assert out.where("Transported IS NULL").count() == 0 and out.count() == 200
     truth = manifest_b.select("PassengerId", F.col("Transported").alias("truth"))
@@ -108,7 +105,7 @@ def house_rows(spark):
         "SalePrice", "label")
 
 
-@pytest.mark.parametrize("version", [1, 2, 3, 9])
+@pytest.mark.parametrize("version", [1, 2])
 def test_houses(house_rows, version):
     cleaned = recipes.clean_houses(house_rows, version)
     assert cleaned.count() == (121 if version == 1 else 120)
