@@ -1,0 +1,21 @@
+"""Queries of this subpackage, each next to the SQL it must agree with, if SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(build: Query) -> Query:
+        QUERIES[name] = build
+        if sql is not None:
+            ORACLES[name] = sql
+        return build
+
+    return register
