@@ -1,6 +1,6 @@
 """Operators for preparing training text; nothing else in the library imports this."""
 
-from tabforge.llm import token_binary
+from tabforge.llm import decontaminate, token_binary
 from tabforge.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "token_binary"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "token_binary"]
