@@ -28,14 +28,14 @@ def _emit(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _merged(dtype: str, either: bool):
+def _merged(sent: str, dtype: str, either: bool):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(cells, dtype=dtype)
+                part = np.frombuffer(cells, dtype=sent).astype(dtype)
                 if block not in sums:
-                    sums[block] = part.copy()
+                    sums[block] = part
                 elif either:
                     sums[block] |= part
                 else:
@@ -49,9 +49,9 @@ def _merged(dtype: str, either: bool):
     return merge
 
 
-def _gather(blocks: DataFrame, size: int, dtype: str, either: bool) -> np.ndarray:
+def _gather(blocks: DataFrame, size: int, sent: str, dtype: str, either: bool) -> np.ndarray:
     out = np.zeros(size, dtype=dtype)
-    merged = blocks.repartition("block").mapInArrow(_merged(dtype, either), _SCHEMA)
+    merged = blocks.repartition("block").mapInArrow(_merged(sent, dtype, either), _SCHEMA)
     for row in merged.collect():  # at most the size of the array
         part = np.frombuffer(row.cells, dtype=dtype)
         out[row.block * _PER_BLOCK : row.block * _PER_BLOCK + len(part)] = part
@@ -64,14 +64,14 @@ def cell_counts(
     """How many hashes fall into each cell (int64), over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, dtype=np.int64)
+        cells = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for found in hashes(batch):
                 at, n = np.unique(cell_of(found, bits), return_counts=True)
-                cells[at] += n
+                cells[at] += n.astype(np.int32)
         yield from _emit(cells)
 
-    return _gather(df.mapInArrow(count, _SCHEMA), 1 << bits, "int64", False)
+    return _gather(df.mapInArrow(count, _SCHEMA), 1 << bits, "int32", "int64", False)
 
 
 def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
             cells[cell_of(values, bits)] = True
         yield from _emit(np.packbits(cells, bitorder="little"))
 
-    return _gather(df.select(column).mapInArrow(mark, _SCHEMA), 1 << (bits - 3), "uint8", True)
+    return _gather(df.select(column).mapInArrow(mark, _SCHEMA), 1 << (bits - 3), "uint8", "uint8", True)
 
 
 def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
