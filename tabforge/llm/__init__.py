@@ -1,6 +1,6 @@
 """Operators for preparing training text; nothing else in the library imports this."""
 
-from tabforge.llm import decontaminate, language, ngram_jaccard, quality, token_binary
+from tabforge.llm import decontaminate, language, mixing, ngram_jaccard, quality, token_binary
 from tabforge.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "ngram_jaccard", "quality", "token_binary"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "mixing", "ngram_jaccard", "quality", "token_binary"]
