@@ -1,6 +1,6 @@
 """Operators for preparing training text; nothing else in the library imports this."""
 
-from tabforge.llm import decontaminate, language, mixing, ngram_jaccard, pii, quality, substrings, token_binary, warc
+from tabforge.llm import decontaminate, language, mixing, ngram_jaccard, pii, quality, substrings, token_binary, token_counts, warc
 from tabforge.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "mixing", "ngram_jaccard", "pii", "quality", "substrings", "token_binary", "warc"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "mixing", "ngram_jaccard", "pii", "quality", "substrings", "token_binary", "token_counts", "warc"]
