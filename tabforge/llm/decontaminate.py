@@ -102,6 +102,15 @@ def _count(known, widths: list[int]):
     return count
 
 
+def copies_of(block: Texts) -> list[int]:
+    """Hash of each whole text, the same as Spark's xxhash64."""
+    marks = [
+        xxhash.xxh64_intdigest(block.data[a:b].tobytes(), seed=42)
+        for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist())
+    ]
+    return signed(np.array(marks, dtype=np.uint64)).tolist()
+
+
 def _candidates(known, widths: list[int], size: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.string()]
@@ -109,10 +118,7 @@ def _candidates(known, widths: list[int], size: int):
         for batch in batches:
             ids = column(batch, "doc_id").to_pylist()
             for block in texts(column(batch, "text")):
-                copies = [
-                    xxhash.xxh64_intdigest(block.data[a:b].tobytes()) - 2**63
-                    for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist())
-                ]
+                copies = copies_of(block)
                 starts, lengths, bounds, found = _places(block, known.value, widths)
                 own = ids[block.first : block.first + len(block)]
                 rows = [
@@ -216,6 +222,15 @@ def decontaminate(
     return verdicts, hits
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The input rows that hold no window of an item, with the input's columns."""
+    hits = decontaminate(docs, benchmark)[1].select(
+        F.col("doc_id").alias("_doc_id"), F.col("copy").alias("_copy")
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_copy"))
+    return docs.join(hits, same, "left_anti")
+
+
 def words_sql(column: str, pattern: str = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") -> str:
     """DuckDB: the words of a text once A-Z are lower case."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

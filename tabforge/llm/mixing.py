@@ -220,12 +220,12 @@ class Mix:
         places = pieces.groupBy(key, "mark").agg(F.collect_list("pieces").alias("places"))
         turn = F.row_number().over(Window.partitionBy("key", "mark").orderBy("key"))
         rows = self.docs.select(
-            F.struct("*").alias("row"), key, F.xxhash64("text").alias("mark"), "text"
+            F.struct("*").alias("row"), key, F.xxhash64("text").alias("mark")
         ).withColumn("turn", turn)
         rows = rows.join(places, ["key", "mark"]).where("turn <= size(places)")
         rows = rows.select(
             "row", F.get("places", F.col("turn") - 1).alias("pieces"),
-            F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+").alias("words"),
+            F.split(F.btrim("row.text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+").alias("words"),
         )
         rounds = F.expr("sequence(1, array_max(transform(pieces, p -> int(p.times))))")
         rows = rows.withColumn("round", F.explode(rounds))

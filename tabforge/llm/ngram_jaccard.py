@@ -7,10 +7,11 @@ form a class and are handled once. The join of the classes is exact:
    are counted, the array has a fixed size), rare ones first. Sets that are similar
    enough share a shingle among their first quarter in that one order.
 2. *Tiles.* Classes meet by such a shingle and by size. A tile of up to ``TILE``
-   classes is joined within. In larger ones, every class first meets a few others
-   in random order, which ties groups of near copies together in linear work; later
-   only pairs whose ends are not yet in one component are left, and those are
-   joined in full.
+   classes is joined within. In larger ones, classes first meet a few others in
+   random order, which ties groups of near copies together in linear work. What is
+   not in one component then is compared in full, but inside a task: large tiles
+   with the same smallest class are taken together, cut into bands of size and
+   blocks of ``BLOCK`` shingles, and only links come out.
 3. *Bitmaps.* Each class has a hashed bitmap whose width follows its size. A bit of
    one that the other lacks stands for at least one shingle it lacks, so the bit
    counts bound the overlap from above, and most pairs end here.
@@ -41,8 +42,11 @@ from tabforge.sources.tables import load
 
 WIDTH = 5
 TILE = 64
-#: Random partners per shared shingle, and of all of them those that are looked at exactly.
-LAGS, PARTNERS = 3, 3
+#: Shingles that one block of a large tile holds.
+BLOCK = 1 << 19
+#: Random partners in a large tile, the share of large tiles (1 of so many) that deals
+#: them, and how many partners of a class are looked at exactly before the rest.
+LAGS, EVERY, PARTNERS = 2, 8, 3
 #: 2**CELL_BITS counting cells; add a bit whenever the shingles of a corpus outgrow
 #: them a thousandfold, so that common passages still stand out.
 CELL_BITS = 20
@@ -81,9 +85,9 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), seed=len(shingles)) - 2**63
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """As many bits as shingles at least, a power of two, in 64-bit words."""
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, room: int = 1) -> np.ndarray:
+    """``room`` bits per shingle at least, a power of two, in 64-bit words."""
+    size = max(64, 1 << (room * len(shingles) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(mix(shingles ^ _GOLD) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -158,7 +162,10 @@ def _pairs(rows: np.ndarray, size: np.ndarray, tile: int, lags: int) -> np.ndarr
     later = np.arange(1, len(rows))
     for lag in range(1, tile):
         later = later[later >= lag]
-        if lag > lags:
+        if lag == 1:
+            dealt = (h[later] >> 7) % EVERY == 0
+            later = later[(size[later] <= tile) | dealt]
+        elif lag == lags + 1:
             later = later[size[later] <= tile]
         early = later - lag
         same = (h[later] == h[early]) & (turn[later] == turn[early])
@@ -240,6 +247,90 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_TILE = ["hub", "span", "low", "high"]
+_MEMBER = ["c", "n", "band", "block", "label", "shingles"]
+
+
+def _tile_links(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links of one tile that tie different labels together, enough of them to do so.
+
+    Bitmaps with eight bits per shingle sort out pairs, a block of rows at a time;
+    what is left is intersected unless both ends have come together meanwhile.
+    """
+    c, n, band, block, label = (
+        np.asarray(rows[k].combine_chunks(), dtype=np.int64) for k in _MEMBER[:5]
+    )
+    span, low, high = (rows[k][0].as_py() for k in _TILE[1:])
+    flat, cuts = unpacked(rows["shingles"].combine_chunks(), "u8")
+    sets = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    wide = [bitmap(s, 8) for s in sets]
+    words = min(map(len, wide))
+    maps = np.concatenate([_fold(w[None], words) for w in wide])
+    filled = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    names, label = np.unique(label, return_inverse=True)
+    top = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    few = np.flatnonzero(label != np.argmax(np.bincount(label)))  # two of the largest need no look
+    step = max(1, (1 << 20) // (len(c) * words))
+    out = []
+    for first in range(0, len(few), step):
+        a = few[first : first + step]
+        both = np.bitwise_count(maps[a][:, None, :] & maps[None]).sum(axis=2, dtype=np.int64)
+        bound = np.minimum(n[a][:, None] - filled[a][:, None], (n - filled)[None]) + both
+        may = bound >= least_overlap(n[a][:, None] + n[None])
+        may &= label[a][:, None] != label[None]
+        may &= np.minimum(band[a][:, None], band[None]) == span
+        if low != high:
+            may &= block[a][:, None] != block[None]
+        left, right = np.nonzero(may)
+        for x, y in zip(a[left].tolist(), right.tolist()):
+            label_x, label_y = find(label[x]), find(label[y])
+            if label_x != label_y and _overlap(sets[x], sets[y]) >= least_overlap(n[x] + n[y]):
+                top[max(label_x, label_y)] = min(label_x, label_y)
+                out.append((int(c[x]), int(c[y])))
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile -> links."""
+
+    def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _tile_links(pa.Table.from_batches(parts))
+        ends = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([np.asarray(column(batch, k), dtype=np.int64) for k in _TILE], axis=1)
+        opens = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        cuts = [0, *opens.tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            now = tuple(keys[a].tolist())
+            if held and now != last:
+                yield from emit(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield from emit(held)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    if len(a) > len(b):
+        a, b = b, a
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.count_nonzero(b[place] == a))
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep pairs whose sorted arrays share enough."""
     for batch in batches:
@@ -248,10 +339,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for row in range(batch.num_rows):
             a, b = set_a[cut_a[row] : cut_a[row + 1]], set_b[cut_b[row] : cut_b[row + 1]]
-            if len(a) > len(b):
-                a, b = b, a
-            place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            if np.count_nonzero(b[place] == a) >= least_overlap(len(a) + len(b)):
+            if _overlap(a, b) >= least_overlap(len(a) + len(b)):
                 keep.append(row)
         rows = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -301,12 +389,10 @@ class _Join:
             "c", "n", "parts", F.posexplode("prefix").alias("i", "h")
         )
         parts = F.coalesce(F.try_element_at("parts", F.col("i") + 1), F.lit(1))
-        mark = F.xxhash64("h", "c")
-        rows = rows.select(
-            "h", parts.alias("parts"), F.pmod(mark, parts).alias("turn"), "c", "n", "i",
-            mark.alias("mark"),
-        )
-        tiles = rows.repartition("h", "turn").sortWithinPartitions("h", "turn", "mark").drop("mark")
+        turn = F.pmod(F.xxhash64("h", "c"), parts)
+        rows = rows.select("h", parts.alias("parts"), turn.alias("turn"), "c", "n", "i")
+        tiles = rows.repartition("h", "turn").withColumn("mark", F.xxhash64("c", "h"))
+        tiles = tiles.sortWithinPartitions("h", "turn", "mark").drop("mark")
         return settle(tiles.mapInArrow(_meet(self.tile, LAGS), _MET))
 
     def prune(self, pairs: DataFrame) -> DataFrame:
@@ -337,7 +423,7 @@ class _Join:
         met = self.meet(signed_rows)
         pairs = met.where("NOT large").groupBy("a", "b").agg(F.count("*").alias("seen"))
         pairs = settle(self.prune(pairs))
-        members = met.where("large").select("h", F.col("a").alias("c"), "n", "i")
+        members = met.where("large").select("h", F.col("a").alias("c"), "n").distinct()
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
         self.fetch(ends.unionByName(members.select("c")).distinct())
 
@@ -345,11 +431,8 @@ class _Join:
         few = pairs.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PARTNERS)
         found = settle(self.verify(few))
         label = settle(components(found))
-        rest = self.apart(pairs.select("a", "b"), label)
-        open_tiles = self.open_members(members, label)
-        rest = rest.unionByName(self.apart(open_tiles, label)).distinct()
-        rest = self.prune(rest.withColumn("seen", F.lit(1).cast("long")))
-        return found.unionByName(settle(self.verify(rest)))
+        rest = self.verify(self.apart(pairs.select("a", "b"), label))
+        return found.unionByName(rest).unionByName(self.compared(members, label))
 
     def apart(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component."""
@@ -361,22 +444,29 @@ class _Join:
             F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
         ).select("a", "b")
 
-    def open_members(self, members: DataFrame, label: DataFrame) -> DataFrame:
-        """All pairs of one large tile that are not in one component and fit by size and place."""
-        own = members.distinct().join(label.withColumnRenamed("node", "c"), "c", "left").select(
-            "h", "c", "n", "i", F.coalesce("label", "c").alias("label")
+    def compared(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        """Links within large tiles between what is not in one component."""
+        own = members.join(label.withColumnRenamed("node", "c"), "c", "left").select(
+            "h", "c", "n", F.coalesce("label", "c").alias("label")
         )
-        mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        own = own.join(mixed.where("low <> high").select("h"), "h", "left_semi")
-        left = own.select("h", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"), F.col("label").alias("label_a"))
-        right = own.select("h", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("label").alias("label_b"))
-        room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-        fits = 7 * room >= 3 * (F.col("n_a") + F.col("n_b"))
-        return (
-            left.join(right, "h")
-            .where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits)
-            .select("a", "b").distinct()
+        mixed = own.groupBy("h").agg(
+            F.min("c").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
+        ).where("low <> high").select("h", "hub")
+        own = own.join(mixed, "h").select("hub", "c", "n", "label").distinct()
+        blocks = own.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")  # at most one apart if linked
+        rows = own.join(blocks, "hub").join(self.sets, "c").select(
+            "hub", "c", "n", band.alias("band"),
+            F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"), "label", "shingles", "blocks",
         )
+        rows = rows.withColumn("span", F.explode(F.array(F.col("band") - 1, F.col("band"))))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select(
+            "hub", "span", F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"), *_MEMBER,
+        )
+        tiles = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
+        return tiles.mapInArrow(_tiles, "a long, b long")
 
 
 def jaccard_join(
@@ -409,6 +499,21 @@ def jaccard_join(
     return membership, links
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component: its smallest id, with the input's columns.
+
+    Of repeated rows (same id and text) one stays. Where rows of one id have
+    different texts, those of them whose component it is the smallest id of stay.
+    """
+    membership, _ = jaccard_join(docs)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    first = membership.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named).distinct()
+    rows = docs.select(F.struct("*").alias("row"), named)
+    turn = Window.partitionBy("key", "mark").orderBy("key")
+    rows = rows.join(first, "key").withColumn("mark", F.xxhash64("row.text"))
+    return rows.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("row.*")
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: All documents meet by the shingles they share, so this is for small tables only.
 SQL = f"""WITH RECURSIVE w AS (

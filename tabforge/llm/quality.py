@@ -101,7 +101,11 @@ def measured(docs: DataFrame) -> DataFrame:
         "aggregate(repeated, struct(0 AS reached, 0 AS words), (s, i) ->"
         " struct(i + 3 AS reached, s.words + least(3, i + 3 - s.reached) AS words)).words"
     )
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("repeated")
+    # The nought comes from a function that is not deterministic, so that no filter on
+    # the counts is pushed below, where it would sort again for every element.
+    nought = F.least(F.spark_partition_id(), F.lit(0))
+    counted = (F.coalesce(covered, F.lit(0)) + nought).cast("long")
+    return rows.withColumn("n_repeat_words", counted).drop("repeated")
 
 
 def _logit(p: str) -> str:

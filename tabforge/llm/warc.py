@@ -213,8 +213,11 @@ def _reader(with_payload: bool):
 
 def train(pages: DataFrame) -> bytes:
     """A dictionary from the ``SAMPLE_PAGES`` pages of smallest hash; empty if they are too few."""
-    sample = pages.where("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id", "url").alias("mark"))
-    rows = sample.orderBy("mark", "html").limit(SAMPLE_PAGES).collect()
+    marked = pages.where("html <> ''").withColumn("mark", F.xxhash64("page_id", "url"))
+    last = marked.select("mark").orderBy("mark").limit(SAMPLE_PAGES).agg(F.max("mark")).first()[0]
+    sample = marked.where(F.col("mark") <= F.lit(last)).limit(SAMPLE_PAGES)
+    rows = sample.select("mark", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
+    rows.sort()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.html.encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):

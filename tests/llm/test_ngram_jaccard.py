@@ -70,6 +70,7 @@ def corpus(seed, n_bases=6, copies=9):
 @pytest.mark.parametrize("tile, part", [(64, 200_000), (4, 200_000), (4, 3)])
 def test_against_all_pairs(spark, monkeypatch, tile, part):
     monkeypatch.setattr(nj, "PART_ROWS", part)
+    monkeypatch.setattr(nj, "BLOCK", 300)
     rows = list(enumerate(corpus(tile)))
     rows += [(900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "ONE  two"), (905, "one two three")]
     rows += [(906, "a " * 5000), (907, "a " * 300), (0, rows[0][1]), (0, rows[0][1]), (0, "clash of ids only"), (None, rows[9][1]), (None, None), (None, "lonely words")]
@@ -82,6 +83,19 @@ def test_exact_border(spark):
     assert found(spark, rows) == expected(rows)
 
 
+def test_groups_of_near_copies(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for group in range(2):
+        words = [f"g{group}w{k}" for k in range(120)]
+        for k in range(90):
+            own = list(words)
+            for _ in range(k // 12):
+                own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * group + k, " ".join(own[: 120 - rng.randrange(20)])))
+    monkeypatch.setattr(nj, "BLOCK", 2000)
+    assert found(spark, rows, tile=8) == expected(rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
@@ -99,11 +113,14 @@ def test_bitmaps_never_drop_a_link():
         assert not len(b) or bound >= len(np.intersect1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_part", [200_000, 7])
+def test_components(spark, monkeypatch, per_part):
+    monkeypatch.setattr("tabforge.llm.components.EDGES_PER_PART", per_part)
     rng = random.Random(5)
     links = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(100 + k, 101 + k) for k in range(40)]
-    nodes = {n for a, b in links if a != b for n in (a, b)}
-    df = spark.createDataFrame(links, "a long, b long")
+    df = spark.createDataFrame(links, "a long, b long").repartition(20)
+    links = [(a, b) for a, b in links if a != b]
+    nodes = {n for link in links for n in link}
     assert {tuple(r) for r in components(df).collect()} == set(groups(nodes, links).items())
 
 
