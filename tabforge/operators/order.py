@@ -26,24 +26,34 @@ def hash32(row_id: Column, seed: int) -> Column:
 def running_sum(
     df: DataFrame, value: Column, part: Column, order: Sequence[str], keys: Sequence[str], out: str
 ) -> DataFrame:
-    """Sum of all earlier rows of the key. ``part`` must grow with ``order``."""
+    """Sum of all earlier rows of the key. ``part`` must grow with ``order``.
+
+    Rows whose key is NULL are a group of their own.
+    """
     keys = list(keys)
     rows = df.withColumn("_part", part).withColumn("_add", value)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*keys, "_part")
         .agg(F.sum("_add").alias("_sum"))
-        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+        .select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.col("_part").alias("_of_part"),
+            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"),
+        )
     )
+    same = F.col("_part") == F.col("_of_part")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_of_{key}"))
     within = (
         Window.partitionBy(*keys, "_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        rows.join(starts, [*keys, "_part"])
+        rows.join(starts, same)
         .withColumn(out, F.col("_start") + F.coalesce(F.sum("_add").over(within), F.lit(0)))
-        .drop("_part", "_add", "_start")
+        .drop("_part", "_add", "_start", "_of_part", *[f"_of_{k}" for k in keys])
     )
 
 

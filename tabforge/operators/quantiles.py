@@ -1,22 +1,21 @@
-"""Exact quantiles, for any number of rows and any size of group.
+"""Exact quantiles by one route, whatever the number of rows and the size of a group.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is
-right and fast while a group is small, so groups are counted first. Groups over
-the limit take another route to the same exact answer: values are cut into
-narrow ranges, the ranges are counted, and only the few ranges that hold a
-wanted rank are looked into.
+Equal values are counted first. The distinct values are cut, in order of group and
+value, into parts of bounded size; parts are summed and only then numbered through,
+so neither a hot group nor a narrow range of values meets in one task. Each quantile
+is read off where its rank falls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-IN_MEMORY_ROWS = 1_000_000
-RANGES = 1_000
+from tabforge.operators.order import ROWS_PER_PART, running_sum
+from tabforge.session import settle
 
 
 def quantiles(
@@ -24,27 +23,71 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """One row per key; each column becomes the array of its linear quantiles.
 
-    NULL values are skipped, rows with a NULL key are left out.
+    NULL values are skipped; a column without values in a group gives NULL. Rows
+    with a NULL key are left out. NaN counts as larger than all numbers.
     """
     keys = list(keys)
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     if keys:
         df = df.dropna(subset=keys)
-    if df.count() <= in_memory_rows:
-        return _in_memory(df, cols, probs, keys)
-    if not keys:
-        return _by_ranges(df, cols, probs, keys)
-    sizes = df.groupBy(*keys).count()
-    hot = sizes.where(F.col("count") > in_memory_rows).select(*keys)
-    if hot.isEmpty():
-        return _in_memory(df, cols, probs, keys)
-    small = _in_memory(df.join(hot, keys, "left_anti"), cols, probs, keys)
-    large = _by_ranges(df.join(hot, keys, "left_semi"), cols, probs, keys)
-    return small.unionByName(large)
+    entries = [
+        F.struct(F.lit(place).alias("_col"), F.col(c).alias("_value"))
+        for place, c in enumerate(cols)
+    ]
+    series = [*keys, "_col"]
+    counted = settle(
+        df.select(*keys, F.inline(F.array(*entries)))
+        .where("_value IS NOT NULL")
+        .groupBy(*series, "_value")
+        .agg(F.count("*").alias("_times"))
+    )
+    parts = max(1, ceil(counted.count() / rows_per_part))
+    ranged = counted.withColumn("_in", F.lit(0))
+    if parts > 1:
+        ranged = counted.repartitionByRange(parts, *series, "_value")
+        ranged = settle(ranged.withColumn("_in", F.spark_partition_id()))
+    placed = running_sum(ranged, F.col("_times"), F.col("_in"), ["_value"], series, "_from")
+    totals = counted.groupBy(*series).agg(F.sum("_times").alias("_n"))
+
+    def rank(prob: float, place: int):
+        at = F.lit(float(prob)) * (F.col("_n") - 1)
+        return F.struct(
+            F.lit(place).alias("i"), at.alias("at"),
+            F.floor(at).alias("low"), F.ceil(at).alias("high"),
+        )
+
+    start, stop = F.col("_from"), F.col("_from") + F.col("_times")
+    held = F.filter(
+        F.array(*[rank(p, place) for place, p in enumerate(probs)]),
+        lambda r: ((r["low"] >= start) & (r["low"] < stop))
+        | ((r["high"] >= start) & (r["high"] < stop)),
+    )
+    lower, upper = F.min("_value"), F.max("_value")
+    at, low, high = (F.col(f"_rank.{name}") for name in ("at", "low", "high"))
+    found = (
+        placed.join(totals, series)
+        .select(*series, "_value", F.explode(held).alias("_rank"))
+        .groupBy(*series, "_rank")
+        .agg(lower.alias("_lower"), upper.alias("_upper"))
+        .withColumn(
+            "_quantile",
+            F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise(
+                (high - at) * F.col("_lower") + (at - low) * F.col("_upper")
+            ),
+        )
+    )
+
+    def in_order(place: int):
+        own = F.when(F.col("_col") == place, F.struct(F.col("_rank.i"), F.col("_quantile")))
+        values = F.transform(F.array_sort(F.collect_list(own)), lambda e: e["_quantile"])
+        return F.when(F.size(values) > 0, values)
+
+    table = found.groupBy(*keys).agg(*[in_order(k).alias(c) for k, c in enumerate(cols)])
+    return df.select(*keys).distinct().join(table, keys, "left") if keys else table
 
 
 def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), **options) -> DataFrame:
@@ -58,77 +101,3 @@ def fitted_quantiles(
     """Whole-table quantiles as plain numbers: one row comes to the driver."""
     row = quantiles(df, cols, probs, **options).first()
     return {c: row[c] for c in cols}
-
-
-def _in_memory(df, cols, probs, keys):
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*keys).agg(*[F.percentile(c, wanted).alias(c) for c in cols])
-
-
-def _by_ranges(df, cols, probs, keys):
-    grid = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.approxQuantile(list(cols), grid, 0.5 / RANGES)
-    bounds = [[float("-inf"), *sorted(set(found)), float("inf")] for found in cuts]
-    ranged = Bucketizer(
-        splitsArray=bounds,
-        inputCols=list(cols),
-        outputCols=[f"_range_{c}" for c in cols],
-        handleInvalid="keep",
-    ).transform(df)
-    entries = [
-        F.struct(
-            F.lit(c).alias("_col"),
-            F.col(f"_range_{c}").cast("int").alias("_range"),
-            F.col(c).alias("_value"),
-        )
-        for c in cols
-    ]
-    long = ranged.select(*keys, F.inline(F.array(*entries))).where("_value IS NOT NULL")
-
-    series = [*keys, "_col"]
-    cell = [*series, "_range"]
-    per_range = long.groupBy(*cell).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*series).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    per_range = per_range.select(
-        *cell,
-        "_rows",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(Window.partitionBy(*series)).alias("_n"),
-    )
-    place = F.col("_prob") * (F.col("_n") - 1)
-    wanted = (
-        per_range.withColumn("_probs", F.array(*[F.lit(float(p)) for p in probs]))
-        .select("*", F.posexplode("_probs").alias("_i", "_prob"))
-        .withColumn("_weight", place - F.floor(place))
-        .withColumn("_rank", F.explode(F.array(F.floor(place), F.ceil(place))))
-        .where("_rank >= _start AND _rank < _start + _rows")
-        .select(*cell, "_start", "_i", "_rank", "_weight")
-        .distinct()
-    )
-    upto = Window.partitionBy(*cell).orderBy("_value")
-    counted = (
-        long.join(wanted.select(*cell).distinct(), cell, "left_semi")
-        .groupBy(*cell, "_value")
-        .agg(F.count("*").alias("_times"))
-        .withColumn("_end", F.sum("_times").over(upto))
-    )
-    at_rank = F.col("_rank") - F.col("_start")
-    lower, upper = F.min("_value"), F.max("_value")
-    found = (
-        wanted.join(counted, cell)
-        .where((at_rank < F.col("_end")) & (at_rank >= F.col("_end") - F.col("_times")))
-        .groupBy(*series, "_i", "_weight")
-        .agg((lower + (upper - lower) * F.col("_weight")).alias("_quantile"))
-    )
-    in_order = [
-        F.transform(
-            F.array_sort(
-                F.collect_list(F.when(F.col("_col") == c, F.struct("_i", "_quantile")))
-            ),
-            lambda entry: entry["_quantile"],
-        ).alias(c)
-        for c in cols
-    ]
-    return found.groupBy(*keys).agg(*in_order)

@@ -11,8 +11,7 @@ from tabforge.functions import text
 from tabforge.functions.mapping import (
     DECK_ORDER,
     DECK_SCALE,
-    FAMILY_LARGEST,
-    FAMILY_STEP,
+    FAMILY_SCALE,
     NOTEBOOK_TITLE_CODES,
     QUALITY_SCALE,
     RARE_DECKS,
@@ -45,7 +44,7 @@ AREAS = ["TotalBsmtSF", "1stFlrSF", "2ndFlrSF"]
 BATHS = {"FullBath": 1.0, "HalfBath": 0.5, "BsmtFullBath": 1.0, "BsmtHalfBath": 0.5}
 CHILD_BELOW = 13
 SENIOR_ABOVE = 60
-INTERACTION_CAP = 35000
+INTERACTIONS = ["quality_area", "quality_living", "quality_built", "quality_age"]
 
 
 class SleepRule(Configured, Transformer):
@@ -277,11 +276,12 @@ class HouseBlock(Configured, Transformer):
     built_col = setting("built_col", "year built")
     remodel_col = setting("remodel_col", "year of the last remodelling")
     ref_year = setting("ref_year", "year ages are counted to")
-    cap = setting("cap", "upper clamp of the interactions")
+    interactions = setting("interactions", "products of the quality to add")
+    cap = setting("cap", "upper clamp of the interactions, if any")
     defaults = {
         "area_cols": AREAS, "bath_weights": BATHS, "quality_col": "OverallQual",
         "living_col": "GrLivArea", "built_col": "YearBuilt", "remodel_col": "YearRemodAdd",
-        "ref_year": num.REFERENCE_YEAR, "cap": INTERACTION_CAP,
+        "ref_year": num.REFERENCE_YEAR, "interactions": INTERACTIONS, "cap": None,
     }
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -302,22 +302,23 @@ class HouseBlock(Configured, Transformer):
             "quality_built": built,
             "quality_age": F.col("built_age"),
         }
-        return out.withColumns(
-            {
-                name: num.clip_upper(quality * partner, self.get("cap"))
-                for name, partner in partners.items()
-            }
-        )
+        products = {name: quality * partners[name] for name in self.get("interactions")}
+        if self.get("cap") is not None:
+            products = {n: num.clip_upper(p, self.get("cap")) for n, p in products.items()}
+        return out.withColumns(products) if products else out
 
 
 class PassengerBlock(Configured, Transformer):
     """Title, family and deck of the first manifest, as categories and as codes."""
 
+    family_scale = setting("family_scale", "family size to its code; other sizes give 0")
+    defaults = {"family_scale": FAMILY_SCALE}
+
     def _transform(self, df: DataFrame) -> DataFrame:
         title = text.extract_title(F.col("Name"))
         merged = replace_values(title, TITLE_GROUPS)
         family = num.lin_comb([F.col("SibSp"), F.col("Parch"), F.lit(1)])
-        steps = (family - 1) * F.lit(FAMILY_STEP)
+        sizes = {int(size): code for size, code in self.get("family_scale").items()}
         deck = text.deck_letter(F.col("Cabin"))
         return df.withColumns(
             {
@@ -326,7 +327,7 @@ class PassengerBlock(Configured, Transformer):
                 "title_group": map_values(title, NOTEBOOK_TITLE_CODES, 0),
                 "sex_code": map_values(F.col("Sex"), SEX_CODES),
                 "family_size": family,
-                "family_scale": F.when(family <= FAMILY_LARGEST, steps).otherwise(F.lit(0.0)),
+                "family_scale": map_values(family.cast("int"), sizes, 0.0),
                 "is_alone": num.flag(family == 1),
                 "deck": replace_values(deck, RARE_DECKS),
                 "deck_scale": map_values(text.deck_letter(F.col("Cabin"), None), DECK_SCALE),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from functools import reduce
-from math import exp, factorial
+from math import exp, lgamma, log, sqrt
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -171,13 +171,18 @@ class SoftVoteModel(Model):
 
 
 def poisson_copies(row_id: Column, rate: float, seed: int) -> Column:
-    """How often a row is drawn with replacement; depends on the key and the seed only."""
+    """How often a row is drawn with replacement; depends on the key and the seed only.
+
+    The bounds go on until what is left is less than the chance can tell apart, so
+    any rate has its whole distribution.
+    """
     chance = hash32(row_id, seed) / F.lit(2.0**32)
-    copies, reached = F.lit(0), 0.0
-    for times in range(12):
-        reached += exp(-rate) * rate**times / factorial(times)
-        copies = copies + (chance >= reached).cast("int")
-    return copies
+    bounds, reached, times = [], 0.0, 0
+    while reached < 1 - 2.0**-33 and times < 2 * rate + 100 + 12 * sqrt(rate):
+        reached += exp(times * log(rate) - rate - lgamma(times + 1)) if rate > 0 else 1.0
+        bounds.append(F.lit(reached))
+        times += 1
+    return F.size(F.filter(F.array(*bounds), lambda bound: chance >= bound))
 
 
 class Bagging(Estimator):

@@ -309,6 +309,16 @@ HOUSE_LEARNERS = {
 }
 
 
+# Products of the quality by version, and their clamps.
+HOUSE_PRODUCTS = {
+    5: {"interactions": ["quality_area", "quality_living"]},
+    6: {"interactions": ["quality_area", "quality_living", "quality_built"], "cap": 35000},
+    7: {"interactions": ["quality_living"], "cap": 40000},
+    8: {"interactions": ["quality_living"], "cap": 40000},
+    9: {"interactions": ["quality_area", "quality_living", "quality_age"]},
+}
+
+
 def clean_houses(df: DataFrame, version: int, key: str = "Id") -> DataFrame:
     """Drop the training rows the version calls outliers."""
     if version == 1:
@@ -338,7 +348,7 @@ class HouseFeatures(Configured, Estimator):
         areas = present_or_first(df.select(*numeric), CLUSTER_AREAS)
         logs, plain = [f"m_{c}" for c in areas], [f"f_{c}" for c in numeric]
         stages += [
-            blocks.HouseBlock(),
+            blocks.HouseBlock(**HOUSE_PRODUCTS.get(version, {"interactions": []})),
             blocks.FilledCopies(cols=areas),
             manifold.ClusterId(
                 cols=logs, k={3: 8, 9: 12}.get(version, 10), restarts=self.get("restarts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabforge.operators import circles, columns, lookup, order, stats
 from tabforge.operators.neighbors import knn_join
 from tabforge.operators import neighbors
+from tabforge.operators.order import stratified_kfold
 from tabforge.operators.quantiles import medians, quantiles
 
 
@@ -30,7 +31,7 @@ def test_exact_statistics(ties):
 
 
 @pytest.mark.parametrize("keys", [(), ("k",)])
-def test_quantiles_agree_on_both_routes(spark, keys):
+def test_quantiles_do_not_depend_on_the_parts(spark, keys):
     """A third of all rows share one value, half of the rows share one key."""
     random.seed(3)
     rows = [
@@ -43,15 +44,40 @@ def test_quantiles_agree_on_both_routes(spark, keys):
     probs = [0.0, 0.01, 0.25, 0.5, 0.501, 0.99, 1.0]
 
     def table(limit):
-        found = quantiles(df, ["x", "y"], probs, keys, in_memory_rows=limit)
+        found = quantiles(df, ["x", "y"], probs, keys, rows_per_part=limit)
         return {tuple(r[k] for k in keys): (r["x"], r["y"]) for r in found.collect()}
 
     small, large, mixed = table(10**6), table(10), table(900)
     assert small.keys() == large.keys() == mixed.keys()
-    for key in small:
-        for at in (0, 1):
-            assert large[key][at] == pytest.approx(small[key][at], rel=1e-12)
-            assert mixed[key][at] == pytest.approx(small[key][at], rel=1e-12)
+    for key, found in small.items():
+        assert large[key] == mixed[key] == found
+    whole = df if not keys else df.groupBy(*keys)
+    plain = whole.agg(*[F.percentile(c, F.array(*map(F.lit, probs))).alias(c) for c in "xy"])
+    assert {tuple(r[k] for k in keys): (r["x"], r["y"]) for r in plain.collect()} == small
+
+
+@pytest.mark.parametrize("part", [2, 10**6])
+def test_quantiles_of_odd_groups(spark, part):
+    inf = float("inf")
+    rows = [("a", 1.0, None), ("a", inf, None), ("a", 3.0, None), ("b", None, 1.0), ("b", None, 2.0), ("c", -inf, 5.0)]
+    rows += [(f"hot{k}", 1e-9 * (i % 3), None) for k in range(40) for i in range(9)] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    found = {r.k: (r.x, r.y) for r in quantiles(df, ["x", "y"], [0.0, 0.5, 1.0], ["k"], rows_per_part=part).collect()}
+    assert found["a"] == ([1.0, 3.0, inf], None) and found["b"] == (None, [1.0, 1.5, 2.0])
+    assert found["c"] == ([-inf] * 3, [5.0] * 3) and found["hot7"] == ([0.0, 1e-9, 2e-9], None)
+    assert len(found) == 43
+    nothing = quantiles(df.select("k", "x", F.lit(None).cast("double").alias("z")), ["x", "z"], [0.5], rows_per_part=part)
+    assert nothing.first().z is None
+    assert medians(df.limit(0), ["x"]).first()[0] is None and medians(df.limit(0), ["x"], ["k"]).collect() == []
+
+
+def test_rows_without_a_label_keep_their_fold(spark):
+    rows = [(k, None if k % 4 == 0 else k % 3) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    folds = stratified_kfold(df, "id", "label", 5, 1, rows_per_part=30)
+    found = folds.groupBy("label", "fold").count().collect()
+    assert sum(r["count"] for r in found) == 100
+    assert all(r["count"] == 5 for r in found if r.label is None)
 
 
 def test_fill_keeps_rows_and_columns(spark):

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabforge.functions.mapping import FAMILY_SCALE_SHORT
 from tabforge.operators import stats
 from tabforge.operators.order import kfold
 from tabforge.plans import (
@@ -90,7 +91,10 @@ def test_house_blocks(spark):
         "GrLivArea double, YearBuilt int, YearRemodAdd int, FullBath int, HalfBath int, "
         "BsmtFullBath int, BsmtHalfBath int, ExterQual string, Fence string",
     )
-    out = blocks.HouseBlock().transform(houses).orderBy("Id").collect()
+    plain = blocks.HouseBlock().transform(houses).orderBy("Id").collect()
+    assert plain[1]["quality_living"] == 36000
+    assert "quality_area" not in blocks.HouseBlock(interactions=[]).transform(houses).columns
+    out = blocks.HouseBlock(cap=35000).transform(houses).orderBy("Id").collect()
     assert (out[0]["total_area"], out[0]["total_bath"], out[0]["built_age"]) == (150.0, None, 10)
     assert out[1]["total_bath"] == 3.0 and out[1]["quality_living"] == 35000
     assert out[0]["quality_built"] == 10000 and out[0]["quality_age"] == 50
@@ -392,3 +396,26 @@ def test_failing_solver_answers_zero(spark):
                                      "id string, problem string")
     found = {r["id"]: r["answer"] for r in answers.answer_problems(problems, int).collect()}
     assert found == {"a": 12, "b": 0, "c": 99999}
+
+
+def test_draws_follow_the_rate(spark):
+    for rate in (0.5, 1.0, 20.0, 300.0):
+        rows = spark.range(4000).select(ensemble.poisson_copies(F.col("id"), rate, 3).alias("n"))
+        mean, spread, most = rows.agg(F.avg("n"), F.variance("n"), F.max("n")).first()
+        assert mean == pytest.approx(rate, rel=0.06) and spread == pytest.approx(rate, rel=0.2)
+        assert most > rate + 2 * rate**0.5
+
+
+def test_dummies_of_many_categories(spark):
+    df = spark.range(1500).select(F.col("id").cast("string").alias("c"))
+    assert len(encode.Dummies(cols=["c"]).fit(df).columns()) == 1499
+
+
+def test_family_scale_is_a_table(spark):
+    df = frame(
+        spark, [("A, Mr. B", "male", k, 0, None) for k in (0, 8, 9, 10, 11)],
+        "Name string, Sex string, SibSp int, Parch int, Cabin string",
+    )
+    short = blocks.PassengerBlock(family_scale=FAMILY_SCALE_SHORT).transform(df)
+    assert values(short, "family_scale") == [(0.0,), (3.2,), (0.0,), (3.6,), (0.0,)]
+    assert values(blocks.PassengerBlock().transform(df), "family_scale") == [(0.0,), (3.2,), (3.6,), (4.0,), (0.0,)]
