@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tabforge.operators.order import ROWS_PER_PART, running_sum
 from tabforge.session import settle
 
+CELLS = 1024
+
 
 def quantiles(
     df: DataFrame,
@@ -53,26 +55,26 @@ def quantiles(
     placed = running_sum(ranged, F.col("_times"), F.col("_in"), ["_value"], series, "_from")
     totals = counted.groupBy(*series).agg(F.sum("_times").alias("_n"))
 
-    def rank(prob: float, place: int):
-        at = F.lit(float(prob)) * (F.col("_n") - 1)
-        return F.struct(
-            F.lit(place).alias("i"), at.alias("at"),
-            F.floor(at).alias("low"), F.ceil(at).alias("high"),
-        )
-
-    start, stop = F.col("_from"), F.col("_from") + F.col("_times")
-    held = F.filter(
-        F.array(*[rank(p, place) for place, p in enumerate(probs)]),
-        lambda r: ((r["low"] >= start) & (r["low"] < stop))
-        | ((r["high"] >= start) & (r["high"] < stop)),
+    # Ranks and values meet by stretches of a series' ranks, about ``CELLS`` of them.
+    totals = totals.withColumn("_wide", F.greatest(F.lit(1), F.expr(f"_n div {CELLS}")))
+    at = F.col("_prob") * (F.col("_n") - 1)
+    ranks = (
+        totals.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_prob"))
+        .select(*series, "_wide", "_i", at.alias("_at"))
+        .withColumns({"_low": F.floor("_at"), "_high": F.ceil("_at")})
+        .withColumn("_rank", F.explode(F.array_distinct(F.array("_low", "_high"))))
+        .withColumn("_cell", F.expr("_rank div _wide"))
+    )
+    cells = F.expr("sequence(_from div _wide, (_from + _times - 1) div _wide)")
+    covering = placed.join(totals, series).select(
+        *series, "_value", "_from", "_times", F.explode(cells).alias("_cell")
     )
-    lower, upper = F.min("_value"), F.max("_value")
-    at, low, high = (F.col(f"_rank.{name}") for name in ("at", "low", "high"))
+    at, low, high = F.col("_at"), F.col("_low"), F.col("_high")
     found = (
-        placed.join(totals, series)
-        .select(*series, "_value", F.explode(held).alias("_rank"))
-        .groupBy(*series, "_rank")
-        .agg(lower.alias("_lower"), upper.alias("_upper"))
+        covering.join(ranks, [*series, "_cell"])
+        .where("_rank >= _from AND _rank < _from + _times")
+        .groupBy(*series, "_i", "_at", "_low", "_high")
+        .agg(F.min("_value").alias("_lower"), F.max("_value").alias("_upper"))
         .withColumn(
             "_quantile",
             F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise(
@@ -82,7 +84,7 @@ def quantiles(
     )
 
     def in_order(place: int):
-        own = F.when(F.col("_col") == place, F.struct(F.col("_rank.i"), F.col("_quantile")))
+        own = F.when(F.col("_col") == place, F.struct("_i", "_quantile"))
         values = F.transform(F.array_sort(F.collect_list(own)), lambda e: e["_quantile"])
         return F.when(F.size(values) > 0, values)
 
