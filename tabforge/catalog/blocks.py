@@ -9,9 +9,9 @@ from tabforge.operators.columns import gap
 from tabforge.plans import blocks
 from tabforge.sources.tables import load
 
-_SPEND = ["click", "error", "purchase", "view"]
+_SPEND = ["click", "error", "purchase", "signup", "view"]
 _SETTINGS = {
-    "spend_cols": _SPEND, "luxury": ["purchase", "view"], "sustenance": ["click", "error"],
+    "spend_cols": _SPEND, "luxury": ["purchase", "view"], "sustenance": ["click", "error", "signup"],
 }
 
 # One row per user: spending by event type (missing for every seventh user's clicks),
@@ -23,6 +23,7 @@ users AS (
          ELSE round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 2) END AS click,
     round(coalesce(sum(value) FILTER (event_type = 'error'), 0), 2) AS error,
     round(coalesce(sum(value) FILTER (event_type = 'purchase'), 0), 2) AS purchase,
+    round(coalesce(sum(value) FILTER (event_type = 'signup'), 0), 2) AS signup,
     round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 2) AS view,
     CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 3 = 0 END AS asleep,
     CASE WHEN user_id % 4 = 0 THEN NULL ELSE (user_id % 80)::DOUBLE END AS age
@@ -50,7 +51,7 @@ def _rounded(df, keep, cols):
     return df.select(*keep, *[F.round(c, 6).alias(c) for c in cols])
 
 
-_AWAKE = """CASE WHEN asleep IS NULL AND coalesce(click, 0) + error + purchase + view > 0
+_AWAKE = """CASE WHEN asleep IS NULL AND coalesce(click, 0) + error + purchase + signup + view > 0
                  THEN false ELSE asleep END"""
 
 
@@ -61,6 +62,7 @@ _AWAKE = """CASE WHEN asleep IS NULL AND coalesce(click, 0) + error + purchase +
     SELECT user_id, asleep, CASE WHEN asleep THEN 0 ELSE click END AS click,
            CASE WHEN asleep THEN 0 ELSE error END AS error,
            CASE WHEN asleep THEN 0 ELSE purchase END AS purchase,
+           CASE WHEN asleep THEN 0 ELSE signup END AS signup,
            CASE WHEN asleep THEN 0 ELSE view END AS view
     FROM awake""",
 )
@@ -72,7 +74,8 @@ def set_where_rule(spark, sf_dir):
 
 _SPEND_OUT = [
     "total_spend", "luxury_spend", "sustenance_spend", "luxury_ratio", "sustenance_ratio",
-    "spend_power", "log_click", "log_error", "log_purchase", "log_view", "log_total_spend",
+    "spend_power", "log_click", "log_error", "log_purchase", "log_signup", "log_view",
+    "log_total_spend",
     "log_luxury_spend", "log_sustenance_spend", "log_spend_power",
 ]
 
@@ -81,8 +84,8 @@ _SPEND_OUT = [
     "spend_block",
     f"""WITH {_USERS_SQL}, mid AS (SELECT median(age) AS typical FROM users),
     spent AS (
-      SELECT *, coalesce(click, 0) + error + purchase + view AS total_spend,
-             purchase + view AS luxury_spend, click + error AS sustenance_spend,
+      SELECT *, coalesce(click, 0) + error + purchase + signup + view AS total_spend,
+             purchase + view AS luxury_spend, click + error + signup AS sustenance_spend,
              coalesce(age, typical) AS years FROM users, mid),
     powered AS (SELECT *, total_spend / CASE WHEN years < 1 THEN 1 ELSE years END AS spend_power
                 FROM spent)
@@ -95,7 +98,8 @@ _SPEND_OUT = [
       CASE WHEN years < 13 THEN 1 ELSE 0 END AS is_child,
       CASE WHEN years > 60 THEN 1 ELSE 0 END AS is_senior,
       round(ln(1 + coalesce(click, 0)), 6) AS log_click, round(ln(1 + error), 6) AS log_error,
-      round(ln(1 + purchase), 6) AS log_purchase, round(ln(1 + view), 6) AS log_view,
+      round(ln(1 + purchase), 6) AS log_purchase, round(ln(1 + signup), 6) AS log_signup,
+      round(ln(1 + view), 6) AS log_view,
       round(ln(1 + total_spend), 6) AS log_total_spend,
       round(ln(1 + luxury_spend), 6) AS log_luxury_spend,
       round(ln(1 + coalesce(sustenance_spend, 0)), 6) AS log_sustenance_spend,
@@ -115,10 +119,12 @@ def spend_block(spark, sf_dir):
       CASE WHEN coalesce(asleep, false) THEN 0 ELSE coalesce(click, 0) END AS click,
       CASE WHEN coalesce(asleep, false) THEN 0 ELSE error END AS error,
       CASE WHEN coalesce(asleep, false) THEN 0 ELSE purchase END AS purchase,
+      CASE WHEN coalesce(asleep, false) THEN 0 ELSE signup END AS signup,
       CASE WHEN coalesce(asleep, false) THEN 0 ELSE view END AS view FROM users, mid)
     SELECT user_id, round(ln(1 + click), 6) AS m_click, round(ln(1 + error), 6) AS m_error,
-      round(ln(1 + purchase), 6) AS m_purchase, round(ln(1 + view), 6) AS m_view,
-      round(ln(1 + click + error + purchase + view), 6) AS m_total, age AS m_age
+      round(ln(1 + purchase), 6) AS m_purchase, round(ln(1 + signup), 6) AS m_signup,
+      round(ln(1 + view), 6) AS m_view,
+      round(ln(1 + click + error + purchase + signup + view), 6) AS m_total, age AS m_age
     FROM m""",
 )
 def cluster_matrix(spark, sf_dir):

@@ -295,13 +295,13 @@ def _embedding_rows(spark, sf_dir):
     )
 
 
-_MATRIX = ["m_click", "m_error", "m_purchase", "m_view", "m_total", "m_age"]
+_MATRIX = ["m_click", "m_error", "m_purchase", "m_signup", "m_view", "m_total", "m_age"]
 
 
 def event_matrix(spark, sf_dir):
     rows = users(spark, sf_dir)
     stage = ClusterMatrix(
-        spend_cols=["click", "error", "purchase", "view"], flag_col="asleep", age_col="age"
+        spend_cols=["click", "error", "purchase", "signup", "view"], flag_col="asleep", age_col="age"
     )
     return stage.fit(rows).transform(rows).select("user_id", *_MATRIX)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.columns import augment
-from tabforge.operators.order import hash32, kfold
+from tabforge.operators.order import hash32, kfold, stratified_kfold
 from tabforge.plans.base import RAW, packed
 from tabforge.plans.linear import Logistic, RidgeLoo
 from tabforge.session import settle
@@ -218,6 +218,9 @@ class _Stack(Estimator):
         self.prepare, self.meta = prepare, meta
 
     def folded(self, df: DataFrame) -> DataFrame:
+        """Classes are dealt evenly, so that none misses a fold it could be in."""
+        if self.classify:
+            return stratified_kfold(df, self.key, "label", self.folds, self.seed, "_fold")
         return kfold(df, self.key, self.folds, self.seed, "_fold")
 
     def _fit_bases(self, df: DataFrame) -> tuple[DataFrame, Model | None, dict[str, Model]]:
