@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +63,17 @@ def by_split(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col(SPLIT) == name)
 
 
+def for_each_split(
+    transform: Callable[[DataFrame], DataFrame], **splits: DataFrame
+) -> dict[str, DataFrame]:
+    """The same step on every split: one pass over the stacked rows.
+
+    A step that learns from its rows keeps splits apart by ``split`` in its keys.
+    """
+    done = transform(stack_splits(**splits))
+    return {name: by_split(done, name) for name in splits}
+
+
 def augment(train: DataFrame, extra: DataFrame) -> DataFrame:
     """Append rows to the training rows by column name."""
     return train.unionByName(extra.select(*train.columns))

@@ -24,18 +24,23 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so lost executors cost no recompute.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``).
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tabforge-checkpoint-")
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, so lost executors cost no recompute."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabforge-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
