@@ -8,26 +8,21 @@ only committed files are seen. The writer puts ``SEPARATOR`` behind every row.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.session import shared_folder
+
 #: An empty skippable Zstandard frame (magic 0x184D2A50, length 0). It is eight
 #: bytes long, so word-aligned files stay aligned and Zstandard readers skip it.
 SEPARATOR = b"P*M\x18\x00\x00\x00\x00"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one all executors share (spark.checkpoint.dir)."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tabforge-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_bytes(pieces: DataFrame, path: str) -> None:
