@@ -4,8 +4,8 @@ Exact patterns with their checks find the base spans. Looser generators propose
 more: anything mail-like, and any run of seven or more digits with marks between.
 A candidate is described by its format and the text around it. Boosted trees learn
 on a bounded sample of candidates which of them agree with a checked span; per kind
-a threshold is set, on candidates the trees have not seen, so that those above it
-are right ``PRECISION`` of the time, and candidates above it that touch no base span
+a threshold is set, on a third of all candidates that the trees have not seen, so
+that those above it are right ``PRECISION`` of the time, and candidates above it that touch no base span
 are added. The trees become one SQL expression, so scoring needs no shuffle and
 reads no text again.
 
@@ -24,7 +24,7 @@ from tabforge.llm.registry import query
 from tabforge.session import settle
 from tabforge.sources.tables import load
 
-#: Candidates the trees are fitted on (two thirds) and thresholds are set by (a third).
+#: Candidates of smallest hash; the trees are fitted on two thirds of them.
 SAMPLE = 20_000
 ROUNDS, DEPTH = 10, 3
 PRECISION, LEAST = 0.95, 20
@@ -161,8 +161,9 @@ def score_sql(model: GBTClassificationModel) -> str:
 def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
     """(score expression, threshold per kind) from candidates of all rows.
 
-    The sample is the ``SAMPLE`` candidates of smallest hash. Without two classes
-    there is nothing to learn and nothing is added.
+    The trees see two thirds of the ``SAMPLE`` candidates of smallest hash. Thresholds
+    are set by the other third of all candidates, which are scored and counted here.
+    Without two classes there is nothing to learn and nothing is added.
     """
     mark = F.xxhash64("doc_id", "c.start", "c.stop")
     each = rows.select("doc_id", F.explode("loose").alias("c")).select("c", mark.alias("mark"))
@@ -178,7 +179,8 @@ def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
         maxIter=ROUNDS, maxDepth=DEPTH, minInstancesPerNode=LEAST, seed=1, labelCol="label"
     )
     sql = score_sql(trees.fit(packed.select("features", "label")))
-    held = sample.where("fold = 0").select("c", "label").withColumn("score", F.expr(sql))
+    held = each.where(F.pmod("mark", F.lit(3)) == 0).select("c", F.col("c.touches").cast("double").alias("label"))
+    held = held.withColumn("score", F.expr(sql))
     cell = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("cell")
     table = held.groupBy(F.col("c.rank").alias("rank"), cell).agg(
         F.sum("label").alias("right"), F.count("*").alias("n")

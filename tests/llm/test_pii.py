@@ -98,3 +98,11 @@ def test_similar_candidates_are_added(spark):
 def test_nothing_to_learn(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.spans for r in pii.find_personal_data(docs).collect()] == [""] * len(rows)
+
+
+def test_thresholds_of_a_rare_kind(spark):
+    rows = [(k, " ".join(f"see item {1000000 + 200 * k + j} there" for j in range(200))) for k in range(200)]
+    rows += [(1000 + k, f"words and contact {'abcdefg'[k % 7] * (3 + k % 9)}@mail.org for more") for k in range(90)]
+    rows += [(2000, "words and contact joe [at] mail.org for more")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r.doc_id, r.spans) for r in found.where("n_added > 0").collect()] == [(2000, "email:18:35")]
