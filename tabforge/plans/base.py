@@ -11,6 +11,7 @@ from pyspark.ml.util import (
     DefaultParamsReader,
     DefaultParamsWritable,
     DefaultParamsWriter,
+    MLReader,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,3 +83,45 @@ class TableModel(Configured, Model):
     @classmethod
     def read(cls):
         return _TablesReader(cls)
+
+
+class _PartsWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        parts, facts = self.instance.parts()
+        extra = {"facts": facts, "names": list(parts)}
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, extraMetadata=extra)
+        for number, part in enumerate(parts.values()):
+            part.save(f"{path}/parts/{number}")
+
+
+class _PartsReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        parts = {
+            name: DefaultParamsReader.loadParamsInstance(f"{path}/parts/{number}", self.sparkSession)
+            for number, name in enumerate(metadata["names"])
+        }
+        return self.cls.of_parts(parts, metadata["facts"])
+
+
+class PartsModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A model made of fitted models; it is saved and loaded part by part."""
+
+    def parts(self) -> tuple[dict[str, Model], dict]:
+        """The parts by name, in order, and whatever else is needed (JSON)."""
+        raise NotImplementedError
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, Model], facts: dict):
+        raise NotImplementedError
+
+    def write(self):
+        return _PartsWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _PartsReader(cls)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.columns import augment
 from tabforge.operators.order import hash32, kfold, stratified_kfold
-from tabforge.plans.base import RAW, packed
+from tabforge.plans.base import RAW, PartsModel, packed
 from tabforge.plans.linear import Logistic, RidgeLoo
 from tabforge.session import settle
 
@@ -51,12 +51,14 @@ def prefix(pipeline: Pipeline, drop_last: int = 1) -> Pipeline:
 def fit_all(bases: Mapping[str, Estimator], df: DataFrame) -> dict[str, Model]:
     """Fit independent learners on the same rows, a few at a time."""
 
-    def fit(name: str) -> tuple[str, Model]:
-        return name, bases[name].fit(df)
+    return _side_by_side(lambda name: bases[name].fit(df), list(bases), df)
 
-    pool = ThreadPool(min(PARALLEL_FITS, len(bases)))
+
+def _side_by_side(fit: Callable[[str], Model], names: list[str], df: DataFrame) -> dict[str, Model]:
+    pool = ThreadPool(min(PARALLEL_FITS, len(names)))
     try:
-        return dict(pool.map(inheritable_thread_target(df.sparkSession)(fit), list(bases)))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), names)
+        return dict(zip(names, models))
     finally:
         pool.close()
 
@@ -159,11 +161,18 @@ class SoftVote(Estimator):
             return SoftVoteModel(fit_all(self.bases, rows), self.weights)
 
 
-class SoftVoteModel(Model):
+class SoftVoteModel(PartsModel):
     def __init__(self, models: Mapping[str, Model], weights: list[float] | None = None):
         super().__init__()
         self.models, self.weights = models, weights
 
+    def parts(self) -> tuple[dict[str, Model], dict]:
+        return dict(self.models), {"weights": self.weights}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, Model], facts: dict) -> "SoftVoteModel":
+        return cls(parts, facts["weights"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         names = [f"score_{name}" for name in self.models]
         scored = add_scores(self.models, df, classify=True)
@@ -199,11 +208,9 @@ class Bagging(Estimator):
         )
 
     def _fit(self, df: DataFrame) -> SoftVoteModel:
-        models = {}
         with cached(df) as rows:
-            for number in range(self.n):
-                models[f"bag{number}"] = self.est.fit(self.sample(rows, number))
-        return SoftVoteModel(models)
+            samples = {f"bag{number}": self.sample(rows, number) for number in range(self.n)}
+            return SoftVoteModel(_side_by_side(lambda name: self.est.fit(samples[name]), list(samples), df))
 
 
 class _Stack(Estimator):
@@ -266,11 +273,21 @@ class StackRegressor(_Stack):
             return StackModel(ready, models, meta.fit(rows), classify=False)
 
 
-class StackModel(Model):
+class StackModel(PartsModel):
     def __init__(self, ready: Model | None, models: Mapping[str, Model], meta: Model, classify: bool):
         super().__init__()
         self.ready, self.models, self.meta, self.classify = ready, models, meta, classify
 
+    def parts(self) -> tuple[dict[str, Model], dict]:
+        prepared = {} if self.ready is None else {"ready": self.ready}
+        bases = {f"base {name}": model for name, model in self.models.items()}
+        return prepared | {"meta": self.meta} | bases, {"classify": self.classify}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, Model], facts: dict) -> "StackModel":
+        bases = {name[5:]: model for name, model in parts.items() if name.startswith("base ")}
+        return cls(parts.get("ready"), bases, parts["meta"], facts["classify"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         names = [f"score_{name}" for name in self.models]
         rows = packed(df)
@@ -312,11 +329,18 @@ class PseudoLabel(Estimator):
             return self.est.fit(augment(known, sure))
 
 
-class LogTargetModel(Model):
+class LogTargetModel(PartsModel):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
+    def parts(self) -> tuple[dict[str, Model], dict]:
+        return {"model": self.model}, {}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, Model], facts: dict) -> "LogTargetModel":
+        return cls(parts["model"])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(df)
         return scored.withColumn("prediction", F.expm1("prediction"))

@@ -1,29 +1,26 @@
-"""Ready-made learners. All read ``features`` and ``label``.
-
-Learners Spark does not have are stood in for by the closest one it has; each
-docstring says so.
-"""
+"""Ready-made learners. All read ``features`` and ``label``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import TargetEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.operators.neighbors import knn_join
 from tabforge.plans.base import Configured, TableModel, setting
-from tabforge.plans.linear import Logistic
+from tabforge.plans.extratrees import ExtraTrees
+from tabforge.plans.histboost import HistBoost
+from tabforge.plans.kernels import FourierClassifier, FourierRegressor
+from tabforge.plans.targets import OrderedTargets
 
 CHECKPOINT_EVERY = 10
 
@@ -47,152 +44,108 @@ def boost_classifier(rounds=200, step=0.05, depth=4, subsample=1.0, seed=42) ->
     )
 
 
-def hist_boost_classifier(rounds=100, step=0.1, depth=5, bins=255, seed=42) -> GBTClassifier:
-    """Histogram boosting. Spark's trees are limited by depth, not by a leaf count."""
-    return GBTClassifier(
-        maxIter=rounds, stepSize=step, maxDepth=depth, maxBins=bins, seed=seed,
-        checkpointInterval=CHECKPOINT_EVERY,
+def hist_boost_classifier(rounds=100, step=0.1, leaves=31, l2=0.0, bins=255, min_rows=20, seed=42) -> HistBoost:
+    return HistBoost(
+        loss="logistic", rounds=rounds, step=step, leaves=leaves, l2=l2, bins=bins, min_rows=min_rows, seed=seed
     )
 
 
-def hist_boost_regressor(rounds=100, step=0.1, depth=5, bins=255, seed=42) -> GBTRegressor:
-    """Histogram boosting. Spark's trees are limited by depth, not by a leaf count."""
-    return GBTRegressor(
-        maxIter=rounds, stepSize=step, maxDepth=depth, maxBins=bins, seed=seed,
-        checkpointInterval=CHECKPOINT_EVERY,
-    )
+def hist_boost_regressor(rounds=100, step=0.1, leaves=31, l2=0.0, bins=255, min_rows=20, seed=42) -> HistBoost:
+    return HistBoost(rounds=rounds, step=step, leaves=leaves, l2=l2, bins=bins, min_rows=min_rows, seed=seed)
 
 
-def extra_trees(trees=300, depth=10, bins=8, min_rows=1, seed=42) -> RandomForestClassifier:
-    """Stand-in for extremely randomised trees: whole sample, few candidate cuts."""
-    return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, maxBins=bins, bootstrap=False, minInstancesPerNode=min_rows,
-        featureSubsetStrategy="sqrt", seed=seed,
-    )
+def extra_trees(trees=300, depth=20, min_rows=1, seed=42) -> ExtraTrees:
+    return ExtraTrees(trees=trees, depth=depth, min_rows=min_rows, seed=seed)
 
 
 def tree_classifier(depth=10, seed=42) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=depth, seed=seed)
 
 
-def extra_tree(depth=10, bins=8, seed=42) -> RandomForestClassifier:
+def extra_tree(depth=20, seed=42) -> ExtraTrees:
     """One tree of ``extra_trees``."""
-    return extra_trees(trees=1, depth=depth, bins=bins, seed=seed)
+    return extra_trees(trees=1, depth=depth, seed=seed)
 
 
 def gaussian_nb() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def boost_preset(name: str, rounds: int | None = None, step=None, depth=None, seed: int = 42):
-    """Stand-ins for the three boosting libraries: Spark's boosting with their settings."""
+def boost_preset(name: str, rounds: int | None = None, step=None, depth=None, share=None, key=None, seed: int = 42):
+    """Boosting as three well-known libraries do it by default.
+
+    'sampled': depth-limited trees, penalised gains and leaf values, a sample of rows and
+    features (``share``) per round. 'leafwise': the best leaf is split until there are 31,
+    on a share of the features if one is given. 'target_encoded': ordered target
+    statistics of the categories and symmetric trees.
+    """
     if name == "sampled":
-        return GBTRegressor(
-            maxIter=rounds or 2000, stepSize=step or 0.01, maxDepth=depth or 4,
-            subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed,
-            checkpointInterval=CHECKPOINT_EVERY,
+        depth = depth or 4
+        return HistBoost(
+            rounds=rounds or 2000, step=step or 0.01, depth=depth, leaves=2**depth, l2=1.0, min_weight=1.0, min_rows=1,
+            bins=256, rows_share=share or 0.7, columns_share=share or 0.7, key=key, seed=seed,
         )
     if name == "leafwise":
-        return GBTRegressor(
-            maxIter=rounds or 1000, stepSize=step or 0.01, maxDepth=depth or 5,
-            subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed,
-            checkpointInterval=CHECKPOINT_EVERY,
+        return HistBoost(
+            rounds=rounds or 1000, step=step or 0.01, depth=depth, leaves=31, min_weight=0.001, min_rows=20,
+            columns_share=share or 1.0, key=key, seed=seed,
         )
     if name == "target_encoded":
         return TargetEncodedBoost(
-            rounds=rounds or 1500, step=step or 0.05, depth=depth or 6, seed=seed
+            rounds=rounds or 1500, step=step or 0.05, depth=depth or 6, key=key, seed=seed
         )
     raise ValueError(f"no such preset: {name}")
 
 
 class TargetEncodedBoost(Configured, Estimator):
-    """Encode indexed categories by their mean target, then boost on them and ``features``."""
+    """Symmetric trees on ordered target statistics of the categories and on ``features``."""
 
     cols = setting("cols", "indexed category columns; none given: all '<name>_index' columns")
     rounds = setting("rounds", "number of trees")
     step = setting("step", "learning rate")
-    depth = setting("depth", "depth of each tree")
-    seed = setting("seed", "seed of the trees")
-    defaults = {"cols": None, "rounds": 1500, "step": 0.05, "depth": 6, "seed": 42}
+    depth = setting("depth", "levels of each tree")
+    l2 = setting("l2", "penalty on leaf values")
+    key = setting("key", "row key that decides the order; none: the row itself")
+    seed = setting("seed", "seed of the order")
+    defaults = {"cols": None, "rounds": 1500, "step": 0.05, "depth": 6, "l2": 3.0, "key": None, "seed": 42}
 
-    def _fit(self, df: DataFrame):
+    def _fit(self, df: DataFrame) -> PipelineModel:
         cols = self.get("cols") or [c for c in df.columns if c.endswith("_index")]
-        encoded = [f"{c}_target" for c in cols]
-        encode = [
-            TargetEncoder(
-                inputCols=cols, outputCols=encoded, targetType="continuous",
-                handleInvalid="keep", smoothing=1.0,
-            ),
-            _AsNumbers(cols=encoded),
-        ]
-        boost = [
-            VectorAssembler(inputCols=[*encoded, "features"], outputCol="_boosted"),
-            GBTRegressor(
-                featuresCol="_boosted", maxIter=self.get("rounds"), stepSize=self.get("step"),
-                maxDepth=self.get("depth"), seed=self.get("seed"),
-                checkpointInterval=CHECKPOINT_EVERY,
-            ),
-        ]
-        return Pipeline(stages=[*(encode if cols else []), *boost]).fit(df)
+        rows, key = df, self.get("key")
+        if key is None:
+            key = "_key"
+            rows = df.withColumn(key, F.xxhash64(vector_to_array("features"), F.col("label").cast("double"), *cols))
+        targets = OrderedTargets(cols=cols, key=key, seed=self.get("seed"))
+        assemble = VectorAssembler(inputCols=[*targets.encoded(), "features"], outputCol="_boosted")
+        boost = HistBoost(
+            shape="symmetric", rounds=self.get("rounds"), step=self.get("step"), depth=self.get("depth"), l2=self.get("l2"),
+            min_rows=1, seed=self.get("seed"), features="_boosted",
+        )
+        fitted = boost.fit(assemble.transform(_numbers(targets.training(rows), targets.encoded())))
+        return PipelineModel(stages=[targets.fit(df), _AsNumbers(cols=targets.encoded()), assemble, fitted])
 
 
-class _AsNumbers(Configured, Transformer):
-    """Forget that target-encoded columns once were categories, which trees would split as such."""
+def _numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c) + 0.0 for c in cols})
 
-    cols = setting("cols", "columns to free of their category marks")
 
-    def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.col(c) + 0.0 for c in self.get("cols")})
-
-
-class FourierMap(Configured, Transformer):
-    """Random Fourier features of an RBF kernel (Rahimi and Recht 2007)."""
+class _AsNumbers(Configured, Transformer):
+    """Forget that encoded columns once were categories."""
 
-    gamma = setting("gamma", "kernel width: exp(-gamma * squared distance)")
-    dims = setting("dims", "number of random features")
-    seed = setting("seed", "seed of the random directions")
-    inputs = setting("inputs", "vector column")
-    out = setting("out", "vector column of the map")
-    defaults = {"gamma": 0.1, "dims": 256, "seed": 42, "inputs": "features", "out": "fourier"}
+    cols = setting("cols", "columns to free of their category marks")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        gamma, dims, seed = self.get("gamma"), self.get("dims"), self.get("seed")
-
-        @F.pandas_udf("array<double>")
-        def project(vectors: pd.Series) -> pd.Series:
-            rows = np.array(vectors.to_list(), dtype=float)
-            random = np.random.default_rng(seed)
-            directions = random.normal(0, np.sqrt(2 * gamma), (rows.shape[1], dims))
-            phases = random.uniform(0, 2 * np.pi, dims)
-            return pd.Series(list(np.sqrt(2 / dims) * np.cos(rows @ directions + phases)))
+        return _numbers(df, self.get("cols"))
 
-        mapped = project(vector_to_array(self.get("inputs")))
-        return df.withColumn(self.get("out"), array_to_vector(mapped))
 
+def rff_classifier(gamma=0.1, c=10.0, dims=256, seed=42) -> FourierClassifier:
+    """RBF machine with hinge loss and held-out sigmoid, on random Fourier features."""
+    return FourierClassifier(gamma=gamma, c=c, dims=dims, seed=seed)
 
-def rff_classifier(gamma=0.1, c=10.0, dims=256, seed=42) -> Pipeline:
-    """Stand-in for an RBF machine with probabilities: kernel map, then logistic loss."""
-    return Pipeline(
-        stages=[FourierMap(gamma=gamma, dims=dims, seed=seed), Logistic(c=c, features="fourier")]
-    )
 
-
-class _HuberLine(Configured, Estimator):
-    c = setting("c", "inverse penalty")
-    epsilon = setting("epsilon", "Huber shape, over 1")
-
-    def _fit(self, df: DataFrame):
-        return LinearRegression(
-            featuresCol="fourier", loss="huber", epsilon=self.get("epsilon"),
-            regParam=1.0 / (self.get("c") * df.count()), standardization=False,
-        ).fit(df)
-
-
-def rff_regressor(gamma=0.0003, c=20.0, epsilon=1.35, dims=256, seed=42) -> Pipeline:
-    """Stand-in for RBF support vector regression: kernel map, then Huber loss."""
-    return Pipeline(
-        stages=[FourierMap(gamma=gamma, dims=dims, seed=seed), _HuberLine(c=c, epsilon=epsilon)]
-    )
+def rff_regressor(gamma=0.0003, c=20.0, epsilon=0.008, dims=256, seed=42) -> FourierRegressor:
+    """RBF support vector regression, on random Fourier features."""
+    return FourierRegressor(gamma=gamma, c=c, epsilon=epsilon, dims=dims, seed=seed)
 
 
 class _NeighbourSettings(Configured):

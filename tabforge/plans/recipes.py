@@ -213,8 +213,8 @@ def _learners_b(version: int, key: str, effort: float) -> tuple[dict, list[float
     def many(number: int) -> int:
         return _count(number, effort)
 
-    def hist(rounds, step=0.1, depth=5):
-        return models.hist_boost_classifier(rounds=many(rounds), step=step, depth=depth)
+    def hist(rounds, step=0.1, leaves=31, l2=0.0):
+        return models.hist_boost_classifier(rounds=many(rounds), step=step, leaves=leaves, l2=l2)
 
     def bag(est, n, fraction):
         return ensemble.Bagging(est, _count(n, effort), fraction, key)
@@ -231,23 +231,23 @@ def _learners_b(version: int, key: str, effort: float) -> tuple[dict, list[float
         }, [2.0, 1.0, 1.0]
     if version in (4, 6):
         return {
-            "bag": bag(hist(350, 0.05), 10, 0.7),
+            "bag": bag(hist(350, 0.05, 40), 10, 0.7),
             "extra": models.extra_trees(trees=many(350), min_rows=3),
             "boost": models.boost_classifier(rounds=many(250), depth=3, subsample=0.75),
         }, [3.0, 1.0, 1.0]
     if version == 5:
         return {
-            "slow": hist(500, 0.03, 6), "fast": hist(100, 0.1, 5),
+            "slow": hist(500, 0.03, 60, 0.5), "fast": hist(100),
             "extra": models.extra_trees(trees=many(400), seed=44),
         }, [3.0, 1.0, 2.0]
     if version in (7, 8):
         return {
-            "bag": bag(hist(500, 0.03), 12, 0.7),
+            "bag": bag(hist(500, 0.03, l2=3.0), 12, 0.7),
             "extra": models.extra_trees(trees=many(500), min_rows=4, seed=99),
             "boost": models.boost_classifier(rounds=many(300), step=0.1, depth=5, subsample=0.8),
         }, [3.0, 1.0, 1.0]
     learners = {
-        "bag": bag(hist(500, 0.03, 6), 10, 0.75),
+        "bag": bag(hist(500, 0.03, 50, 2.0), 10, 0.75),
         "extra": models.extra_trees(trees=many(450), min_rows=3, seed=99),
     }
     if version == 11:
@@ -371,7 +371,8 @@ def house_learners(names: Sequence[str], version: int, effort: float = 1.0) -> d
             rounds=many(1000 if last else 500), step=0.05 if last else 0.1),
         "sampled": lambda: models.boost_preset(
             "sampled", rounds=many(3000 if last else 2000), depth=5 if last else 4),
-        "leafwise": lambda: models.boost_preset("leafwise", rounds=many(2000 if last else 1000)),
+        "leafwise": lambda: models.boost_preset(
+            "leafwise", rounds=many(2000 if last else 1000), share=0.8 if version in (3, 9) else None),
         "target_encoded": lambda: models.boost_preset(
             "target_encoded", rounds=many(3000 if last else 1500), step=0.01 if last else 0.05),
         "lasso": lambda: linear.Lasso(alpha=0.0005),
