@@ -112,8 +112,8 @@ class LeafWise:
         self.tree, self.gains, self.ask, self.leaves = tree, gains, ask, leaves
         self.depth = depth if depth is not None else 2**31
 
-    def grow(self) -> tuple[Grown, list[float]]:
-        """The tree, and the gains of its splits in order."""
+    def grow(self) -> tuple[Grown, list[Split]]:
+        """The tree, and its splits in the order in which they were made."""
         root = _Node(self.tree.add(), 1, np.zeros(3, dtype=np.int64))
         root.sums = self.ask([root.number])[root.number]
         width = self.gains.now.width
@@ -126,7 +126,7 @@ class LeafWise:
             if not unknown:
                 break
             self._open(unknown)
-        return self._only(root, {n.path for n in order}), [n.split.gain for n in order]
+        return self._only(root, {n.path for n in order}), [n.split for n in order]
 
     def _judge(self, node: _Node) -> None:
         node.seen = True
@@ -280,7 +280,7 @@ class HistBoost(Configured, Estimator):
         heaviest = heaviest or 1.0
         most = (1.0 if kind == "logit" else max(high - start, start - low) or 1.0) * heaviest
         bits = min(ROW_BITS, SUM_BITS - int(n).bit_length())
-        trees, gains_log = [], []
+        trees, splits = [], []
         number = 0
         while number < self.get("rounds"):
             now.fineness = (2.0 ** floor(bits - log2(most)), 2.0 ** floor(bits - log2(heaviest)))
@@ -293,7 +293,7 @@ class HistBoost(Configured, Estimator):
             if len(tree.feature) == 1 and whole:
                 break
             trees.append(tree)
-            gains_log.append(order)
+            splits.append(order)
             now.written = [*now.written, tree]
             number += 1
             if len(now.written) == SETTLE_EVERY and number < self.get("rounds"):
@@ -301,10 +301,10 @@ class HistBoost(Configured, Estimator):
                 blocks.unpersist()
                 blocks, now.written = later, []
         blocks.unpersist()
-        return self._model(spark, kind, start, trees, edges, gains_log)
+        return self._model(spark, kind, start, trees, edges, splits)
 
-    def _round(self, blocks: DataFrame, n_blocks: int, now: Pass, number: int) -> tuple[list[float], float]:
-        """Grow the round's tree into ``now.tree``; returns its gains and the largest gradient seen."""
+    def _round(self, blocks: DataFrame, n_blocks: int, now: Pass, number: int) -> tuple[list[Split], float]:
+        """Grow the round's tree into ``now.tree``; returns its splits and the largest gradient seen."""
         width, share = len(now.width), self.get("columns_share")
         drawn = np.random.default_rng([self.get("seed"), number]).permutation(width)
         now.columns = np.sort(drawn[: max(1, ceil(share * width))]) if share < 1 else np.arange(width)
@@ -320,15 +320,16 @@ class HistBoost(Configured, Estimator):
 
         gains = Gains(now, self.get("l2"), self.get("min_rows"), self.get("min_weight"))
         if self.get("shape") == "symmetric":
-            order = [s.gain for s in grow_symmetric(now.tree, gains, ask, self.get("depth") or 6)]
+            order = grow_symmetric(now.tree, gains, ask, self.get("depth") or 6)
         else:
             now.tree, order = LeafWise(now.tree, gains, ask, self.get("leaves"), self.get("depth")).grow()
         return order, seen
 
-    def _model(self, spark, kind, start, trees, edges, gains) -> TreeModel:
+    def _model(self, spark, kind, start, trees, edges, splits) -> TreeModel:
         nodes = [row for k, tree in enumerate(trees) for row in tree.rows(k, edges, self.get("step"))]
         model = TreeModel(
             tables={"nodes": node_table(spark, nodes)}, kind=kind, start=float(start), features=self.get("features")
         )
-        model.gains = gains  # of each tree's splits in order, for looking at
+        #: (feature, threshold, gain) of each tree's splits in order, for looking at; not saved.
+        model.splits = [[(s.feature, float(edges[s.feature][s.cut]), s.gain) for s in order] for order in splits]
         return model

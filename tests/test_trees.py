@@ -83,7 +83,7 @@ def test_leafwise_trees_are_those_of_one_by_one_growth(spark, waves, leaves, dep
     score = np.full(len(y), y.mean())
     for k in range(2):
         gains, value = one_by_one(binned(x), score - y, np.ones(len(y)), leaves, l2, min_rows, depth or 99)
-        assert np.allclose(model.gains[k], gains, rtol=1e-6)
+        assert np.allclose([s[2] for s in model.splits[k]], gains, rtol=1e-6)
         score += 0.5 * value
     assert np.allclose(scores(model, table(spark, x, y)), score, atol=1e-6)
     ends = nodes_of(model).query("feature == -1")
@@ -98,7 +98,7 @@ def test_logistic_boosting(spark, waves):
     for k in range(2):
         p = 1 / (1 + np.exp(-score))
         gains, value = one_by_one(binned(x), p - label, p * (1 - p), 6, 1.0, 20)
-        assert np.allclose(model.gains[k], gains, rtol=1e-5)
+        assert np.allclose([s[2] for s in model.splits[k]], gains, rtol=1e-5)
         score += 0.3 * value
     out = model.transform(table(spark, x, label)).orderBy("id").select(vector_to_array("probability")[1], "prediction").collect()
     assert np.allclose([r[0] for r in out], 1 / (1 + np.exp(-score)), atol=1e-6)
@@ -116,7 +116,7 @@ def test_symmetric_trees(spark, waves):
         cuts = [(f, c) for f in range(3) for c in range(int(bins[:, f].max()))]
         gains = [worth(2 * part + (bins[:, f] > c)) - worth(part) for f, c in cuts]
         f, c = cuts[int(np.argmax(gains))]
-        assert np.isclose(model.gains[0][level], max(gains), rtol=1e-6)
+        assert np.isclose(model.splits[0][level][2], max(gains), rtol=1e-6)
         part = 2 * part + (bins[:, f] > c)
     value = {p: -g[part == p].sum() / ((part == p).sum() + 1.0) for p in np.unique(part)}
     assert np.allclose(scores(model, table(spark, x, y)), y.mean() + np.array([value[p] for p in part]), atol=1e-6)
