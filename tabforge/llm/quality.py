@@ -4,9 +4,17 @@ estimated without labels, and the posterior decides.
 Everything is a DataFrame expression. A document's votes are one of 3**7 patterns,
 so only pattern counts (at most 2187 rows) are gathered. Expectation-maximisation
 folds over that one array: the E step gives each pattern its probability of good,
-the M step the share of good documents behind each rule's good and bad votes. A
-bad vote is taken to be right at least ``FLOOR`` of the time; without that anchor
-the two classes may settle on any split of the corpus. Abstaining says nothing.
+the M step the share of good documents behind each rule's good and bad votes.
+Abstaining says nothing.
+
+Every estimate starts from a prior that weighs as much as ``PRIOR_VOTES`` documents (beta
+priors: ``PRIOR`` of the documents are good, ``RIGHT`` of the good votes and ``FLOOR`` of the
+bad ones are right), so a handful of documents cannot overrule it, and in a corpus the
+votes decide. Documents without words say nothing about the rules and are not counted.
+One thing is fixed beforehand: a bad vote counts as right at least ``ANCHOR`` of the
+time, because two classes without any fixed meaning may settle on any split of the
+corpus. With an anchor of 0.5 the symbol rule's bad votes on sf 0.1 drift to 28 % good
+documents and 106 of the 291 documents labelled bad pass; with 0.95 one does.
 """
 
 from __future__ import annotations
@@ -14,15 +22,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabforge.llm.files import work_folder
 from tabforge.llm.registry import query
 from tabforge.session import settle
 from tabforge.sources.tables import load
 
 MIN_WORDS = 50
-FLOOR = 0.95
 ROUNDS = 30
-#: Share of good documents, and how often a vote is right, before the first round.
-PRIOR, RIGHT = 0.8, 0.9
+#: Share of good documents, and how often good and bad votes are right, before the first round.
+PRIOR, RIGHT, FLOOR = 0.8, 0.9, 0.95
+#: Documents, and votes of each kind and rule, that the prior weighs as much as.
+PRIOR_VOTES = 50
+#: How often a bad vote is right at least.
+ANCHOR = 0.95
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -123,11 +135,11 @@ def _posterior(state: str, votes: str) -> str:
     return f"1 / (1 + exp(-({total})))"
 
 
-def _precision(vote: int, low: str, high: str) -> str:
-    """SQL for the share of good documents behind each rule's votes, one document of prior added."""
+def _precision(vote: int, low: str, high: str, start: float) -> str:
+    """SQL for the share of good documents behind each rule's votes, the prior's votes among them."""
     voted = f"CASE WHEN p.v[j] = {vote} THEN p.n"
-    good = f"aggregate(w, r, (x, p) -> x + {voted} * p.q ELSE 0D END)"
-    everyone = f"aggregate(w, 1D, (x, p) -> x + {voted} ELSE 0D END)"
+    good = f"aggregate(w, {PRIOR_VOTES * start:.6f}D, (x, p) -> x + {voted} * p.q ELSE 0D END)"
+    everyone = f"aggregate(w, {PRIOR_VOTES}D, (x, p) -> x + {voted} ELSE 0D END)"
     return (
         f"transform(sequence(0, {len(RULES) - 1}), j ->"
         f" greatest({low}, least({high}, {good} / {everyone})))"
@@ -135,7 +147,11 @@ def _precision(vote: int, low: str, high: str) -> str:
 
 
 def accuracies(codes: DataFrame) -> DataFrame:
-    """One row: (prior, good, bad, patterns) learnt from the pattern code of every document."""
+    """One row: (prior, good, bad, patterns) learnt from the pattern code of every document.
+
+    good and bad are the shares of good documents behind each rule's good and bad votes. A
+    good vote is never evidence against a document, so good is at least the prior.
+    """
     digits = "transform(sequence(0, %d), j -> cast(pmod(floor(code / pow(3, j)), 3) AS int))" % (len(RULES) - 1)
     counted = codes.groupBy("code").agg(F.count("*").cast("double").alias("n"))
     whole = counted.select(
@@ -146,10 +162,13 @@ def accuracies(codes: DataFrame) -> DataFrame:
         f" array_repeat({1 - FLOOR:.6f}D, {len(RULES)}) AS bad)"
     )
     expected = f"transform(patterns, p -> struct(p.v AS v, p.n AS n, {_posterior('s', 'p.v')} AS q))"
-    share = "aggregate(w, 0D, (x, p) -> x + p.n * p.q) / aggregate(w, 0D, (x, p) -> x + p.n)"
+    share = (
+        f"aggregate(w, {PRIOR_VOTES * PRIOR:.6f}D, (x, p) -> x + p.n * p.q)"
+        f" / aggregate(w, {PRIOR_VOTES}D, (x, p) -> x + p.n)"
+    )
     updated = (
-        f"struct(r AS prior, {_precision(2, 'r', '0.999D')} AS good,"
-        f" {_precision(0, '0.001D', f'{1 - FLOOR:.6f}D')} AS bad)"
+        f"struct(r AS prior, {_precision(2, 'r', '0.999D', RIGHT)} AS good,"
+        f" {_precision(0, '0.001D', f'{1 - ANCHOR:.6f}D', 1 - FLOOR)} AS bad)"
     )
     # transform(array(x), name -> ...)[0] names a value that is used more than once.
     step = (
@@ -168,36 +187,39 @@ def posteriors(codes: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Add base_failed, quality and kept to measured rows."""
+    """Add quality and kept to rows with a code and base_failed."""
     table = F.broadcast(posteriors(codes))  # at most 3**7 rows
-    base = F.expr(BASE_FAILED)
-    return (
-        rows.withColumn("code", F.expr(_CODE))
-        .join(table, "code", "left")
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & (F.col("quality") >= 0.5))
-        .drop("code")
-    )
+    return rows.join(table, "code", "left").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, quality and kept of every input row.
 
     Rows are judged one by one, so ties and repeated rows change nothing but the
-    pattern counts. Other columns are not looked at.
+    pattern counts. A row without words fails the base rules; its quality is that of its
+    pattern, null if no row with words has the same. Other columns are not looked at.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = settle(measured(own).drop("text"))
-    return judged(rows, rows.select(F.expr(_CODE).alias("code"))).select(
+    rows = rows.withColumn("code", F.expr(_CODE)).withColumn("base_failed", F.expr(BASE_FAILED))
+    return judged(rows, rows.where("n_words > 0").select("code")).select(
         "doc_id", *BASE, "base_failed", "kept", "quality"
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The input rows whose report says kept, with the input's columns."""
+    """The input rows whose report says kept, with the input's columns.
+
+    Every text is measured once: the rows are written with their pattern code.
+    """
     slim = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
-    codes = settle(measured(slim.select("text")).select(F.expr(_CODE).alias("code")))
-    return judged(measured(slim), codes).where("kept").select("_row.*")
+    rows = measured(slim).select(
+        "_row", F.expr(_CODE).alias("code"), F.expr(BASE_FAILED).alias("base_failed"), (F.col("n_words") > 0).alias("counted")
+    )
+    path = work_folder(docs.sparkSession, "quality")
+    rows.write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    return judged(rows, rows.where("counted").select("code")).where("kept").select("_row.*")
 
 
 def _sql() -> str:
@@ -220,10 +242,10 @@ def _sql() -> str:
     )
     post = f"1 / (1 + exp(-({lo('prior')} + {score})))"
 
-    def share(vote: int, low: str, high: str) -> str:
+    def share(vote: int, low: str, high: str, start: float) -> str:
         return "[" + ", ".join(
-            f"greatest({low}, least({high}, (r + coalesce(sum(n * q) FILTER (v[{j}] = {vote}), 0))"
-            f" / (1 + coalesce(sum(n) FILTER (v[{j}] = {vote}), 0))))"
+            f"greatest({low}, least({high}, ({PRIOR_VOTES * start:.6f} + coalesce(sum(n * q) FILTER (v[{j}] = {vote}), 0))"
+            f" / ({PRIOR_VOTES} + coalesce(sum(n) FILTER (v[{j}] = {vote}), 0))))"
             for j in range(1, n + 1)
         ) + "]"
 
@@ -239,18 +261,18 @@ m AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM ({counted}) c LEFT JOIN rep USING (doc_id)),
 coded AS (SELECT *, {_CODE} AS code FROM m),
 pats AS (SELECT code, count(*)::DOUBLE AS n,
-         list_transform(range({n}), lambda j: ((code // (3 ** j)::BIGINT) % 3)::INT) AS v FROM coded GROUP BY 1),
+         list_transform(range({n}), lambda j: ((code // (3 ** j)::BIGINT) % 3)::INT) AS v FROM coded WHERE n_words > 0 GROUP BY 1),
 em AS (SELECT 0 AS it, {PRIOR}::DOUBLE AS prior, list_transform(range({n}), lambda j: {RIGHT}::DOUBLE) AS good,
               list_transform(range({n}), lambda j: {1 - FLOOR:.6f}::DOUBLE) AS bad
        UNION ALL
-       SELECT it + 1, r, {share(2, 'r', '0.999')}, {share(0, '0.001', f'{1 - FLOOR:.6f}')}
-       FROM (SELECT *, greatest(0.05, least(0.95, sum(n * q) OVER () / sum(n) OVER ())) AS r
+       SELECT it + 1, r, {share(2, 'r', '0.999', RIGHT)}, {share(0, '0.001', f'{1 - ANCHOR:.6f}', 1 - FLOOR)}
+       FROM (SELECT *, greatest(0.05, least(0.95, ({PRIOR_VOTES * PRIOR:.6f} + sum(n * q) OVER ()) / ({PRIOR_VOTES} + sum(n) OVER ()))) AS r
              FROM (SELECT it, n, v, {post} AS q FROM em, pats WHERE it < {ROUNDS}))
        GROUP BY it, r),
 post AS (SELECT code, {post} AS quality FROM em, pats WHERE it = {ROUNDS})
 SELECT doc_id, {', '.join(f'{c}::BIGINT AS {c}' for c in BASE)}, {BASE_FAILED} AS base_failed,
        NOT ({BASE_FAILED}) AND quality >= 0.5 AS kept
-FROM coded JOIN post USING (code)"""
+FROM coded LEFT JOIN post USING (code)"""
 
 
 SQL = _sql()

@@ -70,5 +70,26 @@ def test_estimates_follow_the_votes(spark):
     assert all(0 < r.quality < 1 for r in quality.posteriors(codes).collect())
 
 
+GOOD = "Plain sentences follow here. " + " ".join(a + b + c for a in "bdfgk" for b in "aeiou" for c in ("ns", "rde", "llen", "mt", "sta")) + "."
+BAD = "### " + " ".join(f"WORD{k}### $$$" for k in range(60))
+
+
+def test_few_rows_do_not_overrule_the_prior(spark):
+    """A plain text is kept and a bad one is not, whatever stands beside them."""
+    for company in ([], [None], ["", None, " "], ["x"] * 8, [BAD] * 8, [GOOD] * 8, ["word " * 3] * 3 + [None] * 5):
+        rows = [(1, GOOD), (2, BAD), *((10 + k, t) for k, t in enumerate(company))]
+        found = {r.doc_id: r for r in report(spark, rows)[1].collect()}
+        assert found[1].kept and not found[1].base_failed and not found[2].kept
+
+
+def test_a_bad_rule_is_learnt_to_be_bad(spark, monkeypatch):
+    """Without the anchor, bad votes that fall on good documents lose their weight."""
+    monkeypatch.setattr(quality, "ANCHOR", 0.0)
+    votes = [0 if i % 10 < 3 else 2 for i in range(1000)]  # what five rules agree on
+    codes = [sum(v * 3**k for k in range(7) if k not in (2, 5)) + 3**2 + (0 if i % 2 else 3**5) for i, v in enumerate(votes)]
+    learnt = quality.accuracies(spark.createDataFrame([(c,) for c in codes], "code int")).first()
+    assert learnt.bad[5] > 0.5 and learnt.bad[0] < 0.06
+
+
 def test_query_agrees_with_sql(spark, sf_dir):
     assert differences(quality.op1_quality_rules(spark, sf_dir), connect(sf_dir), quality.SQL) == []
