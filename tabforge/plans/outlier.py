@@ -8,10 +8,8 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.order import hash32
 from tabforge.operators.quantiles import fitted_quantiles
 from tabforge.plans.base import RAW, Configured, packed, setting
-from tabforge.session import settle
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
@@ -63,9 +61,9 @@ class _ForestSettings(Configured):
 class IsolationForest(_ForestSettings, Estimator):
     """Rows that random splits isolate early are outliers.
 
-    Only a bounded sample (``trees * sample`` rows, picked by key hash) is used to
-    grow the trees, each tree in its own group. Scores and their threshold are
-    computed over all rows. Adds ``anomaly_score`` and ``is_outlier``.
+    Each tree is grown in its own group from the ``sample`` rows whose hash for this tree
+    is smallest, so every row may enter any tree. Scores and their threshold are computed
+    over all rows. Adds ``anomaly_score`` and ``is_outlier``.
     """
 
     id_col = setting("id_col", "row key, decides the sample")
@@ -75,34 +73,36 @@ class IsolationForest(_ForestSettings, Estimator):
     seed = setting("seed", "seed of sample and splits")
     defaults = {"trees": 100, "sample": 256, "contamination": 0.02, "seed": 42}
 
+    def samples(self, df: DataFrame, n: int) -> DataFrame:
+        """(tree, row_id, columns) of every tree's sample of the n rows.
+
+        One pass draws a number for each row and tree; only those below a ceiling that
+        leaves about twice the sample of each tree go on to be ranked.
+        """
+        trees, sample, seed = self.get("trees"), self.get("sample"), F.lit(self.get("seed"))
+        share = min(1.0, (2 * sample + 100) / max(1, n))
+        ceiling = F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * share)))
+        rows = df.select(F.col(self.get("id_col")).alias("row_id"), *self.get("cols"))
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64("row_id", t, seed) <= ceiling)
+        order = Window.partitionBy("tree").orderBy("_draw", "row_id")
+        return (
+            rows.withColumn("tree", F.explode(drawn))
+            .withColumn("_draw", F.xxhash64("row_id", "tree", seed))
+            .withColumn("_place", F.row_number().over(order))
+            .where(F.col("_place") <= sample)
+            .select("tree", "row_id", *self.get("cols"))
+        )
+
     def _fit(self, df: DataFrame) -> "IsolationForestModel":
         cols, seed = self.get("cols"), self.get("seed")
-        rows = df.select(F.col(self.get("id_col")).alias("row_id"), *cols)
-        wanted = self.get("trees") * self.get("sample")
-        # The hash thins the rows to about twice the sample before they are ranked.
-        ceiling = 2.0**32 * min(1.0, (2 * wanted + 1000) / max(1, rows.count()))
-        pool = settle(
-            rows.withColumn("_hash", hash32(F.col("row_id"), seed))
-            .where(F.col("_hash") <= ceiling)
-            .orderBy("_hash", "row_id")
-            .limit(wanted)
-            .drop("_hash")
-        )
-        numbers = F.sequence(F.lit(0), F.lit(self.get("trees") - 1))
-        draw = Window.partitionBy("tree").orderBy("_draw", "row_id")
-        samples = (
-            pool.withColumn("tree", F.explode(numbers))
-            .withColumn("_draw", F.xxhash64("row_id", "tree", F.lit(seed)))
-            .withColumn("_place", F.row_number().over(draw))
-            .where(F.col("_place") <= self.get("sample"))
-            .select("tree", "row_id", *cols)
-        )
+        n = df.count()
+        samples = self.samples(df, n)
         grown = samples.groupBy("tree").applyInPandas(_grow(cols, seed), NODES).toPandas()
         forest = [
             group.sort_values("node").drop(columns=["tree", "node"]).to_dict("list")
             for _, group in grown.groupby("tree")
         ]
-        size = min(self.get("sample"), pool.count())
+        size = min(self.get("sample"), n)
         model = IsolationForestModel(cols=cols, forest=forest, sample=size)
         scored = df.select(model.score().alias("score"))
         cut = fitted_quantiles(scored, ["score"], [1 - self.get("contamination")])["score"][0]

@@ -218,6 +218,17 @@ def test_isolation_forest_finds_planted_rows(cloud):
     assert {r["id"] for r in again.collect()} == flagged
 
 
+def test_isolation_trees_draw_from_all_rows(cloud):
+    detector = outlier.IsolationForest(cols=["x", "y"], id_col="id", trees=30, sample=40)
+    drawn = detector.samples(cloud, 1020).toPandas()
+    assert (drawn.groupby("tree").size() == 40).all() and drawn["tree"].nunique() == 30
+    marks = cloud.select("id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("tree")).withColumn(
+        "h", F.xxhash64("id", "tree", F.lit(42))).toPandas()
+    least = marks.sort_values("h").groupby("tree").head(40)
+    assert set(zip(least["tree"], least["id"])) == set(zip(drawn["tree"], drawn["row_id"]))
+    assert drawn["row_id"].nunique() > 600
+
+
 def test_pca_is_centred_and_orthonormal(cloud):
     model = manifold.PcaFeatures(cols=["x", "y"], k=2).fit(cloud)
     loadings = np.array(model.get("components"))
@@ -231,8 +242,20 @@ def test_cluster_restarts_never_cost_more(cloud):
     one = manifold.ClusterId(cols=["x", "y"], k=4, restarts=1).fit(cloud)
     many = manifold.ClusterId(cols=["x", "y"], k=4, restarts=4).fit(cloud)
     assert many.get("cost") <= one.get("cost") + 1e-9
-    assert {r[0] for r in many.transform(cloud).select("cluster_id").distinct().collect()} == {
-        0, 1, 2, 3}
+    out = many.transform(cloud)
+    assert {r[0] for r in out.select("cluster_id").distinct().collect()} == {0, 1, 2, 3}
+    means = out.groupBy("cluster_id").agg(F.avg("x"), F.avg("y")).orderBy("cluster_id").collect()
+    assert np.allclose([r[1:] for r in means], many.get("centres"))
+    again = manifold.ClusterId(cols=["x", "y"], k=4, restarts=4).fit(cloud.repartition(7))
+    assert again.get("centres") == many.get("centres")
+
+
+def test_clusters_of_few_rows(spark):
+    rows = frame(spark, [(1.0, 2.0), (1.0, 2.0), (5.0, 5.0)], "x double, y double")
+    model = manifold.ClusterId(cols=["x", "y"], k=4, restarts=2).fit(rows)
+    assert sorted(model.get("centres")) == [[1.0, 2.0], [5.0, 5.0]] and model.get("cost") == 0.0
+    empty = manifold.ClusterId(cols=["x", "y"], k=2).fit(rows.where("id < 0"))
+    assert empty.transform(rows).where("cluster_id IS NULL").count() == 3
 
 
 @pytest.fixture(scope="module")
