@@ -235,8 +235,8 @@ def ridge_leave_one_out(spark, sf_dir):
 _DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits", "n_capitals", "word_length"]
 
 
-def document_rows(spark, sf_dir, how="inner"):
-    """Text measures of the documents, with the quality label where there is one.
+def document_rows(spark, sf_dir):
+    """Text measures of all documents, with the quality label where there is one.
 
     Training reads them many times, the texts are scanned once.
     """
@@ -253,7 +253,12 @@ def document_rows(spark, sf_dir, how="inner"):
     labels = load(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("double").alias("label")
     )
-    return settle(docs.join(labels, "doc_id", how))
+    return settle(docs.join(labels, "doc_id", "left"))
+
+
+def labelled(rows):
+    """Learners are fitted on these; all documents are scored."""
+    return rows.where("label IS NOT NULL")
 
 
 def _document_prep():
@@ -267,9 +272,9 @@ def _document_prep():
     )
 
 
-def _document_features(spark, sf_dir, how="inner"):
-    rows = document_rows(spark, sf_dir, how)
-    return _document_prep().fit(rows).transform(rows)
+def _document_features(spark, sf_dir):
+    rows = document_rows(spark, sf_dir)
+    return _document_prep().fit(labelled(rows)).transform(rows)
 
 
 def part_rows(spark, sf_dir):
@@ -307,8 +312,8 @@ def _log_parts(spark, sf_dir):
 def features_then_model(spark, sf_dir):
     """Preparation and a forest in one chain, labels written as booleans."""
     rows = document_rows(spark, sf_dir)
-    chain = Pipeline(stages=[_document_prep(), models.forest_classifier(trees=20, depth=6)])
-    return ensemble.predict(chain.fit(rows), rows, "doc_id", "is_good", "boolean")
+    chain = Pipeline(stages=[_document_prep(), models.forest_classifier(trees=100)])
+    return ensemble.predict(chain.fit(labelled(rows)), rows, "doc_id", "is_good", "boolean")
 
 
 @query("clean_then_fit")
@@ -317,92 +322,115 @@ def clean_then_fit(spark, sf_dir):
     rows = document_rows(spark, sf_dir)
     cleaned = outlier.CleanThenFit(
         pre=_document_prep(),
-        detector=outlier.IsolationForest(cols=_DOC_FEATURES, id_col="doc_id", trees=50),
-        est=Pipeline(stages=[_document_prep(), models.forest_classifier(trees=20, depth=6)]),
+        detector=outlier.IsolationForest(cols=_DOC_FEATURES, id_col="doc_id"),
+        est=Pipeline(stages=[_document_prep(), models.forest_classifier(trees=100)]),
     )
-    return ensemble.predict(cleaned.fit(rows), rows, "doc_id", "is_good", "int")
-
-
-def _document_bases():
-    return {
-        "forest": models.forest_classifier(trees=20, depth=6),
-        "extra": models.extra_trees(trees=20, depth=6),
-        "bayes": models.gaussian_nb(),
-    }
+    return ensemble.predict(cleaned.fit(labelled(rows)), rows, "doc_id", "is_good", "int")
 
 
 @query("soft_vote_fit")
 def soft_vote_fit(spark, sf_dir):
     rows = _document_features(spark, sf_dir)
-    model = ensemble.SoftVote(_document_bases(), [3.0, 1.0, 2.0]).fit(rows)
+    bases = {
+        "forest": models.forest_classifier(trees=200),
+        "extra": models.extra_trees(trees=300, min_rows=3),
+        "bayes": models.gaussian_nb(),
+    }
+    model = ensemble.SoftVote(bases, [3.0, 1.0, 2.0]).fit(labelled(rows))
     return ensemble.predict(model, rows, "doc_id", "quality", "int")
 
 
 @query("bagging")
 def bagging(spark, sf_dir):
     rows = _document_features(spark, sf_dir)
-    bag = ensemble.Bagging(models.tree_classifier(depth=5), n=5, fraction=0.75, key="doc_id")
-    return ensemble.predict(bag.fit(rows), rows, "doc_id", "quality", "int")
+    bag = ensemble.Bagging(models.tree_classifier(depth=5), n=10, fraction=0.75, key="doc_id")
+    return ensemble.predict(bag.fit(labelled(rows)), rows, "doc_id", "quality", "int")
 
 
 @query("stack_classifier")
 def stack_classifier(spark, sf_dir):
     rows = document_rows(spark, sf_dir)
     bases = {
-        "forest": models.forest_classifier(trees=10, depth=5),
-        "fourier": models.rff_classifier(dims=64),
-        "ada": boosting.AdaBoost(rounds=3),
+        "forest": models.forest_classifier(trees=200, depth=10),
+        "fourier": models.rff_classifier(gamma=0.1, c=10.0),
+        "knn": models.KnnClassifier(k=10, id_col="doc_id"),
+        "ada": boosting.AdaBoost(rounds=50),
     }
-    stack = ensemble.StackClassifier(bases, key="doc_id", folds=3, prepare=_document_prep())
-    return ensemble.predict(stack.fit(rows), rows, "doc_id", "quality", "int")
+    stack = ensemble.StackClassifier(bases, key="doc_id", folds=5, prepare=_document_prep())
+    return ensemble.predict(stack.fit(labelled(rows)), rows, "doc_id", "quality", "int")
 
 
 @query("stack_regressor")
 def stack_regressor(spark, sf_dir):
     rows = _log_parts(spark, sf_dir)
     bases = {
-        "boost": models.hist_boost_regressor(rounds=5, depth=4, bins=64),
+        "boost": models.hist_boost_regressor(rounds=10),
         "lasso": linear.Lasso(),
         "ridge": linear.Ridge(),
         "elastic": linear.ElasticNet(),
     }
-    stack = ensemble.StackRegressor(bases, key="p_partkey", folds=3, prepare=_part_prep())
+    stack = ensemble.StackRegressor(bases, key="p_partkey", folds=5, prepare=_part_prep())
     scored = stack.fit(rows).transform(rows)
     return scored.select("p_partkey", F.expm1("prediction").alias("price"))
 
 
 @query("bake_off")
 def bake_off(spark, sf_dir):
-    rows = stratified_kfold(_document_features(spark, sf_dir), "doc_id", "label", 3, 5)
+    """Nine classifiers on ten folds of the labelled documents."""
+    rows = stratified_kfold(labelled(_document_features(spark, sf_dir)), "doc_id", "label", 10, 5)
     ests = {
         "knn": models.KnnClassifier(k=13, id_col="doc_id"),
-        "tree": models.tree_classifier(depth=5),
-        "extra_tree": models.extra_tree(depth=5),
-        "forest": models.forest_classifier(trees=10, depth=5),
+        "tree": models.tree_classifier(),
+        "forest": models.forest_classifier(trees=13),
         "bayes": models.gaussian_nb(),
-        "logistic": linear.Logistic(),
+        "fourier": models.rff_classifier(gamma=0.14, c=1.0, dims=64),
+        "extra_tree": models.extra_tree(),
+        "boost": models.boost_classifier(rounds=10, step=1.0, depth=3),
+        "ada": boosting.AdaBoost(rounds=50),
+        "extra": models.extra_trees(trees=100),
     }
-    return ensemble.bake_off(ests, rows, stats.accuracy, 3)
+    return ensemble.bake_off(ests, rows, stats.accuracy, 10)
+
+
+@query(
+    "cross_val",
+    f"""WITH r AS (
+      SELECT l_quantity / 10 AS x, l_extendedprice / 1000 AS y,
+             {_HASH.format(seed=9, key="(l_orderkey * 16 + l_linenumber)")} % 5 AS fold FROM lineitem),
+    m AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) / (regr_sxx(y, x) + 10) AS slope
+          FROM (SELECT DISTINCT fold FROM r) f JOIN r ON r.fold <> f.fold GROUP BY f.fold)
+    SELECT fold::INT AS fold, round(sqrt(avg(power(y - my - slope * (x - mx), 2))), 6) AS rmse
+    FROM r JOIN m USING (fold) GROUP BY 1""",
+)
+def cross_val(spark, sf_dir):
+    """Error of a ridge on each fold of the order lines, fitted on the other four."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("key"),
+        (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 1000).alias("label"),
+    )
+    rows = kfold(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows), "key", 5, 9)
+    scores = ensemble.cross_val(linear.Ridge(alpha=10.0), rows, stats.rmse, 5)
+    return scores.select("fold", F.round("score", 6).alias("rmse"))
 
 
 @query("pseudo_label_fit")
 def pseudo_label_fit(spark, sf_dir):
-    rows = _document_features(spark, sf_dir, "left")
-    est = ensemble.PseudoLabel(models.forest_classifier(trees=20, depth=6), 0.8, 20)
+    rows = _document_features(spark, sf_dir)
+    est = ensemble.PseudoLabel(models.forest_classifier(trees=100), 0.95, 50)
     return ensemble.predict(est.fit(rows), rows, "doc_id", "quality", "int")
 
 
 @query("boosted_classifier")
 def boosted_classifier(spark, sf_dir):
     rows = _document_features(spark, sf_dir)
-    model = models.boost_classifier(rounds=5, step=0.1, depth=3, subsample=0.8).fit(rows)
+    model = models.boost_classifier(rounds=10, step=1.0, depth=3).fit(labelled(rows))
     return ensemble.predict(model, rows, "doc_id", "quality", "int")
 
 
 @query("ada_boost")
 def ada_boost(spark, sf_dir):
     rows = _document_features(spark, sf_dir)
-    scored = boosting.AdaBoost(rounds=5).fit(rows).transform(rows)
+    scored = boosting.AdaBoost(rounds=50).fit(labelled(rows)).transform(rows)
     good = vector_to_array("probability")[1]
     return scored.select("doc_id", F.round(good, 6).alias("p_good"), "prediction")
 
@@ -411,7 +439,7 @@ def ada_boost(spark, sf_dir):
 def huber_boost(spark, sf_dir):
     rows = _log_parts(spark, sf_dir)
     rows = _part_prep().fit(rows).transform(rows)
-    model = boosting.HuberBoost(rounds=5, step=0.3).fit(rows)
+    model = boosting.HuberBoost(rounds=10, step=0.3).fit(rows)
     return ensemble.predict(model, rows, "p_partkey", "log_price", "double")
 
 
@@ -421,10 +449,10 @@ def boost_presets(spark, sf_dir):
     rows = _log_parts(spark, sf_dir)
     ready = _part_prep().fit(rows).transform(rows)
     bases = {
-        "sampled": models.boost_preset("sampled", rounds=5),
-        "leafwise": models.boost_preset("leafwise", rounds=5),
-        "target_encoded": models.boost_preset("target_encoded", rounds=5),
-        "forest": models.forest_regressor(trees=10, depth=6),
+        "sampled": models.boost_preset("sampled", rounds=10, key="p_partkey"),
+        "leafwise": models.boost_preset("leafwise", rounds=10),
+        "target_encoded": models.boost_preset("target_encoded", rounds=10, key="p_partkey"),
+        "forest": models.forest_regressor(trees=100),
     }
     with ensemble.cached(ready) as cached_rows:
         fitted = ensemble.fit_all(bases, cached_rows)
@@ -434,13 +462,13 @@ def boost_presets(spark, sf_dir):
 
 @query("kernel_models")
 def kernel_models(spark, sf_dir):
-    """Polynomial kernel ridge, Fourier regression and the cross-validated lasso."""
+    """Polynomial kernel ridge, support vector regression and the cross-validated lasso."""
     rows = _log_parts(spark, sf_dir)
     ready = _part_prep().fit(rows).transform(rows)
     bases = {
         "poly": linear.PolyRidge(),
-        "fourier": models.rff_regressor(gamma=0.05, dims=64),
-        "lasso_cv": linear.lasso_cv([0.0005, 0.005, 0.05], folds=3),
+        "fourier": models.rff_regressor(gamma=0.05),
+        "lasso_cv": linear.lasso_cv([0.0005, 0.005, 0.05], folds=5),
     }
     with ensemble.cached(ready) as cached_rows:
         fitted = ensemble.fit_all(bases, cached_rows)
@@ -448,6 +476,22 @@ def kernel_models(spark, sf_dir):
     return scored.select("p_partkey", *[f"score_{name}" for name in bases])
 
 
+@query(
+    "log_target_line",
+    """WITH r AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x, ln(1 + p_retailprice) AS y FROM part),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) / (regr_sxx(y, x) + 10) AS slope FROM r)
+    SELECT p_partkey, round(exp(my + slope * (x - mx)) - 1, 4) AS price FROM r, m""",
+)
+def log_target_line(spark, sf_dir):
+    """A ridge on the log of the price; predictions come back as prices."""
+    part = load(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_size") / 10.0).alias("x"), F.col("p_retailprice").alias("label")
+    )
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(part)
+    model = ensemble.LogTarget(linear.Ridge(alpha=10.0)).fit(rows)
+    return model.transform(rows).select("p_partkey", F.round("prediction", 4).alias("price"))
+
+
 @query("log_target")
 def log_target(spark, sf_dir):
     rows = part_rows(spark, sf_dir)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.catalog.blocks import users
@@ -12,6 +15,7 @@ from tabforge.operators.columns import gap
 from tabforge.operators.order import kfold
 from tabforge.plans import encode, impute, manifold, models, outlier, scale
 from tabforge.plans.blocks import ClusterMatrix
+from tabforge.session import settle
 from tabforge.sources.tables import load
 
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -271,7 +275,7 @@ _FOLD0 = "('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 5"
     near AS (
       SELECT r.vec_id, d.label, row_number() OVER (PARTITION BY r.vec_id
         ORDER BY list_distance(r.v, d.v), d.vec_id) AS place
-      FROM e r JOIN e d ON r.fold = 0 AND d.fold <> 0),
+      FROM e r JOIN e d ON d.fold <> r.fold),
     votes AS (SELECT vec_id, label, count(*) AS n FROM near WHERE place <= 10 GROUP BY 1, 2),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS place
                FROM votes)
@@ -279,11 +283,13 @@ _FOLD0 = "('0x' || substr(md5('42:' || vec_id::VARCHAR), 1, 8))::BIGINT % 5"
     FROM ranked WHERE place = 1""",
 )
 def knn_classify(spark, sf_dir):
-    """Label of each held-out vector by its ten nearest among the others."""
-    rows = _embedding_rows(spark, sf_dir)
-    rows = kfold(rows, "vec_id", 5, 42)
+    """Label of each vector by its ten nearest in the other four of five folds."""
+    rows = settle(kfold(_embedding_rows(spark, sf_dir), "vec_id", 5, 42))
     knn = models.KnnClassifier(k=10, id_col="vec_id", classes=10)
-    out = knn.fit(rows.where("fold <> 0")).transform(rows.where("fold = 0"))
+    parts = [
+        knn.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold)) for fold in range(5)
+    ]
+    out = reduce(DataFrame.unionByName, parts)
     share = F.array_max(vector_to_array("probability"))
     return out.select("vec_id", "prediction", F.round(share, 6).alias("share"))
 
@@ -310,10 +316,66 @@ def event_matrix(spark, sf_dir):
 def kmeans_clusters(spark, sf_dir):
     """Rows per cluster of users."""
     rows = event_matrix(spark, sf_dir)
-    model = manifold.ClusterId(cols=_MATRIX, k=8, restarts=3).fit(rows)
+    model = manifold.ClusterId(cols=_MATRIX, k=8).fit(rows)
     return model.transform(rows).groupBy("cluster_id").agg(F.count("*").alias("n_rows"))
 
 
+@query(
+    "kmeans_facts",
+    """SELECT count(DISTINCT user_id) AS n_rows, 8::BIGINT AS clusters, 0::BIGINT AS nearer_elsewhere FROM events""",
+)
+def kmeans_facts(spark, sf_dir):
+    """Rows that are nearer to the mean of another cluster than to that of their own: none once the runs have settled."""
+    rows = event_matrix(spark, sf_dir)
+    out = settle(manifold.ClusterId(cols=_MATRIX, k=8).fit(rows).transform(rows))
+    means = out.groupBy("cluster_id").agg(F.array(*[F.avg(c) for c in _MATRIX]).alias("mean")).collect()  # 8 rows
+
+    def squared(mean):
+        return sum(((F.col(c) - x) * (F.col(c) - x) for c, x in zip(_MATRIX, mean)), F.lit(0.0))
+
+    far = {r["cluster_id"]: squared(r["mean"]) for r in means}
+    own = F.coalesce(*[F.when(F.col("cluster_id") == k, d) for k, d in far.items()])
+    return out.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(F.least(*far.values()) < own - 1e-6).alias("nearer_elsewhere"),
+    )
+
+
+@query(
+    "pca_facts",
+    """SELECT round(var_samp(l_quantity) + var_samp(l_extendedprice / 1000) + var_samp(l_discount * 100), 4) AS total,
+              0.0::DOUBLE AS mixed FROM lineitem""",
+)
+def pca_facts(spark, sf_dir):
+    """All components together vary as much as the columns, and no two vary together."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z")
+    )
+    out = manifold.PcaFeatures(cols=["x", "y", "z"], k=3).fit(rows).transform(rows)
+    pairs = [("pca_1", "pca_2"), ("pca_1", "pca_3"), ("pca_2", "pca_3")]
+    mixed = F.round(F.greatest(*[F.abs(F.corr(a, b)) for a, b in pairs]), 6)
+    total = F.round(F.var_samp("pca_1") + F.var_samp("pca_2") + F.var_samp("pca_3"), 4)
+    return out.agg(total.alias("total"), (mixed + 0.0).alias("mixed"))
+
+
+@query(
+    "isolation_facts",
+    """SELECT count(DISTINCT user_id) AS n_rows, 100::BIGINT AS trees, least(256, count(DISTINCT user_id)) AS sample,
+              true AS few_flagged FROM events""",
+)
+def isolation_facts(spark, sf_dir):
+    """Every tree has its sample, and at most two percent of all rows are called outliers."""
+    rows = event_matrix(spark, sf_dir)
+    detector = outlier.IsolationForest(cols=_MATRIX, id_col="user_id")
+    n = rows.count()
+    drawn = detector.samples(rows, n).groupBy("tree").agg(F.count_distinct("row_id").alias("n"))
+    trees, sample = drawn.agg(F.count("*"), F.min("n")).first()
+    return detector.fit(rows).transform(rows).agg(
+        F.count("*").alias("n_rows"), F.lit(trees).cast("long").alias("trees"), F.lit(sample).cast("long").alias("sample"),
+        (F.count_if("is_outlier") <= F.ceil(F.lit(0.02) * n)).alias("few_flagged"),
+    )
+
+
 @query(
     "pca_plane",
     """WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x,

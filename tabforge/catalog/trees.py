@@ -191,8 +191,8 @@ def extra_trees_facts(spark, sf_dir):
     nodes = model.tables["nodes"].where("feature >= 0").select("tree", "node", "threshold")
     numbered = nodes.join(_numbered(model), ["tree", "node"]).join(whole, F.col("place") == whole["node"], "left")
     outside = F.coalesce(~((F.col("low") <= F.col("threshold")) & (F.col("threshold") < F.col("high"))), F.lit(True))
-    counted = numbered.agg(F.count_distinct("tree").alias("trees"), F.count_if(outside).alias("outside"))
-    return counted.crossJoin(rows.agg(F.count("*").alias("n_rows")))
+    n_rows = F.lit(rows.count()).cast("long").alias("n_rows")
+    return numbered.agg(F.count_distinct("tree").alias("trees"), F.count_if(outside).alias("outside"), n_rows)
 
 
 def _numbered(model):

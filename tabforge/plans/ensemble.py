@@ -54,7 +54,7 @@ def fit_all(bases: Mapping[str, Estimator], df: DataFrame) -> dict[str, Model]:
     return _side_by_side(lambda name: bases[name].fit(df), list(bases), df)
 
 
-def _side_by_side(fit: Callable[[str], Model], names: list[str], df: DataFrame) -> dict[str, Model]:
+def _side_by_side(fit: Callable, names: list[str], df: DataFrame) -> dict:
     pool = ThreadPool(min(PARALLEL_FITS, len(names)))
     try:
         models = pool.map(inheritable_thread_target(df.sparkSession)(fit), names)
@@ -97,30 +97,25 @@ def out_of_fold(
 def cross_val(
     est: Estimator, df: DataFrame, metric: Callable[[], Column], folds: int, fold_col: str = "fold"
 ) -> DataFrame:
-    """(fold, score): one fit per fold, one aggregation for all scores."""
-    return _score_folds(est, settle(df), metric, folds, fold_col)
-
-
-def _score_folds(est, df, metric, folds, fold_col="fold") -> DataFrame:
-    parts = []
-    for fold in range(folds):
-        with cached(df.where(F.col(fold_col) != fold)) as train:
-            model = est.fit(train)
-        scored = model.transform(df.where(F.col(fold_col) == fold))
-        parts.append(scored.select(fold_col, "label", "prediction"))
-    return reduce(DataFrame.unionByName, parts).groupBy(fold_col).agg(metric().alias("score"))
+    """(fold, score) of rows with a label: a fit per fold on the other folds, a few at a time."""
+    return bake_off({"": est}, df, metric, folds, fold_col).drop("model")
 
 
 def bake_off(
-    ests: Mapping[str, Estimator], df: DataFrame, metric: Callable[[], Column], folds: int
+    ests: Mapping[str, Estimator], df: DataFrame, metric: Callable[[], Column], folds: int, fold_col: str = "fold"
 ) -> DataFrame:
     """(model, fold, score) of several learners on the same folds."""
     df = settle(df)
-    tables = [
-        _score_folds(est, df, metric, folds).select(F.lit(name).alias("model"), "fold", "score")
-        for name, est in ests.items()
-    ]
-    return reduce(DataFrame.unionByName, tables)
+
+    def score(name: str, fold: int) -> float:
+        model = ests[name].fit(df.where(F.col(fold_col) != fold))
+        scored = model.transform(df.where(F.col(fold_col) == fold))
+        return scored.select("label", "prediction").agg(metric()).first()[0]
+
+    tasks = {f"{fold} {name}": (name, fold) for name in ests for fold in range(folds)}
+    scores = _side_by_side(lambda task: score(*tasks[task]), list(tasks), df)
+    rows = [(*tasks[task], value) for task, value in scores.items()]
+    return df.sparkSession.createDataFrame(rows, f"model string, {fold_col} int, score double")
 
 
 def soft_vote(scores: list[Column], weights: list[float] | None = None) -> Column:
