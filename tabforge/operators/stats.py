@@ -91,12 +91,36 @@ def grouped_mode(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     return counts.groupBy(*keys).agg(best["value"].alias(col))
 
 
+#: Columns that are counted together; a row is sent on once for each.
+COUNTED_TOGETHER = 32
+
+
 def modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Most frequent value of each column; one row per column comes to the driver."""
-    found = {}
-    for c in cols:
-        row = grouped_mode(df, [], c).first()
-        found[c] = None if row is None else row[c]
+    """Most frequent value of each column, the smallest of tied ones; None where all are NULL.
+
+    All columns are counted in one scan, each in a grouping set of its own, so values keep
+    their type and no buffer holds the values of a column. One row comes to the driver.
+    """
+    found: dict = {}
+    for first in range(0, len(cols), COUNTED_TOGETHER):
+        part = list(cols[first : first + COUNTED_TOGETHER])
+        names = [f"_mode_{k}" for k in range(len(part))]
+        rows = df.select(*[F.col(c).alias(n) for c, n in zip(part, names)])
+        counts = rows.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
+            F.count("*").alias("_n"), F.grouping_id().alias("_set")
+        )
+        whole = 2 ** len(names) - 1
+        best = [
+            F.min(
+                F.when(
+                    (F.col("_set") == whole - 2 ** (len(names) - 1 - k)) & F.col(n).isNotNull(),
+                    F.struct((-F.col("_n")).alias("rank"), F.col(n).alias("value")),
+                )
+            ).alias(n)
+            for k, n in enumerate(names)
+        ]
+        row = counts.agg(*best).first()
+        found |= {c: None if row[n] is None else row[n]["value"] for c, n in zip(part, names)}
     return found
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.order import category_codes
 from tabforge.plans.base import Configured, TableModel, setting
+from tabforge.session import settle
 
 LITERAL_CATEGORIES = 1_000
 
@@ -20,7 +21,8 @@ def _as_text(col: str) -> Column:
 class OrdinalCodes(Configured, Estimator):
     """Code of each category as ``<col>_code``; categories not fitted get ``unknown``.
 
-    Short vocabularies become a literal lookup; longer ones stay a table and are joined.
+    The categories of all columns are found in one scan. Short vocabularies become a
+    literal lookup; longer ones stay a table and are joined.
     """
 
     cols = setting("cols", "columns to encode")
@@ -28,14 +30,19 @@ class OrdinalCodes(Configured, Estimator):
     defaults = {"unknown": -1}
 
     def _fit(self, df: DataFrame) -> "OrdinalModel":
-        short, tables = {}, {}
-        for c in self.get("cols"):
-            codes = category_codes(df.select(_as_text(c)), c, f"{c}_code")
-            head = codes.limit(LITERAL_CATEGORIES + 1).collect()
-            if len(head) > LITERAL_CATEGORIES:
-                tables[c] = codes
-            else:
-                short[c] = sorted(row[c] for row in head)
+        cols = self.get("cols")
+        each = [F.struct(F.lit(k).alias("_col"), F.col(c).cast("string").alias("_word")) for k, c in enumerate(cols)]
+        words = settle(df.select(F.inline(F.array(*each))).where("_word IS NOT NULL").distinct())
+        sizes = {r["_col"]: r["n"] for r in words.groupBy("_col").agg(F.count("*").alias("n")).collect()}
+        few = [k for k in range(len(cols)) if sizes.get(k, 0) <= LITERAL_CATEGORIES]
+        short: dict[str, list[str]] = {cols[k]: [] for k in few}
+        for row in words.where(F.col("_col").isin(few)).collect():  # a short vocabulary per column
+            short[cols[row["_col"]]].append(row["_word"])
+        short = {c: sorted(found) for c, found in short.items()}
+        tables = {
+            c: category_codes(words.where(F.col("_col") == k).select(F.col("_word").alias(c)), c, f"{c}_code")
+            for k, c in enumerate(cols) if c not in short
+        }
         return OrdinalModel(tables=tables, categories=short, **{
             name: self.get(name) for name in ("cols", "unknown")
         })
