@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.functions.text import parse_group
@@ -114,9 +114,11 @@ class KnnImputerModel(_KnnSettings, TableModel):
         return df.withColumn("pattern", F.concat(*present)).withColumn("vec", vec)
 
     def _spaces(self, receivers: DataFrame, donors: DataFrame) -> tuple[list, list]:
-        """Which gaps of which receiver pattern can be filled from which donor pattern.
+        """Which receiver pattern looks at which donor pattern, and by which shared features.
 
-        There are at most 2**features patterns of each kind, whatever the row count.
+        A space holds the donors of one pattern by one mask of shared features: whoever
+        shares the same features with them looks there, for all gaps at once. There are
+        at most 2**features patterns of each kind, whatever the row count.
         """
         cols = self.get("cols")
         seeking = [row[0] for row in receivers.select("pattern").distinct().collect()]
@@ -124,16 +126,12 @@ class KnnImputerModel(_KnnSettings, TableModel):
         seek, give = set(), set()
         for mine in seeking:
             for theirs in giving:
-                shared = [a == b == "1" for a, b in zip(mine, theirs)]
-                if not any(shared):
-                    continue
-                scale = len(cols) / sum(shared)
-                for at, target in enumerate(cols):
-                    if mine[at] == "0" and theirs[at] == "1":
-                        mask = "".join("1" if s else "0" for s in shared)
-                        space = f"{target}|{mine}|{mask}"
-                        seek.add((mine, target, space, scale, mask))
-                        give.add((theirs, target, space, mask))
+                mask = "".join("1" if a == b == "1" else "0" for a, b in zip(mine, theirs))
+                useful = any(a == "0" and b == "1" for a, b in zip(mine, theirs))
+                if useful and "1" in mask:
+                    space = f"{theirs}|{mask}"
+                    seek.add((mine, space, len(cols) / mask.count("1"), mask))
+                    give.add((theirs, space, mask))
         return sorted(seek), sorted(give)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -151,34 +149,31 @@ class KnnImputerModel(_KnnSettings, TableModel):
                 {c: F.coalesce(F.col(c).cast("double"), F.lit(means.get(c))) for c in cols}
             )
         spark = df.sparkSession
-        seek = spark.createDataFrame(
-            seek, "pattern string, target string, space string, scale double, mask string"
-        )
-        give = spark.createDataFrame(
-            give, "pattern string, target string, space string, mask string"
-        )
+        seek = spark.createDataFrame(seek, "pattern string, space string, scale double, mask string")
+        give = spark.createDataFrame(give, "pattern string, space string, mask string")
         masked = F.transform(
             "vec", lambda x, i: F.when(F.substr("mask", i + 1, F.lit(1)) == "1", x).otherwise(0.0)
         )
-        value_of = F.create_map(
-            *[part for c in cols for part in (F.lit(c), F.col(c).cast("double"))]
-        )
-        found = knn_join(
+        # A target begins with the pattern of its receiver, which says where its gaps are.
+        # The k nearest of each space serve every gap; what is nearest over all spaces
+        # that have a gap's value is among them.
+        near = knn_join(
             receivers.join(seek, "pattern").select(
-                "rid", "target", "space", "scale", masked.alias("vec")
+                "rid", F.concat_ws("|", "pattern", "space").alias("target"), "space", "scale", masked.alias("vec")
             ),
-            donors.withColumn("values", value_of)
-            .join(give, "pattern")
-            .select(
-                "did", "space", masked.alias("vec"),
-                F.col("values")[F.col("target")].alias("payload"),
+            donors.join(give, "pattern").select(
+                "did", "space", masked.alias("vec"), F.array(*[F.col(c).cast("double") for c in cols]).alias("payload")
             ),
             self.get("k"),
         )
+        gaps = near.select("rid", "did", "distance2", "target", F.posexplode("payload").alias("at", "value")).where(
+            "value IS NOT NULL AND substr(target, at + 1, 1) = '0'"
+        )
+        order = Window.partitionBy("rid", "at").orderBy("distance2", "did")
+        found = gaps.withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.get("k"))
         filled = settle(  # stages that follow read it again and again
             found.groupBy(F.col("rid").alias(key)).agg(
-                *[F.avg(F.when(F.col("target") == c, F.col("payload"))).alias(f"_fill_{c}")
-                  for c in cols]
+                *[F.avg(F.when(F.col("at") == k, F.col("value"))).alias(f"_fill_{c}") for k, c in enumerate(cols)]
             )
         )
         out = df.join(filled, key, "left").withColumns(
