@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabforge.catalog.registry import query
+from tabforge.catalog.statistics import GAPPED_SQL, gapped_lineitem
 from tabforge.operators import columns as col_ops
 from tabforge.operators import lookup
 from tabforge.plans import encode, ensemble, impute
+from tabforge.plans.base import FitOnBatch
 from tabforge.session import shared_folder
 from tabforge.sources.csv import read_table, write_predictions
 from tabforge.sources.tables import load
@@ -47,6 +49,25 @@ def _parties(spark, sf_dir):
     return {"customer": customers, "supplier": suppliers}
 
 
+_BATCHES_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS batch, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+               round(coalesce(l_quantity, (SELECT median(l_quantity) FROM gapped WHERE {part})), 6) AS l_quantity
+        FROM gapped WHERE {part}"""
+    for name, part in (("train", "l_orderkey % 3 > 0"), ("test", "l_orderkey % 3 = 0"))
+)
+
+
+@query("batch_median_impute", f"WITH {GAPPED_SQL} {_BATCHES_SQL}")
+def batch_median_impute(spark, sf_dir):
+    """Gaps of training and test rows filled by the median of their own split."""
+    lines = gapped_lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    own = FitOnBatch(impute.MedianImputer(cols=["l_quantity"]))
+    batches = {"train": lines.where("l_orderkey % 3 > 0"), "test": lines.where("l_orderkey % 3 = 0")}
+    filled = [own.transform(rows).withColumn("batch", F.lit(name)) for name, rows in batches.items()]
+    rows = filled[0].unionByName(filled[1])
+    return rows.withColumn("l_quantity", F.round("l_quantity", 6))
+
+
 @query(
     "split_back",
     "SELECT s_suppkey AS key, s_nationkey AS nation, s_acctbal AS balance FROM supplier",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import Model, Transformer
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params
 from pyspark.ml.util import (
     DefaultParamsReadable,
@@ -23,6 +23,21 @@ def setting(name: str, doc: str) -> Param:
     return Param(Params._dummy(), name, doc)
 
 
+class FitOnBatch(Transformer):
+    """Learn on the very rows that are transformed, instead of on the training rows.
+
+    Every batch (a split, a fold, the rows to be scored) is filled and scaled by its own
+    statistics; nothing is remembered.
+    """
+
+    def __init__(self, est: Estimator):
+        super().__init__()
+        self.est = est
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.est.fit(df).transform(df)
+
+
 RAW = "_raw"
 
 

@@ -333,7 +333,8 @@ class HouseFeatures(Configured, Estimator):
     version = setting("version", "2 to 9")
     key = setting("key", "row key")
     restarts = setting("restarts", "runs of the clustering")
-    defaults = {"restarts": 10}
+    order = setting("order", "'cap_log': caps come before logs; 'log_cap': after them")
+    defaults = {"restarts": 10, "order": "cap_log"}
 
     def _fit(self, df: DataFrame):
         version = self.get("version")
@@ -341,21 +342,20 @@ class HouseFeatures(Configured, Estimator):
         stages = [blocks.NoneCategories()]
         if version in (5, 6, 9):
             stages.append(blocks.QualityScale())
-        if version in (4, 6, 7, 8, 9):
-            stages.append(scale.Winsorizer(cols=numeric))
-        if version in (5, 9):
-            stages.append(blocks.Deskew(cols=numeric, bias=version == 5))
+        caps = [scale.Winsorizer(cols=numeric)] if version in (4, 6, 7, 8, 9) else []
+        logs = [blocks.Deskew(cols=numeric, bias=version == 5)] if version in (5, 9) else []
+        stages += caps + logs if self.get("order") == "cap_log" else logs + caps
         areas = present_or_first(df.select(*numeric), CLUSTER_AREAS)
-        logs, plain = [f"m_{c}" for c in areas], [f"f_{c}" for c in numeric]
+        logged, plain = [f"m_{c}" for c in areas], [f"f_{c}" for c in numeric]
         stages += [
             blocks.HouseBlock(**HOUSE_PRODUCTS.get(version, {"interactions": []})),
             blocks.FilledCopies(cols=areas),
             manifold.ClusterId(
-                cols=logs, k={3: 8, 9: 12}.get(version, 10), restarts=self.get("restarts")
+                cols=logged, k={3: 8, 9: 12}.get(version, 10), restarts=self.get("restarts")
             ),
             blocks.FilledCopies(cols=numeric, prefix="f_", log=False),
             manifold.PcaFeatures(cols=plain, k=5 if version == 3 else 3),
-            blocks.DropColumns(cols=[*logs, *plain]),
+            blocks.DropColumns(cols=[*logged, *plain]),
         ]
         return Pipeline(stages=stages).fit(df)
 
