@@ -1,13 +1,17 @@
 """Personal data by candidate boosting, in DataFrame expressions only.
 
 Exact patterns with their checks find the base spans. Looser generators propose
-more: anything mail-like, and any run of seven or more digits with marks between.
-A candidate is described by its format and the text around it. Boosted trees learn
-on a bounded sample of candidates which of them agree with a checked span; per kind
-a threshold is set, on a third of all candidates that the trees have not seen, so
-that those above it are right ``PRECISION`` of the time, and candidates above it that touch no base span
-are added. The trees become one SQL expression, so scoring needs no shuffle and
-reads no text again.
+more: anything mail-like, any run of seven or more digits with marks between, and any
+long run of letters and digits, which may be a secret. A candidate is described by its
+format and the text around it. What is right is told by two cues that do not look at the
+base rules: a format check of its kind, and the context (what stands directly before and
+after, a keyword before a secret). A candidate that both speak for is right, one that
+fails its format check is wrong, and the others have no label. Boosted trees learn these labels on a bounded sample; per kind a
+threshold is set, on a third of all labelled candidates that the trees have not seen, so
+that those above it are right ``PRECISION`` of the time. Candidates above it are added if
+they touch no base span, pass their format check and do not begin or end inside a longer
+run of letters and digits. The trees become one SQL expression, so scoring needs no
+shuffle and reads no text again.
 
 Patterns are possessive and start only where a run starts; they match what the
 plain ones match, without recursion or rescans on long runs.
@@ -27,10 +31,12 @@ from tabforge.sources.tables import load
 #: Candidates of smallest hash; the trees are fitted on two thirds of them.
 SAMPLE = 20_000
 ROUNDS, DEPTH = 10, 3
-PRECISION, LEAST = 0.95, 20
+PRECISION, LEAST = 0.95, 5
 BINS = 50
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kinds of added spans; the last has no base rule.
+ADDED_KINDS = [*KINDS, "secret"]
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE_PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -42,6 +48,7 @@ _DOT = r"(?:\.|\x20?[\[(]dot[\])]\x20?)"
 LOOSE_PATTERNS = {
     "mail": rf"(?<!{_LOCAL}){_LOCAL}++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+",
 }
 _KEYWORDS = r"(?i)phone|call|tel|fax|mobile|card|visa|account|credit|ip|host|server|mail|contact|ssn"
 
@@ -61,11 +68,12 @@ _CHECKS = {
 _GUARDS = {
     "email": "instr(text, '@') > 0", "ip": "has_digit", "card": "has_digit",
     "phone": "has_digit AND instr(text, '+') > 0",
-    "mail": "instr(text, '@') > 0 OR text rlike '[(\\\\[]at[)\\\\]]'", "number": "has_digit",
+    "mail": "instr(text, '@') > 0 OR text rlike '[(\\\\[]at[)\\\\]]'", "number": "has_digit", "secret": "has_digit",
 }
 
 #: How a match looks and what is around it, but not by which sign a mail address is joined.
 FEATURES = {
+    "kind": "rank",
     "digits": f"length({_DIGITS})",
     "length": "length(m)",
     "dots": "length(m) - length(replace(m, '.', ''))",
@@ -84,6 +92,18 @@ FEATURES = {
     "keyword": f"int(before rlike '{_KEYWORDS}')",
     "caps_before": "length(before) - length(translate(before, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))",
 }
+#: Format check of each kind of candidate, by its rank.
+FORMAT_CUES = [
+    "m rlike '[A-Za-z]{2,}$'",
+    f"CASE WHEN m rlike '^[0-9]+([.][0-9]+){{3}}$' THEN {_CHECKS['ip']} ELSE false END",
+    _LUHN,
+    f"length({_DIGITS}) BETWEEN 10 AND 15 AND size(split(m, '[^0-9]+')) >= 3"
+    " AND forall(split(m, '[^0-9]+'), g -> length(g) <= 4) AND m rlike '[+(]|[.-].*[.-]'",
+    "m rlike '[A-Za-z]' AND size(split(m, '[0-9]+')) >= 5 AND size(array_distinct(split(m, ''))) >= 10 AND NOT m rlike '[-_/]{2}'",
+]
+_EDGES = r"(before = '' OR before rlike '[ \\n\\t(\"<:,;]$') AND (after = '' OR after rlike '^[ \\n\\t.,;:)\">!?]')"
+_SECRET_WORD = r"before rlike '(?i)(token|secret|passw|pwd|key|auth|bearer|credential)[a-z]*[^A-Za-z0-9]{1,6}$'"
+CONTEXT_CUES = [_EDGES, _EDGES, _EDGES, _EDGES, _SECRET_WORD]
 _SPAN = "struct<start:int,stop:int,m:string>"
 
 
@@ -112,7 +132,7 @@ def _with_m(sql: str) -> str:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, stop) and loose (kind, start, stop, agrees, features) of each row."""
+    """doc_id, base (start, rank, stop) and loose (start, rank, stop, touches, cues, features) of each row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("has_digit", F.col("text").rlike("[0-9]"))
@@ -129,14 +149,20 @@ def candidates(docs: DataFrame) -> DataFrame:
         f"CASE WHEN length(m) - length(replace(m, '.', '')) = 3 THEN 1"
         f" WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN 2 ELSE 3 END"
     )
+    cues = ", ".join(
+        "CASE rank " + " ".join(f"WHEN {k} THEN {cue}" for k, cue in enumerate(of)) + f" END AS {name}"
+        for name, of in (("formed", FORMAT_CUES), ("placed", CONTEXT_CUES))
+    )
     loose = (
         "transform(concat(transform(_mail, s -> struct(s.start, s.stop, s.m, 0 AS rank)),"
-        f" transform(_number, s -> struct(s.start, s.stop, s.m, {_with_m(number)} AS rank))),"
+        f" transform(_number, s -> struct(s.start, s.stop, s.m, {_with_m(number)} AS rank)),"
+        " transform(_secret, s -> struct(s.start, s.stop, s.m, 4 AS rank))),"
         " s -> struct(s.start AS start, s.rank AS rank, s.stop AS stop,"
         " exists(base, b -> b.start < s.stop AND s.start < b.stop) AS touches,"
         " transform(array(struct(s.m AS m, substring(text, greatest(1, s.start - 23), least(24, s.start)) AS before,"
         " substring(text, s.stop + 1, 8) AS after)), c -> transform(array(c.m), m -> transform(array(c.before),"
-        f" before -> transform(array(c.after), after -> struct({described}))[0])[0])[0])[0] AS f))"
+        " before -> transform(array(c.after), after -> transform(array(s.rank), rank ->"
+        f" struct({described}, {cues}))[0])[0])[0])[0])[0] AS f))"
     )
     return rows.withColumn("loose", F.expr(loose)).select("doc_id", "base", "loose")
 
@@ -161,15 +187,16 @@ def score_sql(model: GBTClassificationModel) -> str:
 def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
     """(score expression, threshold per kind) from candidates of all rows.
 
-    The trees see two thirds of the ``SAMPLE`` candidates of smallest hash. Thresholds
-    are set by the other third of all candidates, which are scored and counted here.
-    Without two classes there is nothing to learn and nothing is added.
+    The trees see two thirds of the ``SAMPLE`` labelled candidates of smallest hash.
+    Thresholds are set by the other third of all labelled candidates, which are scored and
+    counted here. Without two classes there is nothing to learn and nothing is added.
     """
     mark = F.xxhash64("doc_id", "c.start", "c.stop")
-    each = rows.select("doc_id", F.explode("loose").alias("c")).select("c", mark.alias("mark"))
+    label = F.when(~F.col("c.f.formed"), 0.0).when(F.col("c.f.placed"), 1.0)
+    each = rows.select("doc_id", F.explode("loose").alias("c")).select("c", mark.alias("mark"), label.alias("label"))
+    each = each.where("label IS NOT NULL")
     sample = each.orderBy("mark", "c.start", "c.stop").limit(SAMPLE).select(
-        "c", F.col("c.touches").cast("double").alias("label"), F.pmod("mark", F.lit(3)).alias("fold"),
-        *[F.col(f"c.f.{name}").alias(name) for name in FEATURES],
+        "c", "label", F.pmod("mark", F.lit(3)).alias("fold"), *[F.col(f"c.f.{name}").alias(name) for name in FEATURES],
     )
     sample = settle(sample.coalesce(1))
     if sample.where("fold > 0").agg(F.count_distinct("label")).first()[0] < 2:
@@ -179,7 +206,7 @@ def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
         maxIter=ROUNDS, maxDepth=DEPTH, minInstancesPerNode=LEAST, seed=1, labelCol="label"
     )
     sql = score_sql(trees.fit(packed.select("features", "label")))
-    held = each.where(F.pmod("mark", F.lit(3)) == 0).select("c", F.col("c.touches").cast("double").alias("label"))
+    held = each.where(F.pmod("mark", F.lit(3)) == 0).select("c", "label")
     held = held.withColumn("score", F.expr(sql))
     cell = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("cell")
     table = held.groupBy(F.col("c.rank").alias("rank"), cell).agg(
@@ -187,7 +214,7 @@ def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
     )
     thresholds = {}
     right, n, last = 0.0, 0, None
-    for row in sorted(table.collect(), key=lambda r: (r["rank"], -r["cell"])):  # 4 * BINS at most
+    for row in sorted(table.collect(), key=lambda r: (r["rank"], -r["cell"])):  # 5 * BINS at most
         if row["rank"] != last:
             right, n, last = 0.0, 0, row["rank"]
         right, n = right + row["right"], n + row["n"]
@@ -197,12 +224,12 @@ def learn(rows: DataFrame) -> tuple[str | None, dict[int, float]]:
 
 
 def _joined(spans: str) -> Column:
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    names = "array(" + ", ".join(f"'{k}'" for k in ADDED_KINDS) + ")"
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', {names}[s.rank], s.start, s.stop)), ',')")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Counts and spans of every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """Counts and spans of every row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
     A null text is empty. Rows are handled one by one, repeated rows alike; other
     columns are not looked at. Spans are in code points, end exclusive.
@@ -213,7 +240,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     if score and thresholds:
         limit = "CASE c.rank " + " ".join(f"WHEN {k} THEN {t}D" for k, t in thresholds.items()) + " ELSE 2D END"
         added = (
-            f"transform(filter(loose, c -> NOT c.touches AND {score} >= {limit}),"
+            "transform(filter(loose, c -> NOT c.touches AND c.f.formed AND c.f.letters_before = 0"
+            f" AND c.f.letters_after = 0 AND {score} >= {limit}),"
             " c -> struct(c.start AS start, c.rank AS rank, c.stop AS stop))"
         )
     rows = rows.withColumn("added", F.expr(added)).withColumn(
@@ -226,6 +254,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined("all_spans").alias("spans"), F.size("added").cast("long").alias("n_added"),
+        F.size("all_spans").cast("long").alias("n_spans"),
     )
 
 

@@ -1,6 +1,7 @@
 """Base spans against the plain patterns, the trees against the library, odd texts."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -68,7 +69,11 @@ def test_documents_and_added_spans(spark):
     assert len(rows) == len(texts)
     for r in rows:
         own = [f"{k}:{a}:{b}" for k, a, b in base(texts[r.doc_id])]
-        assert set(own) <= set(filter(None, r.spans.split(","))) and r.n_added <= 1
+        spans = list(filter(None, r.spans.split(",")))
+        assert set(own) <= set(spans) and r.n_spans == len(spans) == len(own) + r.n_added
+        for kind, a, b in (x.split(":") for x in spans if x not in own):
+            assert kind == "secret" and re.search(r'token = "$', texts[r.doc_id][: int(a)])
+            assert re.fullmatch("[0-9a-f]{40}", texts[r.doc_id][int(a) : int(b)])
         assert r.base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
 
 
@@ -94,6 +99,54 @@ def test_similar_candidates_are_added(spark):
     assert {r.doc_id: r.text for r in safe.collect()}[1000] == "words and contact [email] for more"
 
 
+def test_planted_data_are_found(spark):
+    """Data that no base rule catches: recall and precision of the added spans."""
+    rng = random.Random(4)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def secret():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+    planted = {
+        "email": lambda: f"{rng.choice(['ann', 'bob', 'eve'])}{digits(2)} [at] mail{digits(1)}.example.org",
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "secret": secret,
+    }
+    decoys = [
+        lambda: f"item {digits(9)}", lambda: f"{digits(8)} {digits(8)} {digits(8)}", lambda: f"x{digits(12)}y",
+        lambda: f"{digits(3)}.{digits(3)}.{digits(3)}.9{digits(3)}", lambda: "-" * 30 + digits(2), lambda: "abcdef" * 5 + digits(1),
+    ]
+    rows, expected = [], set()
+    for k in range(600):
+        text = f"words number {k} "
+        if k % 2:
+            kind = rng.choice(list(planted))
+            value = planted[kind]()
+            text += 'and token = "' if kind == "secret" else "and "
+            expected.add((k, f"{kind}:{len(text)}:{len(text) + len(value)}"))
+            text += value + ('" then' if kind == "secret" else " then")
+        else:
+            text += f"and {rng.choice(decoys)()} then"
+        rows.append((k, text + " +1 (319) 555-5132 and a.b@mail.org " * (k % 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = set()
+    for r in pii.find_personal_data(docs).collect():
+        own = {f"{k}:{a}:{b}" for k, a, b in base(rows[r.doc_id][1])}
+        found |= {(r.doc_id, x) for x in filter(None, r.spans.split(",")) if x not in own}
+    assert len(found & expected) >= 0.9 * len(expected) and len(found & expected) >= 0.95 * len(found)
+
+
+def test_spans_never_cut_a_run_or_join_cards(spark):
+    rows = [(k, f'token = "{10**8 + k}156f3f99059" and 4539578763621486 4539578763621487 {k}') for k in range(90)]
+    rows += [(1000 + k, f"call (319) 555-{1000 + k} or see {10**6 + k}") for k in range(90)]
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 1000").collect():
+        text = rows[r.doc_id][1]
+        for kind, a, b in (x.split(":") for x in filter(None, r.spans.split(","))):
+            assert kind != "phone" and not re.search("[A-Za-z0-9]$", text[: int(a)]) and not re.match("[A-Za-z0-9]", text[int(b) :])
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "plain words")]])
 def test_nothing_to_learn(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
