@@ -167,12 +167,12 @@ class ExtraTrees(Configured, Estimator):
             growing = {k: t for k, t in trees.items() if t.open}
             if not growing:
                 break
-            found = gathered(blocks, n_blocks, _ranges(growing, classes, width), ["min", "max", "sum"], ["float64", "float64", "int64"])
+            found = gathered(blocks, n_blocks, _ranges(growing, classes, width), ["min", "max", "sum"], ["float64", "float64", "int64"], size=(16 * width + 8 * classes) * sum(len(t.open) for t in growing.values()))
             cuts = {k: self._draw(k, t, *found[k], classes, width, tried, level) for k, t in growing.items()}
             growing = {k: t for k, t in growing.items() if t.open}
             if not growing:
                 break
-            left = gathered(blocks, n_blocks, _cut_counts(growing, cuts, classes), ["sum"], ["int64"])
+            left = gathered(blocks, n_blocks, _cut_counts(growing, cuts, classes), ["sum"], ["int64"], size=sum(8 * classes * cuts[k][0].size for k in growing))
             for k, tree in growing.items():
                 self._split(tree, *cuts[k], left[k][0].reshape(*cuts[k][0].shape, classes))
         for k, tree in trees.items():

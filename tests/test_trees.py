@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tabforge.plans import boosting, ensemble, extratrees, histboost, histogram, kernels, linear, models, targets, trees
+from tabforge.plans import boosting, ensemble, extratrees, histboost, histogram, kernels, linear, models, rowblocks, targets, trees
 
 
 def table(spark, x, y, parts=3):
@@ -364,3 +364,14 @@ def test_target_encoded_boost(spark):
     model = Pipeline(stages=[models.boost_preset("target_encoded", rounds=10, step=0.4, depth=4, key="id")]).fit(df)
     error = model.transform(df).select(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2))).first()[0]
     assert error < 0.75
+
+
+def test_blocks_are_dealt_to_tasks(spark):
+    # All rows in one part, as after a small shuffle: every task still gets its share.
+    rows = spark.range(0, 20_000, 1, 1).select(
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), F.lit(1.0).alias("label"), F.lit(1.0).alias("weight"), F.col("id").alias("mark")
+    )
+    edges = [np.arange(100.0), np.zeros(0)]
+    for blocks in (rowblocks.raw_blocks(rows, 20_000, 2), histogram.pack_rows(rows, 20_000, edges, 0.0)):
+        held = blocks.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()
+        assert sum(r.n for r in held) == 20_000 and len(held) >= 5 and max(r.n for r in held) <= 8_000
