@@ -215,3 +215,14 @@ def test_profile_and_histogram(spark, ties):
     shares = stats.class_histogram(ties, "c", "x", 2, 0.0, 8.0).collect()
     assert {(r["c"], r["bin"]): r["share"] for r in shares} == {
         ("a", 1): 0.5, ("a", 3): 0.5, ("b", 1): 0.5, ("b", 2): 0.5}
+
+
+def test_rows_of_few_groups_are_not_sorted_for_a_lookup(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 7).cast("double").alias("v"))
+    filled = lookup.fill_group_median(rows, ["g"], "v")
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    few = sorted(map(tuple, filled.collect()))
+    assert len(few) == 3000 and all(v is not None for _, v in few)
+    monkeypatch.setattr(lookup, "FEW_GROUPS", 2)
+    assert sorted(map(tuple, lookup.fill_group_median(rows, ["g"], "v").collect())) == few
