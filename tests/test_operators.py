@@ -226,3 +226,44 @@ def test_rows_of_few_groups_are_not_sorted_for_a_lookup(spark, monkeypatch):
     assert len(few) == 3000 and all(v is not None for _, v in few)
     monkeypatch.setattr(lookup, "FEW_GROUPS", 2)
     assert sorted(map(tuple, lookup.fill_group_median(rows, ["g"], "v").collect())) == few
+
+
+def test_nearest_of_a_tile_are_exact():
+    """Far from the origin a matrix product is rough: ties and order must not suffer."""
+    rng = np.random.default_rng(6)
+    for shift in (0.0, 1e6):
+        points = rng.integers(0, 3, (200, 20)) + shift
+        queries = np.concatenate([points[:20], rng.random((20, 20)) + shift])
+        ids = rng.permutation(200)
+        query, point, distance = neighbors._nearest(queries, points, ids, 7)
+        exact = neighbors._squared(queries, points)
+        for at, row in enumerate(exact):
+            best = np.lexsort((ids, row))[:7]
+            assert point[query == at].tolist() == best.tolist()
+            assert distance[query == at].tolist() == row[best].tolist()
+
+
+def test_receivers_go_out_once_where_blocks_rule_out_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(neighbors, "DONORS_PER_PIVOT", 20)
+    sent, compare = spark.sparkContext.accumulator(0), neighbors._compare
+
+    def counted(k, out_columns):
+        nearest = compare(k, out_columns)
+
+        def count(donors, receivers):
+            sent.add(len(receivers))
+            return nearest(donors, receivers)
+
+        return count
+
+    monkeypatch.setattr(neighbors, "_compare", counted)
+    donors = [(i, "s", rng.random(50).tolist(), 0.0) for i in range(400)]
+    receivers = [(i, "x", "s", 1.0, rng.random(50).tolist()) for i in range(30)]
+    found = knn_join(
+        spark.createDataFrame(receivers, "rid long, target string, space string, scale double, vec array<double>"),
+        spark.createDataFrame(donors, "did long, space string, vec array<double>, payload double"), 6,
+    ).collect()
+    got = {(r["rid"], r["target"], r["did"]): (r["payload"], round(r["distance2"], 9)) for r in found}
+    assert got == _brute_force_neighbours(receivers, donors, 6)
+    assert sent.value == 30
