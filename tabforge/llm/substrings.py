@@ -9,15 +9,19 @@ hash at ``at``. Only nodes whose window is that long are kept, about two per
 minimum of some run of ``least`` hashes, and its window ends where a smaller hash
 stands.
 
-Windows meet by hash and function. Within a group, each joins the group's first and
-its own neighbour, which is linear however many documents share a passage. Pairs
-that meet under at least ``VOTES`` of ``FUNCTIONS`` functions are candidates: the
-joined intervals say which slices of both to fetch, and the slices are compared
+Windows meet by hash and function. In groups of up to ``FEW`` classes all pairs meet.
+Those that meet under at least ``VOTES`` of ``FUNCTIONS`` functions are candidates:
+the joined intervals say which slices of both to fetch, and the slices are compared
 shingle by shingle. Subsequences of Jaccard similarity s meet under each function
 with probability s, so those at 0.75 are missed in 5 % of cases; equal ones never.
 
-That finds changed passages; in a group whose shingle other texts hold too, some of
-their pairs get no vote. Equal passages do not depend on it. Every run of
+Larger groups are cut into blocks, and the windows of two blocks are compared within
+a task, whatever their votes. Shingles in no other window of the task, and stretches
+too short for a passage without them, are put aside first. Pairs that share too
+little, or whose passages could add neither a place nor a tie to those found, are
+passed over; all others are compared shingle by shingle.
+
+Equal passages do not depend on votes. Every run of
 ``least_words`` words has a hash and a smallest shingle. Shingles that are the
 smallest of a run in two texts or more are known first, then the runs with such a
 shingle meet by their hash, at all their places: whoever holds a run that another
@@ -29,6 +33,7 @@ Equal texts are one class and are compared once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +54,17 @@ from tabforge.sources.tables import load
 WIDTH = 5
 LEAST_WORDS = 50
 FUNCTIONS, VOTES = 4, 2
+#: Classes of a group that meet pair by pair, and the words in windows that one block of a larger group holds.
+FEW, BLOCK = 16, 1 << 18
+#: 64-bit words that the bit rows of two blocks may take; beyond that shingles share bits.
+BIT_WORDS = 1 << 22
+#: A window that has met so many others is measured against all further ones, so many at once.
+MANY, AT_ONCE = 8, 1024
 #: Shared shingles further apart than this are in different passages; one changed
 #: word parts them by ``WIDTH``.
 GAP = 3 * WIDTH + 1
+#: Words between two similar passages whose shingles are no further apart: they are one.
+SLACK = GAP - WIDTH
 FILTER_BITS = 24
 #: Shingles that are the smallest of runs in several texts; it only thins out work.
 RUN_BITS = 27
@@ -59,7 +72,7 @@ RUN_BITS = 27
 HOT = 100_000
 _NO_ID = 2**63 - 1
 
-_MET = "a long, b long, f int, low_a int, high_a int, low_b int, high_b int"
+_MET = "a long, b long, f int, low_a int, high_a int, low_b int, high_b int, large boolean"
 _PASSAGE = "a long, b long, start_a long, stop_a long, start_b long, stop_b long, shared long"
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(FUNCTIONS)]
 
@@ -148,35 +161,53 @@ def _windows(least: int):
     return cut
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and class -> pairs with the group's first and with the neighbour."""
-    first = before = None  # rows of the group that the next batch may go on with
-    for batch in batches:
-        rows = np.stack([np.asarray(column(batch, k), dtype=np.int64) for k in ("key", "c", "low", "high")], axis=1)
-        if not len(rows):
-            continue
-        joined = rows if before is None else np.concatenate([first[None], before[None], rows])
-        skip = 0 if before is None else 2
-        fresh = np.ones(len(joined), dtype=bool)
-        fresh[1:] = np.any(joined[1:, :2] != joined[:-1, :2], axis=1)
-        opens = np.ones(len(joined), dtype=bool)
-        opens[1:] = joined[1:, 0] != joined[:-1, 0]
-        head = np.maximum.accumulate(np.where(opens, np.arange(len(joined)), 0))
-        last = np.maximum.accumulate(np.where(fresh, np.arange(len(joined)), 0))
-        here = np.flatnonzero(fresh & ~opens & (np.arange(len(joined)) >= skip))
-        near = last[here - 1]
-        far = head[here]
-        with_far = near != far
-        x = np.concatenate([joined[here], joined[here[with_far]]])
-        y = np.concatenate([joined[near], joined[far[with_far]]])
-        if len(x):
-            swap = x[:, 1] < y[:, 1]
-            a, b = np.where(swap[:, None], x, y), np.where(swap[:, None], y, x)
-            values = [a[:, 1], b[:, 1], a[:, 0] & 7, a[:, 2], a[:, 3], b[:, 2], b[:, 3]]
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 5
-            names = ["a", "b", "f", "low_a", "high_a", "low_b", "high_b"]
-            yield pa.RecordBatch.from_arrays([pa.array(v).cast(k) for v, k in zip(values, kinds)], names)
-        first, before = joined[head[-1]], joined[last[-1]]
+def _meet(few: int):
+    """Rows sorted by key and class -> all pairs of small groups, and the members of large ones (b is their key)."""
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.bool_()]
+    names = ["a", "b", "f", "low_a", "high_a", "low_b", "high_b", "large"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), dtype=np.int64)  # rows of the group that the next batch may go on with
+        going = False  # that group is large, and its held row has gone out
+        for batch in chain(batches, [None]):
+            rows = held
+            if batch is not None:
+                fresh = [np.asarray(column(batch, k), dtype=np.int64) for k in ("key", "c", "low", "high")]
+                rows = np.concatenate([held, np.stack(fresh, axis=1)])
+            if not len(rows):
+                continue
+            new = np.ones(len(rows), dtype=bool)  # a class may come from several tasks
+            new[1:] = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
+            rows = rows[new]
+            opens = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            counts = np.diff(np.append(opens, len(rows)))
+            size = np.repeat(counts, counts)
+            if going:
+                size[: counts[0]] = few + 1
+            large = bool(size[-1] > few)
+            done = len(rows) if batch is None or large else int(opens[-1])
+            key, early, later = rows[:done, 0], [], []
+            at = np.flatnonzero(size[:done] <= few)
+            for lag in range(1, few):
+                at = at[at >= lag]
+                at = at[key[at] == key[at - lag]]
+                if not len(at):
+                    break
+                early.append(at - lag)
+                later.append(at)
+            member = np.flatnonzero(size[:done] > few)
+            if going:
+                member = member[1:]
+            a = rows[np.concatenate([*early, member]).astype(np.int64)]
+            b = rows[np.concatenate([*later, member]).astype(np.int64)]
+            is_member = np.arange(len(a)) >= len(a) - len(member)
+            if len(a):
+                other = np.where(is_member, a[:, 0], b[:, 1])
+                values = [a[:, 1], other, a[:, 0] & 7, a[:, 2], a[:, 3], b[:, 2], b[:, 3], is_member]
+                yield pa.RecordBatch.from_arrays([pa.array(v).cast(k) for v, k in zip(values, kinds)], names)
+            held, going = (rows[-1:], True) if large else (rows[done:], False)
+
+    return meet
 
 
 def _fetched(wanted):
@@ -282,6 +313,258 @@ def _verified(least: int):
     return verify
 
 
+def _stretch_entries(
+    ident: np.ndarray, member: np.ndarray, place: np.ndarray, side: np.ndarray | None, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, stretch of each) that a passage of two members may hold.
+
+    A passage has shingles of both, next to each other up to ``GAP``, and its ends
+    are ``least`` places apart. Without ``side`` any two members may share.
+    """
+    kept = np.arange(len(ident))
+    for _ in range(8):  # each turn only thins out
+        if side is None:
+            held = np.bincount(ident[kept], minlength=len(ident)) > 1
+        else:
+            held = np.bincount(ident[kept], side[kept], len(ident)) > 0
+            held &= np.bincount(ident[kept], ~side[kept], len(ident)) > 0
+        some = kept[held[ident[kept]]]
+        opens = np.ones(len(some), dtype=bool)
+        opens[1:] = (member[some[1:]] != member[some[:-1]]) | (place[some[1:]] - place[some[:-1]] > GAP)
+        first = np.flatnonzero(opens)
+        count = np.diff(np.append(first, len(some)))
+        span = place[some[first + count - 1]] - place[some[first]] + 1
+        enough = (4 * count >= 3 * least) & (span >= least)
+        stretch = np.repeat(np.cumsum(enough) - 1, count)
+        some, stretch = some[np.repeat(enough, count)], stretch[np.repeat(enough, count)]
+        settled = len(some) == len(kept)
+        kept = some
+        if settled:
+            break
+    return kept, stretch
+
+
+class _Stretches:
+    """The stretches of one tile: their shingles as bits, the passages found, and what these tie together."""
+
+    def __init__(self, ident: np.ndarray, place: np.ndarray, index: np.ndarray, stretch: np.ndarray):
+        cuts = np.flatnonzero(np.diff(stretch, prepend=-1)).tolist() + [len(stretch)]
+        names, ident = np.unique(ident, return_inverse=True)
+        self.n = len(cuts) - 1
+        words = -(-len(names) // 64)
+        self.exact = words * self.n <= BIT_WORDS
+        self.words = words if self.exact else max(1, BIT_WORDS // self.n)
+        self.ids = [ident[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        self.places = [place[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        self.index = [index[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        order = np.argsort(ident, kind="stable")  # by shingle: who holds it, and as which of its window
+        self.holders, self.holds = stretch[order], index[order]
+        self.first = np.searchsorted(ident[order], np.arange(len(names) + 1))
+        self.bits = np.zeros((self.n, self.words), dtype=np.uint64)
+        for k, own in enumerate(self.ids):
+            self._mark(self.bits[k], own)
+        self.free = self.bits.copy()  # shingles outside the passages found
+        self.found: list[list[tuple[int, int, int]]] = [[] for _ in range(self.n)]  # start, stop, node
+        self.top: list[int] = []
+        self.label = -1 - np.arange(self.n)  # below 0: no passage yet, or some not tied together
+
+    def _mark(self, row: np.ndarray, ids: np.ndarray) -> None:
+        ids = ids % (self.words * 64)
+        np.bitwise_or.at(row, ids >> 6, np.uint64(1) << (ids & 63).astype(np.uint64))
+
+    def _find(self, node: int) -> int:
+        while self.top[node] != node:
+            self.top[node] = node = self.top[self.top[node]]
+        return node
+
+    def tie(self, a: int, b: int) -> None:
+        a, b = self._find(a), self._find(b)
+        if a != b:
+            self.top[b] = a
+            self.label[self.label == b] = a
+
+    def see(self, k: int) -> None:
+        """Whether all passages of a stretch are tied together by now."""
+        tops = {self._find(node) for *_, node in self.found[k]}
+        self.label[k] = tops.pop() if len(tops) == 1 else -1 - k
+
+    def add(self, k: int, start: int, stop: int) -> int:
+        """Take in a passage of a stretch, joined with those up to ``SLACK`` apart; its node."""
+        node, kept, known = len(self.top), [], False
+        for low, high, other in self.found[k]:
+            if low <= start and stop <= high:
+                return other
+        self.top.append(node)
+        for low, high, other in self.found[k]:
+            if low <= stop + SLACK and start <= high + SLACK:
+                start, stop = min(low, start), max(high, stop)
+                self.tie(other, node)
+            else:
+                kept.append((low, high, other))
+        self.found[k] = [*kept, (start, stop, node)]
+        at = self.places[k]
+        free = np.ones(len(at), dtype=bool)
+        for low, high, _ in self.found[k]:
+            free &= (at < low) | (at > high - WIDTH)
+        self.free[k] = 0
+        self._mark(self.free[k], self.ids[k][free])
+        return node
+
+    def alike(self, k: int, others: np.ndarray, least: int) -> np.ndarray:
+        """Those of the others that share enough shingles for a passage, the most alike first."""
+        both = np.bitwise_count(self.bits[others] & self.bits[k]).sum(axis=1, dtype=np.int64)
+        some = 4 * both >= 3 * least if self.exact else both > 0
+        return others[some][np.argsort(-both[some], kind="stable")]
+
+    def fitting(self, k: int, others: np.ndarray, least: int) -> np.ndarray:
+        """Those of the others that may have a passage with this stretch.
+
+        Three quarters of all are shared if 7 * shared >= 3 * (left + right), both counted
+        between the first and the last shared shingle.
+        """
+        own, lag = self.ids[k], -(-3 * least // 4) - 1
+        counts = self.first[own + 1] - self.first[own]
+        at = ranges(self.first[own], counts)
+        row = np.full(self.n, -1)
+        row[others] = np.arange(len(others))
+        row, col, other = row[self.holders[at]], np.repeat(np.arange(len(own)), counts), self.holds[at]
+        row, col, other = row[row >= 0], col[row >= 0], other[row >= 0]
+        shared = np.zeros((len(others), len(own)), dtype=np.int32)
+        shared[row, col] = 1
+        gain = np.cumsum(shared, axis=1, dtype=np.int32)[row, col] * 7 - 3 * (self.index[k][col] + other)
+        far = 1 << 30
+        low, high = np.full(shared.shape, far, dtype=np.int64), np.full(shared.shape, -far, dtype=np.int64)
+        low[row, col] = high[row, col] = gain
+        low = np.minimum.accumulate(low, axis=1)
+        return others[np.any(high[:, lag:] - low[:, : len(own) - lag] >= -1, axis=1)]
+
+    def open(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Which others may yet add a place or a tie."""
+        out = (self.label[others] != self.label[k]) | (self.label[k] < 0)
+        rest = np.flatnonzero(~out)
+        out[rest] = np.any(self.free[k] & self.bits[others[rest]], axis=1)
+        rest = np.flatnonzero(~out)
+        out[rest] = np.any(self.free[others[rest]] & self.bits[k], axis=1)
+        return out
+
+
+def group_passages(
+    sets: list[np.ndarray], places: list[np.ndarray], block: np.ndarray, least: int
+) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(member, member, start, stop, start, stop, shared) of the windows of one tile.
+
+    Members of two blocks are compared across, those of one with each other. Passages
+    that lie within found ones of both members, tied together already, may be left out.
+    """
+    lengths = list(map(len, sets))
+    member = np.repeat(np.arange(len(sets)), lengths)
+    ident = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    place = np.concatenate(places).astype(np.int64)
+    across = bool(np.any(block != block[0]))
+    side = (block != block[0])[member] if across else None
+    kept, stretch = _stretch_entries(ident, member, place, side, least)
+    if not len(kept):
+        return []
+    index = ranges(np.zeros(len(sets)), np.array(lengths))
+    all_of = _Stretches(ident[kept], place[kept], index[kept], stretch)
+    first = np.flatnonzero(np.diff(stretch, prepend=-1))
+    owner, begin = member[kept][first], place[kept][first]
+    cuts = np.searchsorted(owner, np.arange(len(sets) + 1)).tolist()
+
+    def holder(m: int, start: int) -> int:
+        """The stretch of a member that a passage from there lies in."""
+        return cuts[m] + int(np.searchsorted(begin[cuts[m] : cuts[m + 1]], start, "right")) - 1
+
+    out: list[tuple[int, int, int, int, int, int, int]] = []
+    compared: set[tuple[int, int]] = set()
+    for x in range(all_of.n):
+        others = np.arange(x + 1, all_of.n)
+        theirs = block[owner[others]] != block[owner[x]] if across else owner[others] != owner[x]
+        others, step = all_of.alike(x, others[theirs], least), 1
+        while len(others):
+            all_of.see(x)
+            others = others[all_of.open(x, others)]  # what adds nothing now never will
+            if step == MANY:
+                others = np.concatenate([
+                    all_of.fitting(x, others[a : a + AT_ONCE], least) for a in range(0, len(others) or 1, AT_ONCE)
+                ])
+            for y in others[:step].tolist():
+                a, b = int(owner[x]), int(owner[y])
+                all_of.see(y)
+                if (a, b) in compared or not all_of.open(x, np.array([y]))[0]:
+                    continue
+                compared.add((a, b))
+                for run in common_passages(sets[a], places[a], sets[b], places[b], least):
+                    mine, other = holder(a, run[0]), holder(b, run[2])
+                    all_of.tie(all_of.add(mine, *run[:2]), all_of.add(other, *run[2:4]))
+                    all_of.see(mine)
+                    all_of.see(other)
+                    out.append((a, b, *run))
+                all_of.see(x)
+            others, step = others[step:], step * 2
+    return out
+
+
+_TILE = ["key", "low", "high"]
+
+
+def _members_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the windows of large groups out of their texts' sequences."""
+    for batch in batches:
+        flat, cuts = unpacked(column(batch, "shingles"), "u8")
+        steps, _ = unpacked(column(batch, "places"), "i4")
+        lows, highs = (column(batch, k).to_pylist() for k in ("low_a", "high_a"))
+        parts = [
+            _slice(flat[a:b], steps[a:b], low, high)
+            for a, b, low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lows, highs)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [column(batch, "key"), column(batch, "c"), packed([s for s, _ in parts]), packed([_steps(p) for _, p in parts])],
+            ["key", "c", "shingles", "places"],
+        )
+
+
+def _tiles(least: int):
+    """Rows sorted by tile -> passages."""
+
+    def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        name, block = (np.asarray(rows[k].combine_chunks(), dtype=np.int64) for k in ("c", "block"))
+        flat, cuts = unpacked(rows["shingles"].combine_chunks(), "u8")
+        steps, _ = unpacked(rows["places"].combine_chunks(), "i4")
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        sets, places = [flat[a:b] for a, b in spans], [np.cumsum(steps[a:b]) for a, b in spans]
+        found = []
+        if rows["low"][0] == rows["high"][0] or len(np.unique(block)) > 1:
+            found = group_passages(sets, places, block, least)
+        found = np.array(found, dtype=np.int64).reshape(-1, 7).T
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (name[found[0]], name[found[1]], *found[2:])],
+            ["a", "b", "start_a", "stop_a", "start_b", "stop_b", "shared"],
+        )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([np.asarray(column(batch, k), dtype=np.int64) for k in _TILE], axis=1)
+            opens = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            cuts = [0, *opens.tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                now = tuple(keys[a].tolist())
+                if held and now != last:
+                    yield emit(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield emit(held)
+
+    return compare
+
+
 def word_runs(block: Texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, hash, smallest shingle) of every run of ``words`` words, in order.
 
@@ -468,29 +751,48 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     least = least_words - WIDTH + 1
     rows = docs.select("text").mapInArrow(_windows(least), "c long, key long, low int, at int, high int")
     grouped = rows.select("key", "c", "low", "high").repartition("key").sortWithinPartitions("key", "c")
-    met = grouped.mapInArrow(_meet, _MET)
-    pairs = met.groupBy("a", "b").agg(
+    met = grouped.mapInArrow(_meet(FEW), _MET)
+    pairs = met.groupBy("a", "b", "large").agg(
         F.min("low_a").alias("low_a"), F.max("high_a").alias("high_a"),
         F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"),
         F.bit_or(F.expr("shiftleft(1, f)")).alias("votes"),
-    ).where(F.bit_count("votes") >= VOTES)
+    ).where(F.col("large") | (F.bit_count("votes") >= VOTES))
     pairs = settle(pairs.drop("votes"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = F.when(F.col("large"), F.array("a")).otherwise(F.array("a", "b"))
+    wanted = pairs.select(F.explode(ends).alias("c")).distinct()
     known = context.broadcast(bit_filter(wanted, "c", FILTER_BITS))
-    # Both joins read one exchange of the sequences; only the first text's slice travels.
+    # All joins read one exchange of the sequences; only windows and the first text's slice travel.
     sequence = docs.select("text").mapInArrow(_fetched(known), "c long, shingles binary, places binary")
     sequence = sequence.repartition("c").dropDuplicates(["c"])
-    cut = pairs.join(sequence.withColumnRenamed("c", "a"), "a").mapInArrow(
+    cut = pairs.where("NOT large").join(sequence.withColumnRenamed("c", "a"), "a").mapInArrow(
         _sliced, "a long, b long, low_b int, high_b int, shingles_a binary, places_a binary"
     )
-    return cut.join(sequence.withColumnRenamed("c", "b"), "b").mapInArrow(_verified(least), _PASSAGE)
+    found = cut.join(sequence.withColumnRenamed("c", "b"), "b").mapInArrow(_verified(least), _PASSAGE)
+    members = pairs.where("large").select(F.col("a").alias("c"), F.col("b").alias("key"), "low_a", "high_a")
+    return found.unionByName(_in_large_groups(members, sequence, least))
+
+
+def _in_large_groups(members: DataFrame, sequence: DataFrame, least: int) -> DataFrame:
+    """Passages of the windows (c, key, low_a, high_a) of large groups, block against block."""
+    blocks = members.groupBy("key").agg(
+        F.ceil(F.sum(F.col("high_a") - F.col("low_a") + 1) / BLOCK).cast("int").alias("blocks")
+    )
+    rows = members.join(sequence, "c").mapInArrow(_members_cut, "key long, c long, shingles binary, places binary")
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "c", "block", "shingles", "places",
+    )
+    tiles = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
+    return tiles.mapInArrow(_tiles(least), _PASSAGE)
 
 
-def _with_passage(each: DataFrame) -> DataFrame:
-    """Add to rows with c, start and stop where the passage begins that they overlap to."""
+def _with_passage(each: DataFrame, slack: int = 0) -> DataFrame:
+    """Add to rows with c, start and stop where the passage begins that they overlap to, or come near to."""
     by_start = Window.partitionBy("c").orderBy("start", "stop")
     reached = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.coalesce(reached, F.lit(-1)) < F.col("start"), F.col("start"))
+    opens = F.when(F.coalesce(reached + slack, F.lit(-1)) < F.col("start"), F.col("start"))
     return each.withColumn("opens", opens).withColumn(
         "passage", F.max("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
     ).drop("opens")
@@ -505,7 +807,7 @@ def similar_passages(found: DataFrame, classes: DataFrame) -> DataFrame:
             for k in "ab"
         ])).alias("end"),
     ).select("pair", "end.*")
-    ends = settle(_with_passage(ends).withColumn("node", F.xxhash64("c", "passage")))
+    ends = settle(_with_passage(ends, SLACK).withColumn("node", F.xxhash64("c", "passage")))
     links = ends.groupBy("pair").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct()
     label = components(links)
     each = ends.groupBy("c", "node").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
@@ -518,7 +820,7 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     """doc_id, start, stop, n_words, other_id: each document's passages that others hold too.
 
     Places count words (``[^\\x20\\x09-\\x0D]+``), the end is exclusive. Overlapping
-    passages of a document are one. ``other_id`` is the smallest id of all texts that
+    passages of a document are one, as are changed ones up to ``SLACK`` words apart. ``other_id`` is the smallest id of all texts that
     share it, the document among them; changed passages share where verified pairs
     tie them together. Rows with equal texts share the whole text if it is long enough.
     Documents without such passages have no row; neither have null or short texts.

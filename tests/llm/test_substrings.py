@@ -161,3 +161,62 @@ def test_other_id_is_the_smallest_of_the_group(spark):
     assert len({r.doc_id for r in found if r.doc_id >= 1000}) >= 50
     changed = {r.doc_id: r.other_id for r in found if r.doc_id >= 1000}
     assert set(changed.values()) == {min(changed)}
+
+
+def merged(members, passages):
+    """Extents per member, and which of them are tied together."""
+    ends = sorted({(x[0], *x[2:4]) for x in passages} | {(x[1], *x[4:6]) for x in passages})
+    extent, at = [], {}
+    for m, start, stop in ends:
+        if extent and extent[-1][0] == m and start <= extent[-1][2] + substrings.SLACK:
+            extent[-1] = (m, extent[-1][1], max(extent[-1][2], stop))
+        else:
+            extent.append((m, start, stop))
+        at[m, start, stop] = len(extent) - 1
+    label = list(range(len(extent)))
+    for x in passages:
+        a, b = label[at[x[0], *x[2:4]]], label[at[x[1], *x[4:6]]]
+        label = [min(a, b) if k in (a, b) else k for k in label]
+    return list(zip(extent, label))
+
+
+def test_large_groups_lose_no_pair(monkeypatch):
+    rng = random.Random(3)
+    line = [rng.randrange(10**9) for _ in range(36)]
+    for bits, many in ((1 << 22, 1), (1 << 22, 8), (40, 2)):
+        monkeypatch.setattr(substrings, "BIT_WORDS", bits)
+        monkeypatch.setattr(substrings, "MANY", many)
+        rows = []
+        for group in range(6):
+            core = [rng.randrange(10**9) for _ in range(rng.choice([60, 150]))]
+            for _ in range(12):
+                own = [rng.randrange(10**9) if rng.random() < rng.choice([0, 0.02, 0.15]) else w for w in core]
+                own = own[rng.randrange(20) :] + ([rng.randrange(10**9) for _ in range(30)] + core[:55] if group == 1 else [])
+                own += line + [rng.randrange(10**9) for _ in range(40)]
+                rows.append(np.array(list(dict.fromkeys([rng.randrange(10**9) for _ in range(rng.randrange(9))] + own)), dtype=np.uint64))
+        places = [np.arange(len(r)) for r in rows]
+        for block in (np.zeros(len(rows), dtype=int), np.arange(len(rows)) % 2 + 3):
+            expected = [
+                (a, b, *f) for b in range(len(rows)) for a in range(b) if block[0] == block[1] or block[a] != block[b]
+                for f in common_passages(rows[a], places[a], rows[b], places[b], 46)
+            ]
+            found = substrings.group_passages(rows, places, block, 46)
+            assert merged(range(len(rows)), found) == merged(range(len(rows)), expected)
+            assert len(found) < len(expected)
+
+
+def test_changed_passages_around_a_common_line(spark, monkeypatch):
+    """Pairs that share a changed passage, in a group that all texts with its line join."""
+    rng = random.Random(11)
+    line, rows = words(30, rng), []
+    for pair in range(60):
+        passage = words(18, rng) + line + words(18, rng)
+        for copy in range(2):
+            own = list(passage)
+            own[17] = f"x{pair}y{copy}"  # 48 equal words at most
+            rows.append((2 * pair + copy, " ".join(words(rng.randrange(20, 60), rng) + own + words(30, rng))))
+    for block in (substrings.BLOCK, 3000):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        found = {r.doc_id: r.other_id for r in shared_passages(table(spark, rows)).collect()}
+        assert len(found) >= 112
+        assert all(other == key - key % 2 for key, other in found.items())
