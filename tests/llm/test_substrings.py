@@ -220,3 +220,17 @@ def test_changed_passages_around_a_common_line(spark, monkeypatch):
         found = {r.doc_id: r.other_id for r in shared_passages(table(spark, rows)).collect()}
         assert len(found) >= 112
         assert all(other == key - key % 2 for key, other in found.items())
+
+
+def test_all_members_of_a_group_meet():
+    import pyarrow as pa
+
+    rows = [(8, c) for c in range(10)] + [(16, c) for c in range(20)]
+    names = ["key", "c", "low", "high"]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part])] + [pa.array([0] * len(part))] * 2, names)
+        for part in (rows[:7], rows[7:18], rows[18:])
+    ]
+    met = [tuple(r.values()) for b in substrings._meet(16)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r[:2] for r in met if not r[-1]) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+    assert sorted(r[:2] for r in met if r[-1]) == [(c, 16) for c in range(20)]
