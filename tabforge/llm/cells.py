@@ -9,6 +9,7 @@ thin out work; what they let through is always looked at exactly afterwards.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 
 _SCHEMA = "block int, cells binary"
 _PER_BLOCK = 1 << 13
+#: Ranges of 32-bit hashes that are sorted on their own, the bits within one, and the hashes a task holds back.
+_RANGES, _LOW_BITS, _AT_ONCE = 1 << 10, 22, 1 << 22
 
 
 def _emit(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -87,6 +90,61 @@ def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return _gather(df.select(column).mapInArrow(mark, _SCHEMA), 1 << (bits - 3), "uint8", "uint8", True)
 
 
+def twice_filter(
+    df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int
+) -> np.ndarray:
+    """A filter that knows every hash found twice or more over all rows (uint8, ``2**bits`` bits).
+
+    Hashes meet by their first 32 bits, sorted and sent on as distances of two bytes
+    where these do.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for found in chain(hashes(batches), [None]):
+            if found is not None:
+                held.append((found >> np.uint64(32)).astype(np.uint32))
+                n += len(found)
+            if not n or (found is not None and n < _AT_ONCE):
+                continue
+            values = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(values, np.arange(_RANGES + 1, dtype=np.uint64) << _LOW_BITS)
+            values &= np.uint32((1 << _LOW_BITS) - 1)
+            parts = [np.diff(values[a:b], prepend=np.uint32(0)) for a, b in zip(cuts[:-1], cuts[1:])]
+            some = [k for k, part in enumerate(parts) if len(part)]
+            sent = [parts[k].astype(np.uint16) if parts[k].max() < 1 << 16 else parts[k] for k in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([x.dtype.itemsize for x in sent], pa.int32()),
+                 pa.array([x.tobytes() for x in sent], pa.binary())],
+                ["block", "bytes", "steps"],
+            )
+            held, n = [], 0
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for block, n, steps in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                parts.setdefault(block, []).append((n, steps))
+        for block, sent in parts.items():
+            values = np.sort(np.concatenate([
+                np.cumsum(np.frombuffer(steps, dtype=f"u{n}"), dtype=np.uint32) for n, steps in sent
+            ]))
+            cells = np.zeros(1 << (bits - 10), dtype=bool)
+            cells[values[1:][values[1:] == values[:-1]] >> np.uint32(32 - bits)] = True
+            if cells.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())],
+                    ["block", "cells"],
+                )
+
+    out = np.zeros((_RANGES, 1 << (bits - 13)), dtype=np.uint8)
+    met = df.mapInArrow(send, "block int, bytes int, steps binary").repartition("block").mapInArrow(meet, _SCHEMA)
+    for row in met.collect():  # at most the size of the array
+        out[row.block] = np.frombuffer(row.cells, dtype=np.uint8)
+    return out.ravel()
+
+
 def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 

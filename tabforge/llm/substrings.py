@@ -9,19 +9,22 @@ hash at ``at``. Only nodes whose window is that long are kept, about two per
 minimum of some run of ``least`` hashes, and its window ends where a smaller hash
 stands.
 
-Windows meet by hash and function. In groups of up to ``FEW`` classes all pairs meet.
-Those that meet under at least ``VOTES`` of ``FUNCTIONS`` functions are candidates:
-the joined intervals say which slices of both to fetch, and the slices are compared
-shingle by shingle. Subsequences of Jaccard similarity s meet under each function
-with probability s, so those at 0.75 are missed in 5 % of cases; equal ones never.
-
-Larger groups are cut into blocks, and the windows of two blocks are compared within
-a task, whatever their votes. Shingles in no other window of the task, and stretches
-too short for a passage without them, are put aside first. Pairs that share too
-little, or whose passages could add neither a place nor a tie to those found, are
-passed over; all others are compared shingle by shingle.
-
-Equal passages do not depend on votes. Every run of
+A passage of two texts consists of shingles that two texts hold, three quarters of
+all between its ends. So the shingles held twice are known first, by a filter, and
+only stretches as dense as that go on, with their places and numbers in the text:
+windows with too few of them, and texts without any, can have no passage.
+
+Windows meet by hash and function, and all texts of a group are compared. Subsequences
+of Jaccard similarity s meet under each function with probability s, so those at 0.75
+are missed under all ``FUNCTIONS`` in 0.4 % of cases; equal ones never. Groups with one
+smallest member hold much the same texts: they are joined, a text's windows there
+become one slice, and the slices are cut into blocks. Those of two blocks are compared
+within a task. Shingles in no other slice of the task, and stretches too short for a
+passage without them, are put aside first. Pairs that share too little, or whose
+passages could add neither a place nor a tie to those found, are passed over; all
+others are compared shingle by shingle.
+
+Equal passages do not depend on windows. Every run of
 ``least_words`` words has a hash and a smallest shingle. Shingles that are the
 smallest of a run in two texts or more are known first, then the runs with such a
 shingle meet by their hash, at all their places: whoever holds a run that another
@@ -41,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabforge.llm.cells import bit_filter, may_hold
+from tabforge.llm.cells import bit_filter, may_hold, twice_filter
 from tabforge.llm.components import components
 from tabforge.llm.registry import query
 from tabforge.llm.tokens import (
@@ -53,21 +56,23 @@ from tabforge.sources.tables import load
 
 WIDTH = 5
 LEAST_WORDS = 50
-FUNCTIONS, VOTES = 4, 2
-#: Classes of a group that meet pair by pair, and the words in windows that one block of a larger group holds.
-FEW, BLOCK = 16, 1 << 18
+FUNCTIONS = 4
+#: The words in slices that one block of a group holds.
+BLOCK = 1 << 18
 #: 64-bit words that the bit rows of two blocks may take; beyond that shingles share bits.
 BIT_WORDS = 1 << 22
-#: A window that has met so many others is measured against all further ones, so many at once.
-MANY, AT_ONCE = 8, 1024
+#: A window that has met so many others is measured against all further ones, so many at once and so many shingles.
+MANY, AT_ONCE, CELLS = 8, 1024, 1 << 18
+#: Passages of a stretch whose shingles are known apart; those of further ones always count as free.
+SLOTS = 3
 #: Shared shingles further apart than this are in different passages; one changed
 #: word parts them by ``WIDTH``.
 GAP = 3 * WIDTH + 1
 #: Words between two similar passages whose shingles are no further apart: they are one.
 SLACK = GAP - WIDTH
 FILTER_BITS = 24
-#: Shingles that are the smallest of runs in several texts; it only thins out work.
-RUN_BITS = 27
+#: Shingles that are the smallest of runs in several texts, and all that several texts hold; both only thin out work.
+RUN_BITS, HELD_BITS = 27, 27
 #: Runs of a shingle that is more often the smallest are dealt one by one, which bounds a task.
 HOT = 100_000
 _NO_ID = 2**63 - 1
@@ -134,28 +139,93 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return low, at, high
 
 
-def _windows(least: int):
+def _all_shingles(least: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen: set[int] = set()  # a class counts once a task
+        for batch in batches:
+            for block in texts(column(batch, "text")):
+                for name, _, shingles, _ in sequences(block):
+                    if len(shingles) >= least and name not in seen:
+                        seen.add(name)
+                        yield shingles
+
+    return found
+
+
+def dense(text: np.ndarray, place: np.ndarray, nth: np.ndarray, least: int) -> np.ndarray:
+    """Which shingles held twice are in a stretch that may be one side of a passage.
+
+    Given are the text of each, its place and its number in the text's sequence, in
+    order. A stretch has three quarters of ``least`` at least, no two neighbours are
+    further apart than ``GAP``, and it has three quarters of all shingles between its ends.
+    """
+    lag, n = -(-3 * least // 4) - 1, len(text)
+    if n <= lag:
+        return np.zeros(n, dtype=bool)
+    parts = (text[1:] != text[:-1]) | (place[1:] - place[:-1] > GAP)
+    far = 8 * (n + int(nth.max()) + 1)  # nothing reaches from one part to the next
+    # From x to y the stretch is dense if gain[y] + 1 >= gain[x].
+    gain = 4 * np.arange(n) - 3 * nth.astype(np.int64) - far * np.concatenate([[0], np.cumsum(parts)])
+    best = np.maximum.accumulate(gain[::-1])[::-1]
+    begins = np.zeros(n, dtype=bool)
+    begins[: n - lag] = best[lag:] + 1 >= gain[: n - lag]
+    count = np.concatenate([[0], np.cumsum(begins)])
+    out = count[1:] > count[np.maximum(np.arange(n) - lag, 0)]
+    out[lag:] |= np.minimum.accumulate(gain)[: n - lag] <= best[lag:] + 1
+    return out
+
+
+def _dense_sequences(
+    block: Texts, seen: set[int], held: np.ndarray, least: int
+) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, shingles, places, which are in dense stretches) of the texts that have such; a class comes once."""
+    fresh = []
+    for name, _, shingles, place in sequences(block):
+        if len(shingles) >= least and name not in seen:
+            seen.add(name)
+            fresh.append((name, shingles, place))
+    if not fresh:
+        return []
+    lengths = [len(x) for _, x, _ in fresh]
+    at = np.flatnonzero(may_hold(held, np.concatenate([x for _, x, _ in fresh])))
+    text = np.repeat(np.arange(len(fresh)), lengths)[at]
+    nth = ranges(np.zeros(len(fresh)), np.array(lengths))[at]
+    at = at[dense(text, np.concatenate([x for *_, x in fresh])[at], nth, least)]
+    kept = np.zeros(sum(lengths), dtype=bool)
+    kept[at] = True
+    marks = np.split(kept, np.cumsum(lengths)[:-1])
+    return [(*row, mark) for row, mark in zip(fresh, marks) if mark.any()]
+
+
+def _windows(least: int, held):
+    """The windows that may hold a side of a passage, cut to their first and last shingle that may."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class is cut once a task
         for batch in batches:
             for block in texts(column(batch, "text")):
                 parts, places, names = [np.zeros(1, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
-                for name, _, shingles, place in sequences(block):
-                    if len(shingles) < least or name in seen:
-                        continue
-                    seen.add(name)
+                marks = [np.zeros(1, dtype=bool)]
+                for name, shingles, place, mark in _dense_sequences(block, seen, held.value, least):
                     parts += [np.maximum(shingles, np.uint64(1)), np.zeros(1, dtype=np.uint64)]
                     places += [place, np.zeros(1, dtype=np.int64)]
+                    marks += [mark, np.zeros(1, dtype=bool)]
                     names.append(np.full(len(place) + 1, name, dtype=np.int64))
-                flat, place, owner = map(np.concatenate, (parts, places, names))
+                flat, place, owner, mark = map(np.concatenate, (parts, places, names, marks))
+                kept = np.flatnonzero(mark)
+                count = np.concatenate([[0], np.cumsum(mark)])
                 for f, seed in enumerate(_SEEDS):
                     hashes = np.where(flat > 0, mix(flat ^ seed) | np.uint64(1 << 3), np.uint64(0))
                     low, at, high = compact_windows(hashes, least)
+                    some = may_hold(held.value, flat[at]) & (4 * (count[high + 1] - count[low]) >= 3 * least)
+                    low, at, high = low[some], at[some], high[some]
+                    low, high = place[kept[count[low]]], place[kept[count[high + 1] - 1]]
+                    wide = high - low + 1 >= least
+                    low, at, high = low[wide], at[wide], high[wide]
                     key = (hashes[at] & ~np.uint64(7)) | np.uint64(f)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(owner[at]), pa.array(signed(key))]
-                        + [pa.array(place[x].astype(np.int32)) for x in (low, at, high)],
-                        ["c", "key", "low", "at", "high"],
+                        [pa.array(owner[at]), pa.array(signed(key))] + [pa.array(x.astype(np.int32)) for x in (low, high)],
+                        ["c", "key", "low", "high"],
                     )
 
     return cut
@@ -210,20 +280,19 @@ def _meet(few: int):
     return meet
 
 
-def _fetched(wanted):
-    """(c, shingles, places) of the classes the filter lets through."""
+def _fetched(least: int, held, wanted):
+    """(c, shingles in dense stretches, their places and numbers) of the classes the filter lets through."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in texts(column(batch, "text")):
                 names, shingles, places = [], [], []
-                for name, _, found, place in sequences(block):
-                    if len(found) and name not in seen and may_hold(wanted.value, unsigned([name]))[0]:
-                        seen.add(name)
+                for name, found, place, kept in _dense_sequences(block, seen, held.value, least):
+                    if may_hold(wanted.value, unsigned([name]))[0]:
                         names.append(name)
-                        shingles.append(found)
-                        places.append(_steps(place))
+                        shingles.append(found[kept])
+                        places.append(_steps(place[kept], np.flatnonzero(kept)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), packed(shingles), packed(places)], ["c", "shingles", "places"]
                 )
@@ -231,86 +300,88 @@ def _fetched(wanted):
     return fetch
 
 
-def _steps(place: np.ndarray) -> np.ndarray:
-    """Places as distances, which are nearly all one and so take no room once compressed."""
-    return np.diff(place, prepend=0).astype(np.int32)
+def _steps(place: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Places and numbers as distances, which are nearly all one and so take no room once compressed."""
+    return np.stack([np.diff(place, prepend=0), np.diff(nth, prepend=0)], axis=1).astype(np.int32)
 
 
-def _slice(shingles: np.ndarray, steps: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    place = np.cumsum(steps)
+def _slice(
+    shingles: np.ndarray, steps: np.ndarray, low: int = 0, high: int = 1 << 62
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, places and numbers between two places."""
+    place, nth = np.cumsum(steps, axis=0, dtype=np.int64).T
     x, y = np.searchsorted(place, [low, high + 1])
-    return shingles[x:y], place[x:y]
+    return shingles[x:y], place[x:y], nth[x:y]
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the slice of the first text out of its sequence."""
-    for batch in batches:
-        flat, cuts = unpacked(column(batch, "shingles"), "u8")
-        steps, _ = unpacked(column(batch, "places"), "i4")
-        lows, highs = (column(batch, k).to_pylist() for k in ("low_a", "high_a"))
-        parts = [
-            _slice(flat[a:b], steps[a:b], low, high)
-            for a, b, low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lows, highs)
-        ]
-        kept = ["a", "b", "low_b", "high_b"]
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, k) for k in kept] + [packed([s for s, _ in parts]), packed([_steps(p) for _, p in parts])],
-            [*kept, "shingles_a", "places_a"],
-        )
+def _sequences_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, steps) of each row."""
+    flat, cuts = unpacked(column(batch, "shingles"), "u8")
+    steps = unpacked(column(batch, "places"), "i4")[0].reshape(-1, 2)
+    return zip(np.split(flat, cuts[1:-1]), np.split(steps, cuts[1:-1])) if len(cuts) > 1 else iter(())
+
+
+def _windows_of(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Columns of the shingles and steps within each row's window."""
+    parts = [
+        _slice(*own, low, high)
+        for own, low, high in zip(_sequences_of(batch), *(column(batch, k).to_pylist() for k in ("from", "to")))
+    ]
+    return [packed([s for s, *_ in parts]), packed([_steps(*p) for _, *p in parts])]
 
 
 def common_passages(
-    left: np.ndarray, at_left: np.ndarray, right: np.ndarray, at_right: np.ndarray, least: int
+    left: np.ndarray, at_left: np.ndarray, right: np.ndarray, at_right: np.ndarray, least: int,
+    nth_left: np.ndarray | None = None, nth_right: np.ndarray | None = None,
 ) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, start, stop, shared): runs of shared shingles that are similar enough.
+    """(start, stop, start, stop, shared): stretches of shared shingles that are similar enough.
 
     Places are words. Runs are parted where either side moves on by more than
-    ``GAP`` or goes back. A run is kept if both sides have ``least`` places and the
-    shared shingles are three quarters of all; a long one that shares less is
-    parted at its widest gap, so an unchanged stretch always comes out.
+    ``GAP`` or goes back. A part of a run is similar enough if both sides have ``least``
+    places and the shared shingles are three quarters of all. Where the whole run is
+    not, all its parts that are come out, overlapping ones as one. Sequences with
+    shingles left out come with the number of each in its whole sequence.
     """
     _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
     order = np.argsort(i)
-    p, q = at_left[i[order]].astype(np.int64), at_right[j[order]].astype(np.int64)
+    i, j = i[order], j[order]
+    p, q = at_left[i].astype(np.int64), at_right[j].astype(np.int64)
+    nth_p, nth_q = i if nth_left is None else nth_left[i], j if nth_right is None else nth_right[j]
     if not len(p):
         return []
     dp, dq = np.diff(p), np.diff(q)
-    wide = np.maximum(dp, dq)
-    cuts = np.flatnonzero((wide > GAP) | (dq <= 0)) + 1
-    out, todo = [], list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]))
-    while todo:
-        a, b = todo.pop()
+    cuts = np.flatnonzero((np.maximum(dp, dq) > GAP) | (dq <= 0)) + 1
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)]):
         if 4 * (b - a) < 3 * least or min(p[b - 1] - p[a], q[b - 1] - q[a]) + 1 < least:
             continue
-        n_left = int(np.searchsorted(at_left, p[b - 1], "right") - np.searchsorted(at_left, p[a]))
-        n_right = int(np.searchsorted(at_right, q[b - 1], "right") - np.searchsorted(at_right, q[a]))
-        if 4 * (b - a) >= 3 * (n_left + n_right - (b - a)):
-            out.append((int(p[a]), int(p[b - 1]) + WIDTH, int(q[a]), int(q[b - 1]) + WIDTH, b - a))
-        else:
-            cut = a + 1 + int(np.argmax(wide[a : b - 1]))
-            todo += [(a, cut), (cut, b)]
-    return sorted(out)
+        n_left, n_right = int(nth_p[b - 1] - nth_p[a]) + 1, int(nth_q[b - 1] - nth_q[a]) + 1
+        parts = [(a, b)]
+        if 4 * (b - a) < 3 * (n_left + n_right - (b - a)):
+            within = _similar_parts(p[a:b], q[a:b], nth_p[a:b] + nth_q[a:b], least)
+            ends = np.flatnonzero(np.diff(within.astype(np.int8), prepend=0, append=0)) + a
+            parts = zip(ends[::2].tolist(), ends[1::2].tolist())
+        out += [(int(p[x]), int(p[y - 1]) + WIDTH, int(q[x]), int(q[y - 1]) + WIDTH, y - x) for x, y in parts]
+    return out
 
 
-def _verified(least: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, cut_left = unpacked(column(batch, "shingles_a"), "u8")
-            right, cut_right = unpacked(column(batch, "shingles"), "u8")
-            steps_left, _ = unpacked(column(batch, "places_a"), "i4")
-            steps_right, _ = unpacked(column(batch, "places"), "i4")
-            asked = zip(*(column(batch, k).to_pylist() for k in ("a", "b", "low_b", "high_b")))
-            rows = []
-            for k, (a, b, low, high) in enumerate(asked):
-                x, y = slice(cut_left[k], cut_left[k + 1]), slice(cut_right[k], cut_right[k + 1])
-                own = _slice(right[y], steps_right[y], low, high)
-                found = common_passages(left[x], np.cumsum(steps_left[x]), *own, least)
-                rows += [(a, b, *f) for f in found]
-            columns = zip(*rows) if rows else [[]] * 7
-            names = ["a", "b", "start_a", "stop_a", "start_b", "stop_b", "shared"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
-
-    return verify
+def _similar_parts(p: np.ndarray, q: np.ndarray, nth: np.ndarray, least: int) -> np.ndarray:
+    """Which shared shingles of a run lie in a part of it that is similar enough; ``nth`` adds up both numbers.
+
+    That is so from x to y if 7 * (y - x + 1) >= 3 * (left + right), or gain[y] + 1 >= gain[x].
+    """
+    n = len(p)
+    gain = 7 * np.arange(n) - 3 * nth.astype(np.int64)
+    # A part that ends at a shingle begins at this one or before; one that begins there ends at that one or behind.
+    begin = np.minimum(*(np.searchsorted(x, x - least + 1, "right") - 1 for x in (p, q)))
+    begin = np.minimum(begin, np.arange(n) + 1 + -3 * least // 4)
+    end = np.searchsorted(begin, np.arange(n))
+    best = np.append(np.maximum.accumulate(gain[::-1])[::-1], np.iinfo(np.int64).min // 2)
+    count = np.concatenate([[0], np.cumsum(best[end] + 1 >= gain)])
+    within = count[1:] > count[np.searchsorted(end, np.arange(n))]
+    ends = np.flatnonzero(begin >= 0)
+    within[ends] |= best[ends] + 1 >= np.minimum.accumulate(gain)[begin[ends]]
+    return within
 
 
 def _stretch_entries(
@@ -357,16 +428,19 @@ class _Stretches:
         self.ids = [ident[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         self.places = [place[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         self.index = [index[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        order = np.argsort(ident, kind="stable")  # by shingle: who holds it, and as which of its window
-        self.holders, self.holds = stretch[order], index[order]
+        order = np.argsort(ident, kind="stable")  # by shingle: who holds it, as which of its window, where
+        self.holders, self.holds, self.held_at, self.entry = stretch[order], index[order], place[order], order
         self.first = np.searchsorted(ident[order], np.arange(len(names) + 1))
         self.bits = np.zeros((self.n, self.words), dtype=np.uint64)
         for k, own in enumerate(self.ids):
             self._mark(self.bits[k], own)
         self.free = self.bits.copy()  # shingles outside the passages found
         self.found: list[list[tuple[int, int, int]]] = [[] for _ in range(self.n)]  # start, stop, node
+        self.cuts = cuts
         self.top: list[int] = []
-        self.label = -1 - np.arange(self.n)  # below 0: no passage yet, or some not tied together
+        self.tied = np.full(len(stretch), -1)  # what the passage that a shingle lies in is tied to
+        self.label = np.full((SLOTS, self.n), -1)  # what the passages found are tied to
+        self.inside = np.zeros((SLOTS, self.n, self.words), dtype=np.uint64)  # their shingles
 
     def _mark(self, row: np.ndarray, ids: np.ndarray) -> None:
         ids = ids % (self.words * 64)
@@ -382,11 +456,7 @@ class _Stretches:
         if a != b:
             self.top[b] = a
             self.label[self.label == b] = a
-
-    def see(self, k: int) -> None:
-        """Whether all passages of a stretch are tied together by now."""
-        tops = {self._find(node) for *_, node in self.found[k]}
-        self.label[k] = tops.pop() if len(tops) == 1 else -1 - k
+            self.tied[self.tied == b] = a
 
     def add(self, k: int, start: int, stop: int) -> int:
         """Take in a passage of a stretch, joined with those up to ``SLACK`` apart; its node."""
@@ -404,9 +474,14 @@ class _Stretches:
         self.found[k] = [*kept, (start, stop, node)]
         at = self.places[k]
         free = np.ones(len(at), dtype=bool)
-        for low, high, _ in self.found[k]:
-            free &= (at < low) | (at > high - WIDTH)
-        self.free[k] = 0
+        self.label[:, k], self.inside[:, k], self.free[k] = -1, 0, 0
+        for slot, (low, high, other) in enumerate(reversed(self.found[k])):
+            own = (at >= low) & (at <= high - WIDTH)
+            self.tied[self.cuts[k] : self.cuts[k + 1]][own] = self._find(other)
+            if slot < SLOTS:
+                free &= ~own
+                self.label[slot, k] = self._find(other)
+                self._mark(self.inside[slot, k], self.ids[k][own])
         self._mark(self.free[k], self.ids[k][free])
         return node
 
@@ -417,45 +492,67 @@ class _Stretches:
         return others[some][np.argsort(-both[some], kind="stable")]
 
     def fitting(self, k: int, others: np.ndarray, least: int) -> np.ndarray:
-        """Those of the others that may have a passage with this stretch.
+        """Those of the others that may have a passage with this stretch that adds a place or a tie.
 
         Three quarters of all are shared if 7 * shared >= 3 * (left + right), both counted
-        between the first and the last shared shingle.
+        between the first and the last shared shingle. One of them at least is in no
+        passage of both that are tied together.
         """
-        own, lag = self.ids[k], -(-3 * least // 4) - 1
+        own, lag, n = self.ids[k], -(-3 * least // 4) - 1, len(self.ids[k])
+        # A passage that ends at a column begins at this one or before; one that begins there ends at that one or behind.
+        begin = np.searchsorted(self.places[k], self.places[k] - least + 1, "right") - 1
+        begin = np.minimum(begin, np.arange(n) - lag)
+        end = np.searchsorted(begin, np.arange(n))
         counts = self.first[own + 1] - self.first[own]
         at = ranges(self.first[own], counts)
-        row = np.full(self.n, -1)
+        row, col = np.full(self.n, -1), np.repeat(np.arange(n), counts)
         row[others] = np.arange(len(others))
-        row, col, other = row[self.holders[at]], np.repeat(np.arange(len(own)), counts), self.holds[at]
-        row, col, other = row[row >= 0], col[row >= 0], other[row >= 0]
-        shared = np.zeros((len(others), len(own)), dtype=np.int32)
+        row = row[self.holders[at]]
+        at, row, col = at[row >= 0], row[row >= 0], col[row >= 0]
+        shape = (len(others), n)
+        shared, adds = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=bool)
         shared[row, col] = 1
-        gain = np.cumsum(shared, axis=1, dtype=np.int32)[row, col] * 7 - 3 * (self.index[k][col] + other)
+        mine, other = self.tied[self.cuts[k] : self.cuts[k + 1]][col], self.tied[self.entry[at]]
+        adds[row, col] = (mine < 0) | (mine != other)
+        gain = np.cumsum(shared, axis=1, dtype=np.int32)[row, col] * 7 - 3 * (self.index[k][col] + self.holds[at])
         far = 1 << 30
-        low, high = np.full(shared.shape, far, dtype=np.int64), np.full(shared.shape, -far, dtype=np.int64)
+        low, high = np.full(shape, far, dtype=np.int64), np.full((len(others), n + 1), -far, dtype=np.int64)
         low[row, col] = high[row, col] = gain
-        low = np.minimum.accumulate(low, axis=1)
-        return others[np.any(high[:, lag:] - low[:, : len(own) - lag] >= -1, axis=1)]
+        high = np.maximum.accumulate(high[:, ::-1], axis=1)[:, ::-1]  # of all columns from here on
+        begins = np.zeros((len(others), n + 1), dtype=np.int32)
+        np.cumsum(high[:, end] - low >= -1, axis=1, out=begins[:, 1:])
+        within = begins[:, 1:] > begins[:, np.searchsorted(end, np.arange(n))]
+        ends = np.flatnonzero(begin >= 0)
+        within[:, ends] |= high[:, ends] - np.minimum.accumulate(low, axis=1)[:, begin[ends]] >= -1
+        first, last = np.full(len(others), far, dtype=np.int64), np.full(len(others), -far, dtype=np.int64)
+        np.minimum.at(first, row, self.held_at[at])
+        np.maximum.at(last, row, self.held_at[at])
+        return others[np.any(within & adds, axis=1) & (last - first + 1 >= least)]
 
     def open(self, k: int, others: np.ndarray) -> np.ndarray:
         """Which others may yet add a place or a tie."""
-        out = (self.label[others] != self.label[k]) | (self.label[k] < 0)
-        rest = np.flatnonzero(~out)
-        out[rest] = np.any(self.free[k] & self.bits[others[rest]], axis=1)
+        out = np.any(self.free[k] & self.bits[others], axis=1)
         rest = np.flatnonzero(~out)
         out[rest] = np.any(self.free[others[rest]] & self.bits[k], axis=1)
+        for mine in np.flatnonzero(self.label[:, k] >= 0).tolist():
+            for slot in range(SLOTS):  # shingles in passages of both that are not tied together
+                rest = np.flatnonzero(~out & (self.label[slot, others] >= 0) & (self.label[slot, others] != self.label[mine, k]))
+                if len(rest):
+                    out[rest] = np.any(self.inside[slot, others[rest]] & self.inside[mine, k], axis=1)
         return out
 
 
 def group_passages(
-    sets: list[np.ndarray], places: list[np.ndarray], block: np.ndarray, least: int
+    sets: list[np.ndarray], places: list[np.ndarray], block: np.ndarray, least: int,
+    numbers: list[np.ndarray] | None = None,
 ) -> list[tuple[int, int, int, int, int, int, int]]:
     """(member, member, start, stop, start, stop, shared) of the windows of one tile.
 
     Members of two blocks are compared across, those of one with each other. Passages
     that lie within found ones of both members, tied together already, may be left out.
+    Windows with shingles left out come with the numbers of the others.
     """
+    numbers = numbers or [np.arange(len(x)) for x in sets]
     lengths = list(map(len, sets))
     member = np.repeat(np.arange(len(sets)), lengths)
     ident = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -465,7 +562,7 @@ def group_passages(
     kept, stretch = _stretch_entries(ident, member, place, side, least)
     if not len(kept):
         return []
-    index = ranges(np.zeros(len(sets)), np.array(lengths))
+    index = np.concatenate(numbers)
     all_of = _Stretches(ident[kept], place[kept], index[kept], stretch)
     first = np.flatnonzero(np.diff(stretch, prepend=-1))
     owner, begin = member[kept][first], place[kept][first]
@@ -482,25 +579,21 @@ def group_passages(
         theirs = block[owner[others]] != block[owner[x]] if across else owner[others] != owner[x]
         others, step = all_of.alike(x, others[theirs], least), 1
         while len(others):
-            all_of.see(x)
             others = others[all_of.open(x, others)]  # what adds nothing now never will
-            if step == MANY:
+            if step >= MANY:
+                size = max(1, min(AT_ONCE, CELLS // len(all_of.ids[x])))
                 others = np.concatenate([
-                    all_of.fitting(x, others[a : a + AT_ONCE], least) for a in range(0, len(others) or 1, AT_ONCE)
+                    all_of.fitting(x, others[a : a + size], least) for a in range(0, len(others) or 1, size)
                 ])
             for y in others[:step].tolist():
                 a, b = int(owner[x]), int(owner[y])
-                all_of.see(y)
                 if (a, b) in compared or not all_of.open(x, np.array([y]))[0]:
                     continue
                 compared.add((a, b))
-                for run in common_passages(sets[a], places[a], sets[b], places[b], least):
+                for run in common_passages(sets[a], places[a], sets[b], places[b], least, numbers[a], numbers[b]):
                     mine, other = holder(a, run[0]), holder(b, run[2])
                     all_of.tie(all_of.add(mine, *run[:2]), all_of.add(other, *run[2:4]))
-                    all_of.see(mine)
-                    all_of.see(other)
                     out.append((a, b, *run))
-                all_of.see(x)
             others, step = others[step:], step * 2
     return out
 
@@ -509,18 +602,11 @@ _TILE = ["key", "low", "high"]
 
 
 def _members_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the windows of large groups out of their texts' sequences."""
+    """Cut the slices out of their texts' sequences."""
+    kept = ["key", "low", "high", "c", "block"]
     for batch in batches:
-        flat, cuts = unpacked(column(batch, "shingles"), "u8")
-        steps, _ = unpacked(column(batch, "places"), "i4")
-        lows, highs = (column(batch, k).to_pylist() for k in ("low_a", "high_a"))
-        parts = [
-            _slice(flat[a:b], steps[a:b], low, high)
-            for a, b, low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), lows, highs)
-        ]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "key"), column(batch, "c"), packed([s for s, _ in parts]), packed([_steps(p) for _, p in parts])],
-            ["key", "c", "shingles", "places"],
+            [column(batch, k) for k in kept] + _windows_of(batch), [*kept, "shingles", "places"]
         )
 
 
@@ -530,13 +616,10 @@ def _tiles(least: int):
     def emit(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
         name, block = (np.asarray(rows[k].combine_chunks(), dtype=np.int64) for k in ("c", "block"))
-        flat, cuts = unpacked(rows["shingles"].combine_chunks(), "u8")
-        steps, _ = unpacked(rows["places"].combine_chunks(), "i4")
-        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-        sets, places = [flat[a:b] for a, b in spans], [np.cumsum(steps[a:b]) for a, b in spans]
+        own = [_slice(*x) for x in _sequences_of(rows.combine_chunks().to_batches()[0])]
         found = []
         if rows["low"][0] == rows["high"][0] or len(np.unique(block)) > 1:
-            found = group_passages(sets, places, block, least)
+            found = group_passages([x for x, *_ in own], [x for _, x, _ in own], block, least, [x for *_, x in own])
         found = np.array(found, dtype=np.int64).reshape(-1, 7).T
         return pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (name[found[0]], name[found[1]], *found[2:])],
@@ -738,9 +821,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = column(batch, "doc_id")
         for block in texts(column(batch, "text")):
-            found = [(name, n) for name, n, _, _ in sequences(block)]
+            counts = np.diff(block.per_text(block.spans(VISIBLE)[0]))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(block.first, len(block)), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
+                [ids.slice(block.first, len(block)), pa.array(_class_names(block)), pa.array(counts.astype(np.int64))],
                 ["doc_id", "c", "n_words"],
             )
 
@@ -749,40 +832,40 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Verified passages between classes of equal texts: a, b (names), their words, shared shingles."""
     context = docs.sparkSession.sparkContext
     least = least_words - WIDTH + 1
-    rows = docs.select("text").mapInArrow(_windows(least), "c long, key long, low int, at int, high int")
-    grouped = rows.select("key", "c", "low", "high").repartition("key").sortWithinPartitions("key", "c")
-    met = grouped.mapInArrow(_meet(FEW), _MET)
-    pairs = met.groupBy("a", "b", "large").agg(
-        F.min("low_a").alias("low_a"), F.max("high_a").alias("high_a"),
-        F.min("low_b").alias("low_b"), F.max("high_b").alias("high_b"),
-        F.bit_or(F.expr("shiftleft(1, f)")).alias("votes"),
-    ).where(F.col("large") | (F.bit_count("votes") >= VOTES))
-    pairs = settle(pairs.drop("votes"))
-    ends = F.when(F.col("large"), F.array("a")).otherwise(F.array("a", "b"))
-    wanted = pairs.select(F.explode(ends).alias("c")).distinct()
-    known = context.broadcast(bit_filter(wanted, "c", FILTER_BITS))
-    # All joins read one exchange of the sequences; only windows and the first text's slice travel.
-    sequence = docs.select("text").mapInArrow(_fetched(known), "c long, shingles binary, places binary")
+    held = context.broadcast(twice_filter(docs.select("text"), _all_shingles(least), HELD_BITS))
+    rows = docs.select("text").mapInArrow(_windows(least, held), "c long, key long, low int, high int")
+    grouped = rows.repartition("key").sortWithinPartitions("key", "c")
+    members = grouped.mapInArrow(_meet(1), _MET).select(
+        F.col("a").alias("c"), F.col("b").alias("key"), F.col("low_a").alias("from"), F.col("high_a").alias("to")
+    )
+    members = settle(_joined(settle(members)))
+    known = context.broadcast(bit_filter(members.select("c").distinct(), "c", FILTER_BITS))
+    sequence = docs.select("text").mapInArrow(_fetched(least, held, known), "c long, shingles binary, places binary")
     sequence = sequence.repartition("c").dropDuplicates(["c"])
-    cut = pairs.where("NOT large").join(sequence.withColumnRenamed("c", "a"), "a").mapInArrow(
-        _sliced, "a long, b long, low_b int, high_b int, shingles_a binary, places_a binary"
+    return _compared(members, sequence, least)
+
+
+def _joined(members: DataFrame) -> DataFrame:
+    """Members (c, key, from, to) of the groups, once those with one smallest member are one."""
+    hubs = members.groupBy("key").agg(F.min("c").alias("hub"))
+    return members.join(hubs, "key").groupBy(F.col("hub").alias("key"), "c").agg(
+        F.min("from").alias("from"), F.max("to").alias("to")
     )
-    found = cut.join(sequence.withColumnRenamed("c", "b"), "b").mapInArrow(_verified(least), _PASSAGE)
-    members = pairs.where("large").select(F.col("a").alias("c"), F.col("b").alias("key"), "low_a", "high_a")
-    return found.unionByName(_in_large_groups(members, sequence, least))
 
 
-def _in_large_groups(members: DataFrame, sequence: DataFrame, least: int) -> DataFrame:
-    """Passages of the windows (c, key, low_a, high_a) of large groups, block against block."""
+def _compared(members: DataFrame, sequence: DataFrame, least: int) -> DataFrame:
+    """Passages of the slices (c, key, from, to) of groups, block against block."""
     blocks = members.groupBy("key").agg(
-        F.ceil(F.sum(F.col("high_a") - F.col("low_a") + 1) / BLOCK).cast("int").alias("blocks")
+        F.ceil(F.sum(F.col("to") - F.col("from") + 1) / BLOCK).cast("int").alias("blocks")
     )
-    rows = members.join(sequence, "c").mapInArrow(_members_cut, "key long, c long, shingles binary, places binary")
-    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    rows = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "c", "block", "shingles", "places",
+        "c", "block", "from", "to",
+    )
+    rows = rows.join(sequence, "c").mapInArrow(
+        _members_cut, "key long, low int, high int, c long, block int, shingles binary, places binary"
     )
     tiles = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
     return tiles.mapInArrow(_tiles(least), _PASSAGE)

@@ -234,3 +234,49 @@ def test_all_members_of_a_group_meet():
     met = [tuple(r.values()) for b in substrings._meet(16)(iter(batches)) for r in b.to_pylist()]
     assert sorted(r[:2] for r in met if not r[-1]) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
     assert sorted(r[:2] for r in met if r[-1]) == [(c, 16) for c in range(20)]
+
+
+def test_all_similar_parts_of_a_run_come_out():
+    """Two alike parts of 50 shingles, 10 shared ones among 80 between them: too few for the whole, no gap is the widest."""
+    own = np.arange(180, dtype=np.uint64)
+    other = own + np.uint64(1000)
+    same = np.r_[0:50, 58:130:8, 130:180]
+    other[same] = own[same]
+    at = np.arange(180)
+    ((start, stop, *_), (begin, end, *_)) = common_passages(own, at, other, at, 46)
+    assert start == 0 and stop >= 54 and begin <= 130 and end == 184
+    kept = np.sort(np.r_[same, 60, 61])  # shingles left out count by the numbers of the others
+    left = (own[kept], at[kept])
+    assert common_passages(*left, other, at, 46, kept) == common_passages(own, at, other, at, 46)
+
+
+def test_shingles_in_dense_stretches():
+    rng = np.random.default_rng(8)
+    for least in (6, 9, 12):
+        nth = np.cumsum(rng.choice([1, 1, 1, 2, 4], 60))
+        place = nth + np.cumsum(rng.choice([0, 0, 0, 0, 20], 60))
+        expected = np.zeros(60, dtype=bool)
+        for i in range(60):
+            for j in range(i, 60):
+                near = j == i or np.diff(place[i : j + 1]).max() <= substrings.GAP
+                if near and 4 * (j - i + 1) >= max(3 * least, 3 * (nth[j] - nth[i] + 1)):
+                    expected[i : j + 1] = True
+        assert (substrings.dense(np.zeros(60, dtype=int), place, nth, least) == expected).all()
+
+
+def test_windows_without_a_shared_stretch_stay_home(spark):
+    """Texts that share a line of 30 words with many, but no passage, send no window."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tabforge.llm.cells import twice_filter
+
+    rng = random.Random(12)
+    line, passage = words(30, rng), words(60, rng)
+    rows = [(k, " ".join(words(100, rng) + line + words(100, rng) + passage * (k < 2))) for k in range(40)]
+    docs = table(spark, rows).select("text")
+    known = SimpleNamespace(value=twice_filter(docs, substrings._all_shingles(46), substrings.HELD_BITS))
+    batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.collect()])], ["text"])
+    sent = {c for b in substrings._windows(46, known)(iter([batch])) for c in b.column(0).to_pylist()}
+    assert len(sent) == 2
