@@ -138,6 +138,70 @@ def test_boosting_does_not_depend_on_partitions_blocks_or_settling(spark, waves,
     pd.testing.assert_frame_equal(expected.reset_index(drop=True), again.reset_index(drop=True))
 
 
+@pytest.mark.parametrize("kw", [
+    dict(rounds=4, leaves=7, rows_share=0.6, columns_share=0.7, key="id", bins=16),
+    dict(rounds=4, leaves=7, loss="logistic", min_weight=0.1),
+    dict(rounds=3, shape="symmetric", depth=3, l2=1.0, min_rows=1),
+])
+def test_trees_of_one_task_are_those_of_passes(spark, waves, monkeypatch, kw):
+    x, y = waves
+    wide = np.column_stack([x, np.random.default_rng(1).integers(0, 9, len(x))[:, None] == np.arange(9)])
+    df = table(spark, wide, y > y.mean() if "loss" in kw else y)
+    held = histboost.HistBoost(**kw).fit(df)
+    monkeypatch.setattr(histboost, "histograms", None)  # no pass is needed
+    again = histboost.HistBoost(**kw).fit(df)
+    monkeypatch.undo()
+    monkeypatch.setattr(histboost, "HELD_BYTES", 0)
+    monkeypatch.setattr(histboost, "SETTLE_EVERY", 2)
+    dealt = histboost.HistBoost(**kw).fit(df)
+    assert held.splits == again.splits == dealt.splits
+    pd.testing.assert_frame_equal(nodes_of(held).reset_index(drop=True), nodes_of(dealt).reset_index(drop=True))
+
+
+def test_sums_of_noted_bins_are_those_of_all_bins():
+    random = np.random.default_rng(3)
+    x = np.column_stack([random.integers(0, 5, 400), (random.random((400, 6)) < 0.1).astype(int), np.zeros(400, dtype=int)]).astype("uint8")
+    offsets = np.concatenate([[0], np.cumsum(x.max(axis=0).astype(int) + 1)])
+    usual, codes = histogram.sparse_codes(x, offsets)
+    assert len(codes) < x.shape[1]
+    rows, slot = np.arange(0, 400, 2), random.integers(0, 3, 200)
+    values = [random.integers(-1000, 1000, 400).astype(float), np.full(400, 7.0), np.ones(400)]
+    found = histogram.code_sums(codes, usual, offsets, rows, slot, 3, values)
+    for node in range(3):
+        for k, value in enumerate(values):
+            own = rows[slot == node]
+            expected = [value[own][x[own, f] == b].sum() for f in range(x.shape[1]) for b in range(offsets[f + 1] - offsets[f])]
+            assert found[node, k].tolist() == expected
+
+
+def test_bins_cut_in_one_task_are_the_quantiles(spark, monkeypatch):
+    random = np.random.default_rng(4)
+    x = np.column_stack([random.normal(size=500), random.integers(0, 40, 500) ** 2, random.integers(0, 3, 500), np.full(500, 2.0)])
+    x[::7, 0] = np.nan
+    x[::5, 1] = -0.0
+    rows = spark.createDataFrame([(a.tolist(),) for a in x], "x array<double>").repartition(4)
+    found = histogram.bin_edges(rows, 16)
+    monkeypatch.setattr(histogram, "TASK_VALUES", 0)
+    for own, by_ranks in zip(found, histogram.bin_edges(rows, 16), strict=True):
+        assert own.tolist() == by_ranks.tolist()
+
+
+def test_boost_presets_train_their_published_rounds(spark, monkeypatch):
+    from tabforge.catalog import ensembles
+
+    asked = {}
+
+    def note(bases, df):
+        asked.update(bases)
+        raise InterruptedError
+
+    monkeypatch.setattr(ensembles.ensemble, "fit_all", note)
+    with pytest.raises(InterruptedError):
+        ensembles.boost_presets(spark, "/root/testdata/sf0.001")
+    rounds = {name: est.get("rounds") for name, est in asked.items() if name != "forest"}
+    assert rounds == {"sampled": 2000, "leafwise": 1000, "target_encoded": 1500}
+
+
 def test_samples_are_shares(spark, waves):
     x, y = waves
     mark = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 100_000)
