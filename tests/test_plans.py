@@ -1,9 +1,10 @@
 import random
+from threading import Barrier
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -442,3 +443,25 @@ def test_family_scale_is_a_table(spark):
     short = blocks.PassengerBlock(family_scale=FAMILY_SCALE_SHORT).transform(df)
     assert values(short, "family_scale") == [(0.0,), (3.2,), (0.0,), (3.6,), (0.0,)]
     assert values(blocks.PassengerBlock().transform(df), "family_scale") == [(0.0,), (3.2,), (3.6,), (4.0,), (0.0,)]
+
+
+class _Meeting(Estimator):
+    """Learns the mean once another fold is being fitted as well."""
+
+    def __init__(self, barrier):
+        super().__init__()
+        self.barrier = barrier
+
+    def _fit(self, df):
+        if self.barrier is not None:
+            self.barrier.wait(60)
+        mean = df.agg(F.avg("label")).first()[0]
+        return SQLTransformer(statement=f"SELECT *, CAST({mean} AS DOUBLE) AS prediction FROM __THIS__")
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    rows = spark.range(30).select("id", (F.col("id") % 3).cast("int").alias("fold"), F.col("id").cast("double").alias("label"))
+    scored = ensemble.out_of_fold({"mean": _Meeting(Barrier(3))}, rows, 3, classify=False)
+    means = {r["fold"]: r["m"] for r in scored.groupBy("fold").agg(F.max("score_mean").alias("m")).collect()}
+    assert means == {fold: sum(k for k in range(30) if k % 3 != fold) / 20 for fold in range(3)}
+    assert scored.count() == 30
