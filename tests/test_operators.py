@@ -267,3 +267,24 @@ def test_receivers_go_out_once_where_blocks_rule_out_nothing(spark, monkeypatch)
     got = {(r["rid"], r["target"], r["did"]): (r["payload"], round(r["distance2"], 9)) for r in found}
     assert got == _brute_force_neighbours(receivers, donors, 6)
     assert sent.value == 30
+
+
+def test_few_pairs_are_compared_as_through_blocks(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    points = random.normal(size=(300, 3)).round(1)
+    rows = [(i, "a" if i % 3 else "b", p.tolist(), float(i)) for i, p in enumerate(points)]
+    donors = spark.createDataFrame(rows[:200], "did long, space string, vec array<double>, payload double")
+    receivers = spark.createDataFrame(
+        [(i, "", s if i % 10 else "none", 1.0, v) for i, s, v, _ in rows[100:]], "rid long, target string, space string, scale double, vec array<double>"
+    )
+
+    def found():
+        return sorted(map(tuple, knn_join(receivers, donors, 4).select("rid", "did", "payload", "distance2", "rank").collect()))
+
+    planned = []
+    monkeypatch.setattr(neighbors, "CHUNK_PAIRS", 500)
+    monkeypatch.setattr(neighbors, "_pivots", lambda donors, plan=neighbors._pivots: planned.append(1) or plan(donors))
+    direct = found()
+    assert not planned and len(direct) == 180 * 4
+    monkeypatch.setattr(neighbors, "DIRECT_PAIRS", -1)
+    assert found() == direct and planned

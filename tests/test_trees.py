@@ -202,6 +202,37 @@ def test_boost_presets_train_their_published_rounds(spark, monkeypatch):
     assert rounds == {"sampled": 2000, "leafwise": 1000, "target_encoded": 1500}
 
 
+@pytest.mark.parametrize("module, est", [
+    (extratrees, extratrees.ExtraTrees(trees=5, depth=6, min_rows=2)),
+    (boosting, boosting.AdaBoost(rounds=8)),
+    (kernels, kernels.FourierClassifier(dims=12, rounds=8)),
+    (kernels, kernels.FourierRegressor(dims=12, rounds=8, gamma=0.1)),
+])
+def test_fits_of_one_task_are_those_of_passes(spark, waves, monkeypatch, module, est):
+    x, y = waves
+    df = table(spark, x, y if "Regressor" in type(est).__name__ else y > y.mean())
+    passes, gathered = [], module.gathered
+
+    def counted(blocks, *rest, **named):
+        passes.append(blocks)
+        return gathered(blocks, *rest, **named)
+
+    monkeypatch.setattr(module, "gathered", counted)
+    held = est.fit(df)
+    assert not passes  # all in tasks
+    monkeypatch.setattr(module, "HELD_BYTES", 0)
+    dealt = est.fit(df)
+    assert passes
+    if module is extratrees:
+        a, b = (nodes_of(m).reset_index(drop=True) for m in (held, dealt))
+        assert [list(v) for v in a.pop("value")] == [list(v) for v in b.pop("value")]
+        pd.testing.assert_frame_equal(a, b)
+    elif module is boosting:
+        assert (held.get("stumps"), held.get("votes")) == (dealt.get("stumps"), dealt.get("votes"))
+    else:
+        assert np.allclose(held.get("weights"), dealt.get("weights"), rtol=1e-6, atol=1e-9)
+
+
 def test_samples_are_shares(spark, waves):
     x, y = waves
     mark = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 100_000)
