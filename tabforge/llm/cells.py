@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 
 _SCHEMA = "block int, cells binary"
 _PER_BLOCK = 1 << 13
-#: Ranges of 32-bit hashes that are sorted on their own, the bits within one, and the hashes a task holds back.
-_RANGES, _LOW_BITS, _AT_ONCE = 1 << 10, 22, 1 << 22
+#: Ranges of hashes that are sorted on their own, the bits within one, and the hashes a task holds back.
+_RANGES, _LOW_BITS, _AT_ONCE = 1 << 10, 26, 1 << 22
+#: The first bits by which hashes meet.
+_MET_BITS = 10 + _LOW_BITS
 
 
 def _emit(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -95,8 +97,9 @@ def twice_filter(
 ) -> np.ndarray:
     """A filter that knows every hash found twice or more over all rows (uint8, ``2**bits`` bits).
 
-    Hashes meet by their first 32 bits, sorted and sent on as distances of two bytes
-    where these do.
+    Hashes meet by their first ``_MET_BITS`` bits, so that among 10**10 different ones few
+    seem to be held twice. They are sorted and sent on as distances of two bytes each, the
+    few longer ones with what is above.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,34 +107,35 @@ def twice_filter(
         n = 0
         for found in chain(hashes(batches), [None]):
             if found is not None:
-                held.append((found >> np.uint64(32)).astype(np.uint32))
+                held.append(found >> np.uint64(64 - _MET_BITS))
                 n += len(found)
             if not n or (found is not None and n < _AT_ONCE):
                 continue
             values = np.sort(np.concatenate(held))
             cuts = np.searchsorted(values, np.arange(_RANGES + 1, dtype=np.uint64) << _LOW_BITS)
-            values &= np.uint32((1 << _LOW_BITS) - 1)
+            values = (values & np.uint64((1 << _LOW_BITS) - 1)).astype(np.uint32)
             parts = [np.diff(values[a:b], prepend=np.uint32(0)) for a, b in zip(cuts[:-1], cuts[1:])]
             some = [k for k, part in enumerate(parts) if len(part)]
-            sent = [parts[k].astype(np.uint16) if parts[k].max() < 1 << 16 else parts[k] for k in some]
+            over = [np.flatnonzero(parts[k] >> np.uint32(16)).astype(np.uint32) for k in some]
+            wide = [4 * len(o) > len(parts[k]) for k, o in zip(some, over)]
+            sent = [parts[k] if w else parts[k].astype(np.uint16) for k, w in zip(some, wide)]
+            above = [o[:0] if w else np.concatenate([o, parts[k][o] >> np.uint32(16)]) for k, o, w in zip(some, over, wide)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.int32()), pa.array([x.dtype.itemsize for x in sent], pa.int32()),
-                 pa.array([x.tobytes() for x in sent], pa.binary())],
-                ["block", "bytes", "steps"],
+                 pa.array([x.tobytes() for x in sent], pa.binary()), pa.array([x.tobytes() for x in above], pa.binary())],
+                ["block", "bytes", "steps", "above"],
             )
             held, n = [], 0
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[int, bytes]]] = {}
+        parts: dict[int, list[tuple[int, bytes, bytes]]] = {}
         for batch in batches:
-            for block, n, steps in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                parts.setdefault(block, []).append((n, steps))
+            for block, *sent in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                parts.setdefault(block, []).append(sent)
         for block, sent in parts.items():
-            values = np.sort(np.concatenate([
-                np.cumsum(np.frombuffer(steps, dtype=f"u{n}"), dtype=np.uint32) for n, steps in sent
-            ]))
+            values = np.sort(np.concatenate([_summed(*steps) for steps in sent]))
             cells = np.zeros(1 << (bits - 10), dtype=bool)
-            cells[values[1:][values[1:] == values[:-1]] >> np.uint32(32 - bits)] = True
+            cells[values[1:][values[1:] == values[:-1]] >> np.uint32(_MET_BITS - bits)] = True
             if cells.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())],
@@ -139,12 +143,20 @@ def twice_filter(
                 )
 
     out = np.zeros((_RANGES, 1 << (bits - 13)), dtype=np.uint8)
-    met = df.mapInArrow(send, "block int, bytes int, steps binary").repartition("block").mapInArrow(meet, _SCHEMA)
+    met = df.mapInArrow(send, "block int, bytes int, steps binary, above binary").repartition("block").mapInArrow(meet, _SCHEMA)
     for row in met.collect():  # at most the size of the array
         out[row.block] = np.frombuffer(row.cells, dtype=np.uint8)
     return out.ravel()
 
 
+def _summed(n: int, steps: bytes, above: bytes) -> np.ndarray:
+    """The sorted values from their distances of n bytes; ``above`` has places and higher parts of longer ones."""
+    steps = np.frombuffer(steps, dtype=f"u{n}").astype(np.uint32)
+    places, high = np.frombuffer(above, dtype=np.uint32).reshape(2, -1)
+    steps[places] |= high << np.uint32(16)
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 

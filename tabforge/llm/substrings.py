@@ -30,7 +30,8 @@ smallest of a run in two texts or more are known first, then the runs with such
 shingle meet by their hash, at all their places: whoever holds a run that another
 text holds has it reported, however often either repeats it or a part of it.
 
-Equal texts are one class and are compared once.
+Equal texts are one class: of each only the row with the smallest id goes on, wherever
+the others are, and is compared once.
 """
 
 from __future__ import annotations
@@ -73,6 +74,10 @@ SLACK = GAP - WIDTH
 FILTER_BITS = 24
 #: Shingles that are the smallest of runs in several texts, and all that several texts hold; both only thin out work.
 RUN_BITS, HELD_BITS = 27, 27
+#: The latter filter has about a bit for each word, up to so many bits: 64 MB for each Python worker.
+MOST_HELD_BITS = 29
+#: Knows one row of each class; a few others may pass, which only repeats work.
+FIRST_BITS = 27
 #: Runs of a shingle that is more often the smallest are dealt one by one, which bounds a task.
 HOT = 100_000
 _NO_ID = 2**63 - 1
@@ -139,10 +144,10 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return low, at, high
 
 
-def _all_shingles(least: int):
+def _all_shingles(least: int, firsts=None):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         seen: set[int] = set()  # a class counts once a task
-        for batch in batches:
+        for batch in batches if firsts is None else _kept_rows(batches, firsts):
             for block in texts(column(batch, "text")):
                 for name, _, shingles, _ in sequences(block):
                     if len(shingles) >= least and name not in seen:
@@ -798,19 +803,51 @@ def _held_twice(words: int):
     return meet
 
 
-def equal_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def _row_names(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(names.view(np.uint64) ^ mix(ids.view(np.uint64) ^ _SEEDS[2]))
+
+
+def _first_rows(classes: DataFrame) -> np.ndarray:
+    """A filter that knows the row of each class (c, first_id) with the smallest id."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.asarray(column(batch, "c"), dtype=np.int64)
+            ids = np.asarray(column(batch, "first_id").fill_null(_NO_ID), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_row_names(names, ids)))], ["name"])
+
+    return bit_filter(classes.select("c", "first_id").mapInArrow(name, "name long"), "name", FIRST_BITS)
+
+
+def _kept_rows(batches: Iterator[pa.RecordBatch], firsts) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = np.asarray(column(batch, "doc_id").fill_null(_NO_ID), dtype=np.int64)
+        kept = np.zeros(batch.num_rows, dtype=bool)
+        for block in texts(column(batch, "text")):
+            own = slice(block.first, block.first + len(block))
+            kept[own] = may_hold(firsts.value, _row_names(_class_names(block), ids[own]))
+        yield batch if kept.all() else batch.filter(pa.array(kept))
+
+
+def _each_class(docs: DataFrame, firsts, work, schema: str) -> DataFrame:
+    """``work`` on the rows of docs that ``firsts`` knows: equal texts in many tasks go on from one."""
+
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: work(_kept_rows(batches, firsts)), schema)
+
+
+def equal_passages(docs: DataFrame, firsts, least_words: int = LEAST_WORDS) -> DataFrame:
     """(c, start, stop, other_id): all stretches whose runs of ``least_words`` words another class holds.
 
     ``other_id`` is the smallest id of all texts that hold them.
     """
     context = docs.sparkSession.sparkContext
-    nodes = docs.select("text").mapInArrow(_nodes(least_words), "c long, node long")
+    nodes = _each_class(docs, firsts, _nodes(least_words), "c long, node long")
     held = nodes.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
     held = settle(held.where("low <> high").select("node", "n"))
     known = context.broadcast(bit_filter(held, "node", RUN_BITS))
     hot = context.broadcast(bit_filter(held.where(F.col("n") > HOT), "node", FILTER_BITS))
-    rows = docs.select("doc_id", "text").mapInArrow(
-        _keyed_runs(least_words, known, hot), "key long, id long, c long, start int, runs binary"
+    rows = _each_class(
+        docs, firsts, _keyed_runs(least_words, known, hot), "key long, id long, c long, start int, runs binary"
     )
     rows = rows.repartition("key").sortWithinPartitions("key", "id", "c")
     found = rows.mapInArrow(_held_twice(least_words), "c long, start long, stop long, other_id long")
@@ -828,19 +865,27 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Verified passages between classes of equal texts: a, b (names), their words, shared shingles."""
+def held_bits(words: int) -> int:
+    """Bits of the filter of shared shingles, from the words of all classes."""
+    return min(max(HELD_BITS, int(words).bit_length()), MOST_HELD_BITS)
+
+
+def passages(docs: DataFrame, firsts, words: int, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Verified passages between classes of equal texts: a, b (names), their words, shared shingles.
+
+    ``firsts`` knows a row of each class, ``words`` are those of all classes.
+    """
     context = docs.sparkSession.sparkContext
     least = least_words - WIDTH + 1
-    held = context.broadcast(twice_filter(docs.select("text"), _all_shingles(least), HELD_BITS))
-    rows = docs.select("text").mapInArrow(_windows(least, held), "c long, key long, low int, high int")
+    held = context.broadcast(twice_filter(docs.select("doc_id", "text"), _all_shingles(least, firsts), held_bits(words)))
+    rows = _each_class(docs, firsts, _windows(least, held), "c long, key long, low int, high int")
     grouped = rows.repartition("key").sortWithinPartitions("key", "c")
     members = grouped.mapInArrow(_meet(1), _MET).select(
         F.col("a").alias("c"), F.col("b").alias("key"), F.col("low_a").alias("from"), F.col("high_a").alias("to")
     )
     members = settle(_joined(settle(members)))
     known = context.broadcast(bit_filter(members.select("c").distinct(), "c", FILTER_BITS))
-    sequence = docs.select("text").mapInArrow(_fetched(least, held, known), "c long, shingles binary, places binary")
+    sequence = _each_class(docs, firsts, _fetched(least, held, known), "c long, shingles binary, places binary")
     sequence = sequence.repartition("c").dropDuplicates(["c"])
     return _compared(members, sequence, least)
 
@@ -915,9 +960,11 @@ def shared_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     classes = members.groupBy("c").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs"), F.first("n_words").alias("n_words")
     )
-    found = settle(passages(docs, least_words))
+    words = classes.agg(F.sum("n_words")).first()[0] or 0
+    firsts = docs.sparkSession.sparkContext.broadcast(_first_rows(classes))
+    found = settle(passages(docs, firsts, words, least_words))
     each = similar_passages(found, classes)
-    each = each.unionByName(equal_passages(docs, least_words))
+    each = each.unionByName(equal_passages(docs, firsts, least_words))
     whole = classes.where((F.col("n_docs") > 1) & (F.col("n_words") >= least_words)).select(
         "c", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"), F.col("first_id").alias("other_id")
     )

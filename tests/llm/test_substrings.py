@@ -280,3 +280,32 @@ def test_windows_without_a_shared_stretch_stay_home(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([r.text for r in docs.collect()])], ["text"])
     sent = {c for b in substrings._windows(46, known)(iter([batch])) for c in b.column(0).to_pylist()}
     assert len(sent) == 2
+
+
+def test_copies_in_other_tasks_hold_no_shingle_twice(spark, monkeypatch):
+    """Copies spread over tasks send neither windows nor texts: their shingles are in one class."""
+    rng = random.Random(13)
+    own = [" ".join(words(120, rng)) for _ in range(12)]
+    shared = words(70, rng)
+    rows = [(100 * copy + k, text) for copy in range(4) for k, text in enumerate(own)]
+    rows += [(7, " ".join(words(80, rng) + shared)), (8, " ".join(shared + words(80, rng))), (None, own[0])]
+    docs = table(spark, rows).repartition(6)
+    filters, make = [], substrings.twice_filter
+    monkeypatch.setattr(substrings, "twice_filter", lambda *a: filters.append(make(*a)) or filters[-1])
+    found = {(r.doc_id, r.start, r.stop, r.other_id) for r in shared_passages(docs).collect()}
+    assert found == {(100 * c + k, 0, 120, k) for c in range(4) for k in range(12)} | {(7, 80, 150, 7), (8, 0, 70, 7), (None, 0, 120, 0)}
+    assert np.unpackbits(filters[0]).sum() <= 70 - 4  # the shared passage alone
+
+
+def test_shingles_meet_by_more_bits_than_there_are_shingles(spark):
+    from tabforge.llm.cells import may_hold, twice_filter
+
+    rng = np.random.default_rng(14)
+    shingles = rng.integers(0, 2**63, 300_000).astype(np.uint64) * np.uint64(2)
+    near = (np.uint64(5) << np.uint64(60)) + (np.arange(200, dtype=np.uint64) << np.uint64(29))  # alike in 32 bits
+    sent = np.concatenate([shingles, shingles[:1000], near])
+    rows = spark.createDataFrame([(k,) for k in range(4)], "part int").repartition(4)
+    known = twice_filter(rows, lambda batches: (sent[k::4] for b in batches for k in b.column(0).to_pylist()), 27)
+    assert may_hold(known, shingles[:1000]).all()
+    assert np.unpackbits(known).sum() <= 1010
+    assert [substrings.held_bits(n) for n in (0, 10**8, 2 * 10**8, 10**12)] == [27, 27, 28, 29]
